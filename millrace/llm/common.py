@@ -13,6 +13,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+KINDS = {"long": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "string": T.StringType, "binary": T.BinaryType, "boolean": T.BooleanType}
+
+
+def columns(ddl: str) -> T.StructType:
+    """A schema from "name kind, ..." without a session, so that modules can state theirs."""
+    return T.StructType([T.StructField(n, KINDS[k]()) for n, k in (x.split() for x in ddl.split(","))])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
