@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import columns, map_texts, texts
 
 #: Steps, pieces and parts that a worker remembers; only speed depends on them.
-STEPS, PIECES, PARTS = 300_000, 300_000, 300_000
+STEPS, PIECES, PARTS = 400_000, 400_000, 400_000
 
 
 class Transducer:
@@ -32,6 +31,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         self.together: dict[tuple[int, int], bool] = {}
@@ -60,9 +60,10 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
+        """Only the start state: no open path but the empty one. A state's number is a multiple of 256, for the next byte."""
         self.states: list[tuple] = [(((), -1, 0),)]  # open paths: tokens not yet emitted, token before the open one, trie node
         self.number = {self.states[0]: 0}
-        self.final: list[tuple[int, ...] | None] = [()]
+        self.final = [b""]  # what an input that ends here still emits
         self.steps: dict[int, tuple[int, bytes]] = {}
 
     def merged(self, piece: bytes, until: int = 1) -> list[int]:
@@ -100,50 +101,55 @@ class Transducer:
             else:
                 j += 1
 
-    def step(self, state: int, byte: int) -> tuple[int, bytes]:
-        """The next state and the packed ids emitted, determinised now if they weren't before."""
-        paths = []
-        for held, last, node in self.states[state]:
-            if (child := self.children[node].get(byte)) is None:
+    def step(self, at: int) -> tuple[int, bytes]:
+        """The next state and the packed ids emitted, for a state's number plus a byte; determinised now."""
+        paths, byte, children, token, together = [], at & 255, self.children, self.token, self.together
+        for held, last, node in self.states[at >> 8]:
+            if (child := children[node].get(byte)) is None:
                 continue
-            if self.children[child]:
+            if children[child]:
                 paths.append((held, last, child))
-            if (t := self.token[child]) >= 0 and self.follows(last, t):
+            t = token[child]
+            if t >= 0 and (last < 0 or (self.follows(last, t) if (ok := together.get((last, t))) is None else ok)):
                 paths.append(((*held, t), t, 0))
-        shared = 0
-        if paths:
-            least = min(len(p[0]) for p in paths)
-            while shared < least and len({p[0][shared] for p in paths}) == 1:
-                shared += 1
-        out = np.array(paths[0][0][:shared] if paths else [], "<u4").tobytes()
-        key = tuple((held[shared:], last, node) for held, last, node in paths)
+        out = b""
+        if paths and paths[0][0]:  # the oldest path comes first and holds the fewest tokens
+            first = paths[0][0]
+            shared = len(first)
+            for held, _, _ in paths:
+                while held[:shared] != first[:shared]:
+                    shared -= 1
+            if shared:
+                out = b"".join([self.packed[t] for t in first[:shared]])
+                paths = [(held[shared:], last, node) for held, last, node in paths]
+        key = tuple(paths)
         if (new := self.number.get(key)) is None:
-            new = self.number[key] = len(self.states)
+            new = self.number[key] = len(self.states) << 8
             self.states.append(key)
-            self.final.append(next((held for held, _, node in key if not node), None))
-        self.steps[state << 8 | byte] = new, out
-        return new, out
+            self.final.append(next((b"".join([self.packed[t] for t in held]) for held, _, node in key if not node), b""))
+        found = self.steps[at] = new, out
+        return found
 
     def encode(self, piece: bytes) -> bytes:
         """Packed ids (little-endian unsigned 32-bit) of one piece."""
         if (whole := self.ranks.get(piece)) is not None:
-            return whole.to_bytes(4, "little")
+            return self.packed[whole]
         if len(self.steps) > STEPS:
             self.reset()
-        state, out, steps = 0, [], self.steps
+        state, out, steps = 0, b"", self.steps
         for byte in piece:
-            state, ids = steps.get(state << 8 | byte) or self.step(state, byte)
+            found = steps.get(state + byte)
+            if found is None:
+                found = self.step(state + byte)
+            state, ids = found
             if ids:
-                out.append(ids)
-        return b"".join(out) + np.array(self.final[state], "<u4").tobytes()
+                out += ids
+        return out + self.final[state >> 8]
 
 
 class Encoder:
     """Whole texts, split by the pattern; equal parts of texts are encoded once."""
 
-    #: Two characters of white space in a row: only there can the pattern look past a single space.
-    RUNS = re.compile(r"\s\s|[\x1c-\x1f]")
-
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
@@ -162,22 +168,28 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Packed ids. A space between two other characters begins a match, so the parts from one to the next stand alone."""
-        if self.RUNS.search(text):
-            return b"".join([self._piece(p) for p in self.split(text)])
         first, *rest = text.split(" ")
         known = self.parts
-        out = [self._piece(p) for p in self.split(first)]
-        for part in rest:
-            out.append(known.get(part) or self._spaced(part))
-        return b"".join(out)
-
-    def _spaced(self, part: str) -> bytes:
-        packed = b"".join([self._piece(p) for p in self.split(" " + part)])
-        if len(part) <= 64:
-            if len(self.parts) > PARTS:
-                self.parts.clear()
-            self.parts[part] = packed
-        return packed
+        try:
+            out = [known[part] for part in rest]
+        except KeyError:
+            if len(known) > PARTS:
+                known.clear()
+            out = []
+            for part in rest:
+                if (packed := known.get(part)) is None:
+                    if not part or part[0].isspace() or part[-1].isspace():  # the pattern looks past such a space
+                        return self._pieces(text)
+                    packed = self._pieces(" " + part)
+                    if len(part) <= 64:
+                        known[part] = packed
+                out.append(packed)
+        if first and first[-1].isspace():
+            return self._pieces(text)
+        return self._pieces(first) + b"".join(out)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join([self._piece(p) for p in self.split(text)])
 
 
 class Utf8:

@@ -40,5 +40,27 @@ kept AS (
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, text FROM kept
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_line_dedup": op8_line_dedup}
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    from millrace.llm.pattern_packing import pack
+
+    return pack(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, digested, and the digest of what they decode to."""
+    import public_tokenizers
+
+    from millrace.llm.byte_bpe import round_trip
+
+    return round_trip(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pattern_packing": op5_pattern_packing,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_line_dedup": op8_line_dedup,
+}
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
