@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +73,7 @@ def map_texts(docs: DataFrame, schema: T.StructType, work: Callable[[list, list]
 def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about size bytes; a longer text is alone in its range."""
     start, total = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
         if i > start and total + n > size:
             yield start, i
             start, total = i, 0
