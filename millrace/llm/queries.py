@@ -58,9 +58,27 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's number of tokens under the pieces of piece_bpe_32k.model and their scores, taken as a unigram vocabulary."""
+    import public_tokenizers
+
+    from millrace.llm.token_counts import count_tokens
+
+    return count_tokens(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an Ogg medium, stored, read back and digested."""
+    from millrace.llm.ogg import digest_texts
+
+    return digest_texts(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pattern_packing": op5_pattern_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op10_ogg": op10_ogg,
 }
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
