@@ -74,11 +74,35 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_texts(common.documents(spark, sf_dir))
 
 
+def _scored(docs: DataFrame, model, folds: int, held: int) -> DataFrame:
+    from millrace.llm.byte_cnn import score_texts
+
+    return score_texts(docs, model).select("doc_id", (common.crc_mod("doc_id", folds) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's quality; labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1."""
+    from millrace.llm.byte_cnn import fit_quality
+
+    docs = common.documents(spark, sf_dir)
+    return _scored(docs, fit_quality(docs, common.table(spark, sf_dir, "labels"), "quality", 3, 1), 3, 1)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity; labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0."""
+    from millrace.llm.toxicity import fit_toxicity
+
+    docs = common.documents(spark, sf_dir)
+    return _scored(docs, fit_toxicity(docs, common.table(spark, sf_dir, "labels"), "toxic", 5, 0), 5, 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pattern_packing": op5_pattern_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op6_byte_cnn": op6_byte_cnn,
+    "op9_toxicity": op9_toxicity,
     "op10_ogg": op10_ogg,
 }
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
