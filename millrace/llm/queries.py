@@ -96,6 +96,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, fit_toxicity(docs, common.table(spark, sf_dir, "labels"), "toxic", 5, 0), 5, 0)
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates: five-word elements, similarity of 0.8 or more."""
+    from millrace.llm.dart_minhash import near_duplicates
+
+    return near_duplicates(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pattern_packing": op5_pattern_packing,
     "op7_byte_bpe": op7_byte_bpe,
@@ -103,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op6_byte_cnn": op6_byte_cnn,
     "op9_toxicity": op9_toxicity,
+    "op4_dart_minhash": op4_dart_minhash,
     "op10_ogg": op10_ogg,
 }
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
