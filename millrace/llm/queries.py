@@ -103,6 +103,26 @@ def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
 
 
+def op2_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of each vector whose id is divisible by 20, against all other vectors."""
+    from millrace.llm.block_topk import top_k, whole
+
+    return top_k(whole(common.table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, 20)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pattern_packing": op5_pattern_packing,
     "op7_byte_bpe": op7_byte_bpe,
@@ -111,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_cnn": op6_byte_cnn,
     "op9_toxicity": op9_toxicity,
     "op4_dart_minhash": op4_dart_minhash,
+    "op2_block_topk": op2_block_topk,
     "op10_ogg": op10_ogg,
 }
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_block_topk": OP2_SQL, "op8_line_dedup": OP8_SQL}
