@@ -123,6 +123,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score; the model learns from rows whose crc32(doc_id as text) mod 5 is not 1."""
+    from millrace.llm.deleted_interpolation import score
+
+    return score(common.documents(spark, sf_dir), 5, 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pattern_packing": op5_pattern_packing,
     "op7_byte_bpe": op7_byte_bpe,
@@ -132,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op4_dart_minhash": op4_dart_minhash,
     "op2_block_topk": op2_block_topk,
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op10_ogg": op10_ogg,
 }
 ORACLE_SQL: dict[str, str] = {"op2_block_topk": OP2_SQL, "op8_line_dedup": OP8_SQL}
