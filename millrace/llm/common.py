@@ -78,9 +78,23 @@ def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about size bytes; a longer text is alone in its range."""
     start, total = 0, 0
     for i, n in enumerate(pc.binary_length(column).to_pylist()):
-        if i > start and total + n > size:
+        if i > start and total + (n or 0) > size:
             yield start, i
             start, total = i, 0
-        total += n
+        total += n or 0
     if start < len(column):
         yield start, len(column)
+
+
+def keep_texts(docs: DataFrame, model, keep: Callable) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score by model.scores(texts) satisfies keep(array of scores)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("text"), 1 << 20):
+                part = batch.slice(a, b - a)
+                scores = shared.value.scores([t or "" for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array(keep(scores)))
+
+    return docs.mapInArrow(run, docs.schema)
