@@ -21,10 +21,19 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))) if fields else F.lit("{}")
 
 
-def text_findings(text: Column, name: Column, stats: Column, headers: Column | None = None, footers: Column | None = None) -> list[Column]:
-    """The findings of a file alone: text is the cleaned text, stats are of the raw one."""
-    drawing, ratio, own = C.is_drawing(text, name), C.garbled_ratio(text), C.revision(name, text)
-    length, kind, named = stats["text_length"], C.document_type(text)["doc_type"], C.standards(text)
+FACTS = ("_drawing", "_garbled", "_revision", "_date", "_kind", "_standards")
+
+
+def with_facts(files: DataFrame, text: str = "text", name: str = "filename") -> DataFrame:
+    """files with the columns of FACTS, so that each pattern is looked for once however often a rule needs it."""
+    found = (C.is_drawing(text, name), C.garbled_ratio(text), C.revision(name, text), C.document_date(text), C.document_type(text)["doc_type"], C.standards(text))
+    return files.withColumns(dict(zip(FACTS, found, strict=True)))
+
+
+def text_findings(stats: Column, headers: Column | None = None, footers: Column | None = None) -> list[Column]:
+    """The findings of a file alone, from its facts (of the cleaned text) and stats (of the raw one)."""
+    drawing, ratio, own, date, kind, named = (F.col(c) for c in FACTS)
+    length = stats["text_length"]
     short = length < SHORT_TEXT
     none = F.array().cast("array<string>")
     heads, feet = (F.coalesce(x, none) if x is not None else none for x in (headers, footers))
@@ -35,7 +44,7 @@ def text_findings(text: Column, name: Column, stats: Column, headers: Column | N
         finding("HIGH_NON_ALPHA_RATIO", "WARN", stats["non_alpha_ratio"] > NON_ALPHA, _json(nonAlphaRatio=stats["non_alpha_ratio"])),
         finding("REPEATED_LINES", "WARN", stats["repeated_line_ratio"] > REPEATED, _json(repeatedLineRatio=stats["repeated_line_ratio"])),
         finding("HEADER_FOOTER_REMOVAL", "INFO", F.size(heads) + F.size(feet) > 0, _json(headers=heads, footers=feet)),
-        finding("MISSING_DATE", "INFO", C.document_date(text).isNull(), _json()),
+        finding("MISSING_DATE", "INFO", date.isNull(), _json()),
         finding("MISSING_REVISION", "INFO", own.isNull() & ~drawing & kind.isin(L.REVISED_TYPES), _json(docType=kind)),
         finding("STANDARDS_REFERENCED", "INFO", F.size(named) > 0, _json(standards=F.slice(named, 1, 10))),
     ]
@@ -87,10 +96,10 @@ def assess(files: DataFrame) -> DataFrame:
     keys = ["tenant_id", "file_id"]
     slim = files.select(*keys, "filename", "created_at", "raw_sha256", "simhash", F.substring("text", 1, 2000).alias("head"))
     parts = {"exact": exact_duplicates(slim), "near": near_duplicates(slim), "other": superseded(slim, "head")}
-    joined = files
+    joined = with_facts(files)
     for name, part in parts.items():
         fields = [c for c in part.columns if c not in keys]
         joined = joined.join(part.select(*keys, F.struct(*fields).alias(name)), keys, "left")
-    found = duplicate_findings(F.col("exact"), F.col("near"), F.col("other")) + text_findings(F.col("text"), F.col("filename"), F.col("stats"), F.col("headers"), F.col("footers"))
+    found = duplicate_findings(F.col("exact"), F.col("near"), F.col("other")) + text_findings(F.col("stats"), F.col("headers"), F.col("footers"))
     out = joined.select(*keys, F.array_compact(F.array(*found)).alias("findings"))
     return out.select(*keys, "findings", summary(F.col("findings")).alias("summary"), readiness(F.col("findings")).alias("readiness"))

@@ -325,8 +325,8 @@ r AS (SELECT doc_id, source, list_filter([{', '.join(f"CASE WHEN {w} THEN '{k}'
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each file alone: stats of the raw text, the rest of the cleaned one."""
     docs = decorated(spark, sf_dir).withColumn("stats", X.extraction_stats("text"))
-    docs = pages.clean_pages(docs)
-    found = F.array_compact(F.array(*quality.text_findings(F.col("text"), F.col("filename"), F.col("stats"))))
+    docs = quality.with_facts(pages.clean_pages(docs))
+    found = F.array_compact(F.array(*quality.text_findings(F.col("stats"))))
     return docs.select("doc_id", "source", found.alias("findings"))
 
 
@@ -539,10 +539,10 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("orphan_scan", "SELECT o_orderkey FROM orders WHERE starts_with(o_orderpriority, '1-') AND o_orderdate < TIMESTAMP '1995-01-01'")
+@query("orphan_scan", "SELECT o_orderkey FROM orders WHERE starts_with(o_orderpriority, '1-') AND o_orderdate < TIMESTAMP '1997-01-01'")
 def orphan_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderpriority": "name", "o_orderdate": "created_at"})
-    return catalog.orphans(orders, "1-", F.lit("1995-01-01").cast("timestamp")).select("o_orderkey")
+    return catalog.orphans(orders, "1-", F.lit("1997-01-01").cast("timestamp")).select("o_orderkey")
 
 
 @query("name_search", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'blu')")
