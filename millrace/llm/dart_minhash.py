@@ -11,9 +11,10 @@ Texts. Words are white-space parts without punctuation at their sides, in lower
 are all alike, null ones too. Texts with equal words are one node, whose copies are never compared.
 
 Links. Nodes that share a band are candidates. Each node is first held against one node of the bucket it shares most bands
-with, then against the first node of its other buckets; what is still in several components of one bucket is compared pair by
-pair, except pairs whose sizes, or whose one-bit signatures by far (five standard deviations), rule the similarity out. Links
-are exact similarities (of 32-bit element hashes) of at least the threshold; classes are the connected components of links, so
+with, then against the first node of its other buckets. In a bucket whose nodes are in several components still, all nodes of
+different components are compared, by blocks: a block's intersections are one matrix product over the elements that two of its
+nodes share, and only the links come out. Links are exact similarities (of 32-bit element hashes) of at least the threshold;
+classes are the connected components of links, so
 that a group of thousands of copies costs links in proportion to its size. Bands of 7 of 224 coordinates find a pair of
 similarity 0.8 with a probability over 0.999. Everything is joined and grouped by Spark; nothing of the corpus is collected.
 """
@@ -26,6 +27,7 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from xxhash import xxh3_64_intdigest
 from millrace.llm.common import slices, texts, written
 
 WORDS, BANDS, ROWS, SIMILAR = 5, 32, 7, 0.8
+#: Nodes of a block where a bucket is compared as a whole.
+BLOCK = 1000
 REMEMBERED = 1_000_000
 #: Marks that are cut off the sides of words.
 MARKS = string.punctuation + "«»“”„‘’…–—·¿¡"
@@ -150,19 +154,12 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def bits_of(sig: np.ndarray) -> np.ndarray:
-    """(texts, 4) one bit of each coordinate, packed in longs."""
-    bits = np.zeros((len(sig), 256), np.uint8)
-    bits[:, : sig.shape[1]] = mix(sig) & _U(1)
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 NODES = T.StructType([T.StructField("node", T.LongType()), T.StructField("elements", T.ArrayType(T.IntegerType()))])
 
 
 def sign(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """doc_id, node (of equal words), n (distinct elements), bands and bits (both empty without words)."""
+    """doc_id, node (of equal words), n (distinct elements) and bands (empty without words)."""
     arrow = to_arrow_schema(SIGNED)
 
     def lists(a: np.ndarray, full: np.ndarray) -> pa.Array:
@@ -179,7 +176,7 @@ def sign(docs: DataFrame, weights: str = "set") -> DataFrame:
                 full = np.array([len(w) > 0 for w in words])
                 some = [f for f in found if len(f[0])]
                 sig = signatures([f[0] for f in some], [f[1] for f in some] if weights == "counts" else None) if some else np.zeros((0, BANDS * ROWS), np.uint64)
-                columns = [ids[a:b], pa.array([node_of(w) for w in words], pa.int64()), pa.array([len(f[0]) for f in found], pa.int32()), lists(bands_of(sig), full), lists(bits_of(sig), full)]
+                columns = [ids[a:b], pa.array([node_of(w) for w in words], pa.int64()), pa.array([len(f[0]) for f in found], pa.int32()), lists(bands_of(sig), full)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return texts(docs).mapInArrow(run, SIGNED)
@@ -243,29 +240,75 @@ class Linker:
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not pairs.limit(1).count():
             return False
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        at = self.nodes.join(needed, "node").select("doc_id", "node")
-        known = written(elements_of(texts(self.docs).join(at, "doc_id"), self.weights).dropDuplicates(["node"]))
+        known = self.elements(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         first = pairs.join(known.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
         second = first.join(known.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         edges = second.where(common >= F.lit(self.similar) * (F.size("x") + F.size("y") - common)).select("a", "b")
-        edges = self.of(self.of(written(edges), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
-        merged = components(edges)
+        self.merge(self.of(self.of(written(edges), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        return True
+
+    def elements(self, nodes: DataFrame) -> DataFrame:
+        """node, elements of the nodes of a column `node`."""
+        at = self.nodes.join(nodes.distinct(), "node").select("doc_id", "node")
+        return written(elements_of(texts(self.docs).join(at, "doc_id"), self.weights).dropDuplicates(["node"]))
+
+    def merge(self, edges: DataFrame) -> None:
+        """Join the components of edges (a, b) between components."""
+        merged = components(edges.where("a <> b"))
         if self.known is None:
             self.known = merged
-        else:
-            old = self.known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            new = merged.join(self.known, "node", "left_anti")
-            self.known = written(old.union(new))
-        return True
+            return
+        old = self.known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        self.known = written(old.union(merged.join(self.known, "node", "left_anti")))
+
+    def link_within(self, filed: DataFrame) -> None:
+        """Compare all nodes of one band (band, node) that are in different components. A bucket goes in blocks of some BLOCK
+        nodes, each two of which meet in one group, so that no group is larger than two blocks."""
+        labelled = written(self.of(filed.select("band", "node"), "node", "component"))
+        mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high")
+        open_ = written(labelled.join(mixed.select("band", F.ceil(F.col("members") / BLOCK).alias("blocks")), "band"))
+        if not open_.limit(1).count():
+            return
+        rows = open_.join(self.elements(open_.select("node")), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", "elements")
+        similar = self.similar
+
+        def compare(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(links(group["component"].to_numpy(), list(group["elements"]), similar), columns=["a", "b"])
+
+        self.merge(written(rows.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()))
+
+
+def links(component: np.ndarray, elements: list[np.ndarray], similar: float) -> np.ndarray:
+    """Pairs of different components of which two nodes are similar."""
+    size = np.array([len(e) for e in elements], np.float32)
+    if not len(size) or (component == component[0]).all():
+        return np.zeros((0, 2), np.int64)
+    flat, owner = np.concatenate(elements), np.repeat(np.arange(len(size)), size.astype(int))
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # an element of one node alone is in no intersection
+    names, column = np.unique(column[shared], return_inverse=True)
+    owner, common = owner[shared], np.zeros((len(size), len(size)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for at in range(0, len(names), 4096):
+        a, b = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((len(size), min(4096, len(names) - at)), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        common += part @ part.T
+    i, j = np.nonzero(common >= np.float32(similar) * (size[:, None] + size[None, :] - common) - np.float32(1e-3))
+    exact = common[i, j].astype(float) >= similar * (size[i].astype(float) + size[j] - common[i, j])
+    pairs = np.stack([component[i[exact]], component[j[exact]]], 1)
+    return np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0)
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weights: str = "set") -> DataFrame:
     """doc_id, class_id of every row of docs: the least doc_id of the class that is not null. Texts that have null ids alone are
     in one class with texts of equal words only; class_id is null if such a class has no other."""
     signed = written(sign(docs, weights))
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     rows = nodes.select("node", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("band", "pivot")
     filed = written(rows.join(buckets, "band"))  # the nodes that share a band with another
@@ -275,16 +318,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weights: str = "s
     if linker.link(best.select(F.col("node").alias("a"), F.col("pivot").alias("b"))):
         rest = linker.of(linker.of(star.join(best, ["node", "pivot"], "left_anti"), "node", "x"), "pivot", "y").where("x <> y")
         linker.link(rest.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        labelled = written(linker.of(filed.select("band", "node"), "node", "component"))
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        open_ = written(labelled.join(mixed, "band").join(nodes.select("node", "n", "bits"), "node"))
-        other = open_.select("band", *(F.col(c).alias(f"_{c}") for c in ("node", "component", "n", "bits")))
-        far = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(4)), F.lit(0))
-        k = BANDS * ROWS
-        differ = (1 - similar) / 2  # the share of one-bit coordinates that differ at the threshold
-        most = int(k * differ + 5 * math.sqrt(k * differ * (1 - differ)))
-        fits = (F.col("component") < F.col("_component")) & (F.least("n", "_n") >= F.lit(similar) * F.greatest("n", "_n")) & (far <= most)
-        linker.link(open_.join(other, "band").where(fits).select(F.col("node").alias("a"), F.col("_node").alias("b")))
+        linker.link_within(filed)
     member = linker.of(signed.select("doc_id", "node"), "node", "component")
     classes = linker.of(nodes.select("node", F.col("doc_id").alias("least")), "node", "component").groupBy("component").agg(F.min("least").alias("class_id"))
     return member.join(classes, "component").select("doc_id", "class_id")
