@@ -20,7 +20,7 @@ WINDOW = 3
 
 
 LINES = "transform(split(text, '\\n'), x -> regexp_replace(x, '\\r$', ''))"
-COUNTED = f"filter(transform({LINES}, (x, i) -> struct(i AS i, x AS x)), s -> s.x rlike '[^ \\t\\r\\x0b\\f]')"
+COUNTED = f"filter(transform({LINES}, (x, i) -> struct(i AS i, x AS x)), s -> s.x rlike '\\\\S')"
 
 
 def windows(docs: DataFrame) -> DataFrame:
