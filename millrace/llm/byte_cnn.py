@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import columns, crc_mod, map_texts, texts
 
 CHUNK, HOP, WIDTH, STRIDE, FILTERS, HIDDEN = 512, 448, 8, 2, 24, 16
-ROWS, WINDOWS, EPOCHS = 1500, 10, 8
+#: Labelled rows of each label, chunks of each, and passes over them; at least STEPS batches, so that few rows are learned, too.
+ROWS, WINDOWS, EPOCHS, STEPS = 1500, 10, 8, 160
 
 
 def starts(n: int) -> np.ndarray:
@@ -76,6 +77,7 @@ class ByteCnn:
         r, names = np.random.default_rng(seed), ("table", "w1", "b1", "w2", "b2")
         m = {n: np.zeros_like(getattr(self, n)) for n in names}
         v = {n: np.zeros_like(getattr(self, n)) for n in names}
+        epochs = max(epochs, -(-STEPS * batch // len(sets)))
         step, total = 0, epochs * -(-len(sets) // batch)
         for _ in range(epochs):
             order = r.permutation(len(sets))
