@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,24 +75,34 @@ def expand_query(query: Column | str) -> Column:
     return F.coalesce(*(F.when(q.rlike(rf"(?i)\b{a}\b"), F.concat(q, F.lit(f" ({L.ABBREVIATIONS[a]})"))) for a in L.QUERY_ABBREVIATIONS), q)
 
 
-def _best(scores: dict[str, Column]) -> tuple[Column, Column, Column]:
-    """The name of the highest score (the first one of equals; null if all are 0), that score, and the sum."""
-    pairs = F.array(*(F.struct(s.cast("int").alias("score"), F.lit(-i).alias("rank"), F.lit(n).alias("name")) for i, (n, s) in enumerate(scores.items())))
-    top = F.array_max(pairs)
-    return F.when(top["score"] > 0, top["name"]), top["score"], F.aggregate(pairs, F.lit(0), lambda a, x: a + x["score"])
+def _best(scores: dict[str, Column], finish: Callable[[Column], Column]) -> Column:
+    """finish() of a struct: name of the highest score (the first one of equals; null if all are 0), that score, and the sum. One
+    fold, so that each pattern is looked for once."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), s.cast("int").alias("score")) for n, s in scores.items()))
+    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("score"), F.lit(0).alias("total"))
+
+    def step(acc: Column, x: Column) -> Column:
+        better = x["score"] > acc["score"]
+        return F.struct(F.when(better, x["name"]).otherwise(acc["name"]).alias("name"), F.greatest(acc["score"], x["score"]).alias("score"), (acc["total"] + x["score"]).alias("total"))
+
+    return F.aggregate(pairs, start, step, finish)
 
 
 def document_type(text: Column | str) -> Column:
     """Struct doc_type ("general" without a match) and confidence (its share of all matches, 3 places), of 5000 characters."""
     sample = F.substring(F.coalesce(col(text), F.lit("")), 1, 5000)
-    name, score, total = _best({k: count_matches(sample, v) for k, v in L.DOCUMENT_TYPES.items()})
-    return F.struct(F.coalesce(name, F.lit("general")).alias("doc_type"), F.when(total > 0, F.round(score / total, 3)).otherwise(F.lit(0.0)).alias("confidence"))
+
+    def finish(best: Column) -> Column:
+        share = F.when(best["total"] > 0, F.round(best["score"] / best["total"], 3)).otherwise(F.lit(0.0))
+        return F.struct(F.coalesce(best["name"], F.lit("general")).alias("doc_type"), share.alias("confidence"))
+
+    return _best({k: count_matches(sample, v) for k, v in L.DOCUMENT_TYPES.items()}, finish)
 
 
 def discipline(text: Column | str) -> Column:
     """The trade that most patterns speak for, in the first 10000 characters; null if none does."""
     sample = F.substring(F.coalesce(col(text), F.lit("")), 1, 10000)
-    return _best({k: count_matches(sample, v) for k, v in L.DISCIPLINES.items()})[0]
+    return _best({k: count_matches(sample, v) for k, v in L.DISCIPLINES.items()}, lambda best: best["name"])
 
 
 def section_reference(text: Column | str) -> Column:
