@@ -582,3 +582,51 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     notices = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.expr(_KEY).alias("key"))
     ingest(notices, f"{at}/out", f"{at}/checkpoint", lambda df: dispatch(df, None)).awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+# --- extraction, payloads and failures ---
+
+_FED = "'one' || chr(12) || coalesce(text, '') || chr(12) || CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE ' end' END"
+_NORMAL = s_strip("regexp_replace(regexp_replace(regexp_replace(l[i], '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
+
+
+@query("form_feed_pages", f"""WITH p AS (SELECT doc_id, string_split({_FED}, chr(12)) AS l FROM documents), q AS (SELECT doc_id, CASE WHEN trim(l[len(l)]) = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM p)
+SELECT doc_id, i::INTEGER AS page_number, {_NORMAL} AS text FROM q, range(1, len(l) + 1) AS r(i)""")
+def form_feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.sources.objects import form_feed_pages as split_pages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_FED).alias("text"))
+    return docs.select("doc_id", F.explode_outer(split_pages(F.col("text"))).alias("p")).select("doc_id", "p.page_number", "p.text")
+
+
+@query("document_payloads", f"SELECT source, count(*) AS page_count, sum(length(text))::BIGINT AS text_length FROM ({SQL['normalized_pages']}) GROUP BY source")
+def document_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages.normalize_pages(_paged(spark, sf_dir), ["source"])
+    return pages.document_text(rows, ["source"]).select("source", "page_count", "text_length")
+
+
+_ERROR = """CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '{"Cause": "{\\\\"errorMessage\\\\": \\\\"bad page\\\\"}"}' WHEN 1 THEN '{"Cause": "plain cause"}' WHEN 2 THEN '{"Error": "TimedOut"}' WHEN 3 THEN '{}' ELSE 'text only' END"""
+
+
+@query("error_messages", "SELECT event_id, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'bad page' WHEN 1 THEN 'plain cause' WHEN 2 THEN 'TimedOut' WHEN 3 THEN 'Pipeline failed' ELSE 'text only' END AS message FROM events")
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", C.error_message(F.expr(_ERROR)).alias("message"))
+
+
+@query("shaped_hits", f"SELECT doc_id::VARCHAR AS doc_id, text, 1.0::DOUBLE / (doc_id + 1) AS score, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 9)::INTEGER END AS page FROM ({ORACLE_DECOR})")
+def shaped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.shaped(_hits(spark, sf_dir)).select("citation.doc_id", "text", "score", "citation.page")
+
+
+@query("chunk_lines")
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk records as the JSON lines that readers of files expect."""
+    made = chunk_records(spark, sf_dir).withColumn("page_end", F.col("page"))
+    return made.select("chunk_id", chunking.envelope([c for c in made.columns if c != "page_end"]).alias("line"))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.streaming.ingest import event_counts
+
+    return event_counts(table(spark, sf_dir, "events"))
