@@ -40,7 +40,7 @@ HYPHENS = rf"({kept_hyphens()})|([A-Za-z])-\n([A-Za-z])"
 
 def dehyphenate(c: Column | str) -> Column:
     """Words that a hyphen and a line's end part are joined, but for protected abbreviations."""
-    return F.regexp_replace(col(c), HYPHENS, "$1$2$3")
+    return F.when(F.contains(col(c), F.lit("-\n")), F.regexp_replace(col(c), HYPHENS, "$1$2$3")).otherwise(col(c))
 
 
 def split_lines(c: Column | str) -> Column:
