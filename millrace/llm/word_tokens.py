@@ -13,8 +13,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker remembers; beyond this it starts anew. Only speed depends on it.
-REMEMBERED = 1_000_000
+#: Words, and units of words, that a worker remembers; beyond this it starts anew. Words are cheap to make again of their units.
+#: Only speed depends on these.
+WORDS, UNITS = 500_000, 900_000
 _ODD = re.compile("[\x1c-\x1f]")
 #: A word of Latin letters, which is one unit of the splitting pattern, and marks that are another.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?&*$%#|]*)")
@@ -54,13 +55,19 @@ class WordIds:
 
     def pack(self, texts: list[str]) -> list[bytes]:
         split = [None if _ODD.search(t) else t.split() for t in texts]
-        if len(self.known) + len(self.units) > REMEMBERED:
+        if len(self.known) > WORDS:
             self.known.clear()
+        if len(self.units) > UNITS:
             self.units = {"": b""}
         known = self.known
-        if new := list({w for words in split if words is not None for w in words if w not in known}):
-            self._learn(new)
-        return [self._encode([t])[0] if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+        found = [None if words is None else list(map(known.get, words)) for words in split]
+        some = [(words, ids, [i for i, x in enumerate(ids) if x is None]) for words, ids in zip(split, found, strict=True) if ids is not None]
+        if new := {words[i] for words, _, at in some for i in at}:
+            self._learn(list(new))
+            for words, ids, at in some:
+                for i in at:
+                    ids[i] = known[words[i]]
+        return [self._encode([t])[0] if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
