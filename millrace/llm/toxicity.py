@@ -13,6 +13,7 @@ at every word of every text. Null texts are empty; an empty text gets the score
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -120,11 +121,14 @@ def fit(sets: list[set[str]], y: np.ndarray, least_texts: int = 4, chance: float
     one = distinct(sets)
     if len(set(y[one].tolist())) == 2:
         sets, y = [sets[i] for i in one], y[one]
+    known: dict[str, list[str]] = {}  # each word's features are made and held once
     seen: dict[str, list[float]] = {}
-    expand = lambda s: {f for w in s for f in features(w)}
-    full = [expand(s) for s in sets]
-    for s, label in zip(full, y, strict=True):
-        for f in s:
+
+    def expand(s: set[str]) -> set[str]:
+        return {f for w in s for f in (known.get(w) or known.setdefault(w, features(w)))}
+
+    for s, label in zip(sets, y, strict=True):
+        for f in expand(s):
             e = seen.setdefault(f, [0, 0.0])
             e[0] += 1
             e[1] += label
@@ -136,12 +140,12 @@ def fit(sets: list[set[str]], y: np.ndarray, least_texts: int = 4, chance: float
     def matrix(rows: list[set[str]]) -> np.ndarray:
         m = np.zeros((len(rows), len(at)))
         for i, s in enumerate(rows):
-            m[i, [at[f] for f in s if f in at]] = 1
+            m[i, [at[f] for f in expand(s) if f in at]] = 1
         return m
 
     pairs = counterfactuals(sets)
-    change = matrix([expand(a - b) for a, b in pairs]) - matrix([expand(b - a) for a, b in pairs])
-    w = _minimise(matrix(full), y, change[np.abs(change).sum(1) > 0], SQUARE, swap)
+    change = matrix([a - b for a, b in pairs]) - matrix([b - a for a, b in pairs])
+    w = _minimise(matrix(sets), y, change[np.abs(change).sum(1) > 0], SQUARE, swap)
     return Toxicity({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, float(w[-1]))
 
 
@@ -158,6 +162,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     y = np.array([r[1] for r in got], float)
     if len(set(y.tolist())) < 2:
         return Constant((counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
-    model = fit([set(r[2].split()) for r in got], y)
+    model = fit([{sys.intern(w) for w in r[2].split()} for r in got], y)
     model.bias += float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))  # back to the labels' shares
     return model
