@@ -6,7 +6,7 @@ shuffle; a document's pages are brought together only as arrays of their texts,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import dehyphenate, normalize_whitespace, remove_lines, split_lines
@@ -17,38 +17,43 @@ def clean_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.withColumn(text, normalize_whitespace(dehyphenate(F.coalesce(F.col(text), F.lit("")))))
 
 
-def _frequent(lines: DataFrame, totals: DataFrame, keys: list[str], share: float, longer_than: int, count: Column) -> DataFrame:
-    enough = F.greatest(F.lit(2), F.floor(F.col("pages") * F.lit(float(share))))  # a double: 0.7 of 90 pages is 62.99..
-    return lines.groupBy(*keys, "line").agg(count.alias("n")).join(totals, keys).where((F.col("n") >= enough) & (F.length("line") > longer_than)).select(*keys, "line", "n")
+def _frequent(pages: DataFrame, keys: list[str], edge: tuple[int, float] | None, plate: float | None) -> DataFrame:
+    """keys, kind, line, n of the lines that stand on enough pages, all kinds in one pass over the texts. edge: how many lines of
+    a page's beginning and end count, and the share of pages; plate: the share for lines anywhere."""
+    lines, tagged = F.col("lines"), []
+    tag = lambda rows, kind: F.transform(rows, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("line")))
+    if edge:
+        count, share = edge
+        last = F.slice(lines, F.greatest(F.size(lines) - count + 1, F.lit(1)), count)
+        tagged += [tag(F.slice(lines, 1, count), "header"), tag(last, "footer")]
+    if plate:
+        tagged.append(tag(F.array_distinct(lines), "boilerplate"))
+    anywhere = F.col("kind") == "boilerplate"
+    rows = pages.select(*keys, split_lines("text").alias("lines")).select(*keys, F.explode(F.concat(*tagged)).alias("e")).select(*keys, "e.kind", "e.line")
+    counted = rows.where(F.length("line") > F.when(anywhere, 4).otherwise(3)).groupBy(*keys, "kind", "line").agg(F.count("*").alias("n"))
+    of_pages = F.when(anywhere, float(plate or 0)).otherwise(float(edge[1] if edge else 0))  # a double: 0.7 of 90 pages is 62.99..
+    totals = pages.groupBy(*keys).agg(F.count("*").alias("pages"))
+    return counted.where("n > 1").join(totals, keys).where(F.col("n") >= F.floor(F.col("pages") * of_pages)).select(*keys, "kind", "line", "n")
 
 
 def repeated_edges(pages: DataFrame, keys: list[str], line_count: int = 2, share: float = 0.6) -> DataFrame:
     """keys, kind ("header" or "footer"), line, n: lines among the first or last line_count of enough pages. Blank pages count
     among a document's pages."""
-    totals = pages.groupBy(*keys).agg(F.count("*").alias("pages"))
-    lines = split_lines("text")
-    first = F.slice(lines, 1, line_count)
-    last = F.slice(lines, F.greatest(F.size(lines) - line_count + 1, F.lit(1)), line_count)
-    tagged = F.concat(F.transform(first, lambda x: F.struct(F.lit("header").alias("kind"), x.alias("line"))), F.transform(last, lambda x: F.struct(F.lit("footer").alias("kind"), x.alias("line"))))
-    edges = pages.select(*keys, F.explode(tagged).alias("e")).select(*keys, "e.kind", "e.line")
-    found = [_frequent(edges.where(F.col("kind") == k), totals, keys, share, 3, F.count("*")).select(*keys, F.lit(k).alias("kind"), "line", "n") for k in ("header", "footer")]
-    return found[0].unionByName(found[1])
+    return _frequent(pages, keys, (line_count, share), None)
 
 
 def boilerplate(pages: DataFrame, keys: list[str], share: float = 0.7) -> DataFrame:
     """keys, line, n: lines that stand on enough of a document's pages."""
-    totals = pages.groupBy(*keys).agg(F.count("*").alias("pages"))
-    lines = pages.select(*keys, F.explode(F.array_distinct(split_lines("text"))).alias("line"))
-    return _frequent(lines, totals, keys, share, 4, F.count("*"))
+    return _frequent(pages, keys, None, share).drop("kind")
 
 
 def removal_lists(pages: DataFrame, keys: list[str]) -> DataFrame:
     """keys, headers, footers, boilerplate (sorted arrays) and confidence (3 places) of every document."""
-    edges = repeated_edges(pages, keys).groupBy(*keys).agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("line")))).alias(f"{k}s") for k in ("header", "footer")))
-    plates = boilerplate(pages, keys).groupBy(*keys).agg(F.array_sort(F.collect_set("line")).alias("boilerplate"))
-    out = pages.groupBy(*keys).agg(F.count("*").alias("pages")).join(edges, keys, "left").join(plates, keys, "left")
+    lists = {"headers": "header", "footers": "footer", "boilerplate": "boilerplate"}
+    found = _frequent(pages, keys, (2, 0.6), 0.7).groupBy(*keys).agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("line")))).alias(c) for c, k in lists.items()))
+    out = pages.groupBy(*keys).agg(F.count("*").alias("pages")).join(found, keys, "left")
     empty = F.array().cast("array<string>")
-    out = out.withColumns({c: F.coalesce(c, empty) for c in ("headers", "footers", "boilerplate")})
+    out = out.withColumns({c: F.coalesce(c, empty) for c in lists})
     share = F.least(F.lit(1.0), (F.size("headers") + F.size("footers")) / F.greatest(F.lit(1), F.col("pages")))
     return out.withColumn("confidence", F.round(share, 3)).drop("pages")
 

@@ -16,6 +16,7 @@ from millrace.functions import construction as C
 from millrace.functions import lexicon as L
 from millrace.functions import text as X
 from millrace.operators import catalog, chunking, duplicates, pages, quality, retrieval, vectors
+from millrace.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +48,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "conversations") else rows
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:

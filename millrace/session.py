@@ -1,6 +1,6 @@
-"""A session with the settings that results depend on; sizes are the cluster's to set."""
+"""A session with the settings that results depend on (sizes are the cluster's to set), and the dealing of small tables."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -11,3 +11,10 @@ def session(name: str = "millrace", master: str | None = None, **conf: str) -> S
     for k, v in {**fixed, **conf}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table's rows dealt evenly to all cores where its files make fewer tasks than that (a small table of one row group, say);
+    as they are otherwise, so that a large table is never shuffled for it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

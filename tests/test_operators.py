@@ -189,3 +189,19 @@ def test_states(one):
 def test_eligibility(spark):
     df = spark.createDataFrame([("a", "READY"), ("b", "READY"), ("a", "INDEXING"), (None, None)], "tenant_id string, status string")
     assert [r[0] for r in df.select(retrieval.eligible(df, F.lit("a"))).collect()] == [200, 404, 409, 404]
+
+
+def test_spread(spark, tmp_path):
+    from millrace.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/few")
+    few, many = spark.read.parquet(f"{tmp_path}/few"), spark.range(0, 100, 1, cores)
+    assert spread(few).rdd.getNumPartitions() == cores and sorted(r.id for r in spread(few).collect()) == list(range(100))
+    assert spread(many) is many
+
+
+def test_simhash_of_long_and_odd_texts(spark):
+    text = "alpha beta " * 70000 + "gamma"
+    got = {r["i"]: r["simhash"] for r in duplicates.simhash(spark.createDataFrame([(1, text), (2, "alpha beta"), (3, None), (4, "- -")], "i int, text string"), ["i"]).collect()}
+    assert got[1] == got[2] and got[3] == got[4] == 0
