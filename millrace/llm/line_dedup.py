@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 
 
-LINES = "transform(split(text, '\\n'), x -> regexp_replace(x, '\\r$', ''))"
+LINES = "transform(split(text, '\\n'), x -> if(endswith(x, '\\r'), left(x, length(x) - 1), x))"
 COUNTED = f"filter(transform({LINES}, (x, i) -> struct(i AS i, x AS x)), s -> s.x rlike '\\\\S')"
 
 
