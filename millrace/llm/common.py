@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.session import spread
 
 KINDS = {"long": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "string": T.StringType, "binary": T.BinaryType, "boolean": T.BooleanType}
 
@@ -23,7 +24,7 @@ def columns(ddl: str) -> T.StructType:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
