@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -154,12 +154,27 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 NODES = T.StructType([T.StructField("node", T.LongType()), T.StructField("elements", T.ArrayType(T.IntegerType()))])
 
 
+def hash_of(text: str = "text") -> Column:
+    """With doc_id it tells a row's text from others of the same id, or without one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def key(doc_id: str, text_hash: Column) -> Column:
+    """One column that equal ids (null ones too) with equal texts have in common."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), text_hash.cast("string"))
+
+
+def least(doc_id: str = "doc_id", text_hash: str = "hash") -> Column:
+    """Aggregate: the row of least doc_id, null ids last; the least hash among rows of one id."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(text_hash).alias("hash")))
+
+
 def sign(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """doc_id, node (of equal words), n (distinct elements) and bands (empty without words)."""
+    """doc_id, hash (of the text), node (of equal words), n (distinct elements) and bands (empty without words)."""
     arrow = to_arrow_schema(SIGNED)
 
     def lists(a: np.ndarray, full: np.ndarray) -> pa.Array:
@@ -176,10 +191,10 @@ def sign(docs: DataFrame, weights: str = "set") -> DataFrame:
                 full = np.array([len(w) > 0 for w in words])
                 some = [f for f in found if len(f[0])]
                 sig = signatures([f[0] for f in some], [f[1] for f in some] if weights == "counts" else None) if some else np.zeros((0, BANDS * ROWS), np.uint64)
-                columns = [ids[a:b], pa.array([node_of(w) for w in words], pa.int64()), pa.array([len(f[0]) for f in found], pa.int32()), lists(bands_of(sig), full)]
+                columns = [ids[a:b], batch.column("hash")[a:b], pa.array([node_of(w) for w in words], pa.int64()), pa.array([len(f[0]) for f in found], pa.int32()), lists(bands_of(sig), full)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return texts(docs).mapInArrow(run, SIGNED)
+    return texts(docs, hash_of().alias("hash")).mapInArrow(run, SIGNED)
 
 
 def short(elements: np.ndarray, weights: str) -> np.ndarray:
@@ -304,11 +319,11 @@ def links(component: np.ndarray, elements: list[np.ndarray], similar: float) ->
     return np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0)
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weights: str = "set") -> DataFrame:
-    """doc_id, class_id of every row of docs: the least doc_id of the class that is not null. Texts that have null ids alone are
-    in one class with texts of equal words only; class_id is null if such a class has no other."""
+def linked(docs: DataFrame, similar: float, weights: str) -> tuple[DataFrame, DataFrame, Linker]:
+    """The signed rows, their nodes (node, doc_id and hash of its least row, bands), and a linker that has seen all candidates."""
     signed = written(sign(docs, weights))
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = signed.groupBy("node").agg(least().alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("node", "at.doc_id", "at.hash", "n", "bands"))
     rows = nodes.select("node", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("band", "pivot")
     filed = written(rows.join(buckets, "band"))  # the nodes that share a band with another
@@ -319,14 +334,24 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weights: str = "s
         rest = linker.of(linker.of(star.join(best, ["node", "pivot"], "left_anti"), "node", "x"), "pivot", "y").where("x <> y")
         linker.link(rest.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         linker.link_within(filed)
+    return signed, nodes, linker
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weights: str = "set") -> DataFrame:
+    """doc_id, class_id of every row of docs: the least doc_id of the class that is not null. Texts that have null ids alone are
+    in one class with texts of equal words only; class_id is null if such a class has no other."""
+    signed, nodes, linker = linked(docs, similar, weights)
     member = linker.of(signed.select("doc_id", "node"), "node", "component")
     classes = linker.of(nodes.select("node", F.col("doc_id").alias("least")), "node", "component").groupBy("component").agg(F.min("least").alias("class_id"))
     return member.join(classes, "component").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id (one of them, if rows repeat it)."""
-    classes = near_duplicates(docs, similar)
-    first = classes.where("doc_id <=> class_id").select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs with one row of each class: that of its least doc_id, or one without id if the class has no other. Of rows that share
+    that id the text of least hash stays, and of equal texts one. Classes are of rows: other classes with the same id, or with
+    none, keep theirs."""
+    _, nodes, linker = linked(docs, similar, "set")
+    first = linker.of(nodes.select("node", "doc_id", "hash"), "node", "component").groupBy("component").agg(least().alias("at"))
+    first = first.select(key("at.doc_id", F.col("at.hash")).alias("_row"))
+    rows = docs.withColumn("_row", key("doc_id", hash_of())).dropDuplicates(["_row"])
+    return rows.join(first, "_row", "left_semi").drop("_row").select(*docs.columns)

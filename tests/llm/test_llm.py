@@ -216,6 +216,21 @@ def test_near_duplicates_against_plain(spark):
     assert kept.columns == ["doc_id", "text", "more"] and {r["doc_id"] for r in kept.collect()} == set(got.values())
 
 
+def test_keep_one_keeps_a_row_of_each_class(spark):
+    """Different texts under null and under one repeated id; copies of a numbered text under null; a repeated id in two classes."""
+    from millrace.llm.dart_minhash import keep_one
+
+    r = random.Random(2)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(30))
+    alone, numbered, shared = [text() for _ in range(5)], text(), [text() for _ in range(4)]
+    rows = [(None, t) for t in alone] + [(None, alone[0]), (None, numbered), (1, numbered), (2, numbered)]
+    rows += [(7, t) for t in shared] + [(7, shared[0]), (3, shared[1]), (7, numbered), (None, None), (None, "")]
+    kept = keep_one(frame(spark, rows).withColumn("more", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "more"]
+    got = Counter((r["doc_id"], r["text"] or "") for r in kept.collect())
+    assert got == Counter([*((None, t) for t in alone), (1, numbered), (7, shared[0]), (3, shared[1]), (7, shared[2]), (7, shared[3]), (None, "")])
+
+
 def test_blocks_find_the_same_links(spark, monkeypatch):
     from millrace.llm import dart_minhash as D
 
