@@ -3,7 +3,8 @@
 A text's features are its distinct words and their beginnings of four and five letters. The classifier is a logistic regression whose loss has, besides the log loss, a
 penalty on score changes between a labelled text and its counterfactuals: the text with an identity term swapped for another
 one of the same kind, and, since neutral mentions may be rare among the labelled rows, short labelled sentences with a neutral
-mention put in. So the mention of a group alone does not move a score. Features enter if their share of label 1 is further from
+mention put in. Swaps and mentions are two means of equal weight, over all pairs of the sample, so that many of one kind do not
+outweigh the other. So the mention of a group alone does not move a score. Features enter if their share of label 1 is further from
 the whole sample's than chance explains; the identity terms always enter, so that the penalty can hold them down.
 
 The model is fitted on the driver from at most `rows` labelled texts of each label; that is the only sample taken. Scores look
@@ -16,6 +17,7 @@ import re
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -66,13 +68,13 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _minimise(x: np.ndarray, y: np.ndarray, change: np.ndarray, square: float, swap: float, rounds: int = 25) -> np.ndarray:
+def _minimise(x: np.ndarray, y: np.ndarray, moved: np.ndarray, square: float, swap: float, rounds: int = 25) -> np.ndarray:
     """Newton's method on the mean log loss, plus square * |w|^2, plus swap * the mean square of the score changes of
-    counterfactual pairs (rows of change). The last weight is the bias, which no penalty holds."""
+    counterfactual pairs (w @ moved @ w). The last weight is the bias, which no penalty holds."""
     x = np.hstack([x, np.ones((len(x), 1))])
     fixed = 2 * square * np.eye(x.shape[1])
     fixed[-1, -1] = 1e-9
-    fixed[:-1, :-1] += 2 * swap / max(len(change), 1) * change.T @ change
+    fixed[:-1, :-1] += 2 * swap * moved
     w = np.zeros(x.shape[1])
     loss = lambda w: float((np.logaddexp(0, x @ w) - y * (x @ w)).mean() + w @ fixed @ w / 2)
     for _ in range(rounds):
@@ -88,23 +90,27 @@ def _minimise(x: np.ndarray, y: np.ndarray, change: np.ndarray, square: float, s
     return w
 
 
-def counterfactuals(sets: list[set[str]], most: int = 4000) -> list[tuple[set[str], set[str]]]:
-    """Pairs of word sets that should score alike: swaps within a kind, and a neutral mention put into short sentences."""
-    out, kinds = [], {k: v.split() for k, v in IDENTITIES.items()}
+def swaps(sets: list[set[str]]) -> Iterator[tuple[set[str], set[str]]]:
+    """Words that go and words that come, of pairs that should score alike: each identity term of each text for another of its
+    kind; and each term, alone, for the next."""
+    kinds = {k: v.split() for k, v in IDENTITIES.items()}
     kind_of = {t: k for k, terms in kinds.items() for t in terms}
     for i, s in enumerate(sets):
         for term in sorted(s & kind_of.keys()):
             terms = kinds[kind_of[term]]
-            other = terms[(terms.index(term) + 1 + i % (len(terms) - 1)) % len(terms)]
-            out.append((s, (s - {term}) | {other}))
+            yield {term}, {terms[(terms.index(term) + 1 + i % (len(terms) - 1)) % len(terms)]} - s
     every = sorted(kind_of)
+    for i, term in enumerate(every):
+        yield {term}, {every[(i + 1) % len(every)]}
+
+
+def mentions(sets: list[set[str]]) -> Iterator[tuple[set[str], set[str]]]:
+    """The same for a term put into each short text, and for each term's neutral mention alone."""
+    every = sorted(t for v in IDENTITIES.values() for t in v.split())
     for i, s in enumerate(sorted((s for s in sets if 0 < len(s) <= 80), key=lambda s: (len(s), sorted(s)))):
-        term = every[i % len(every)]
-        out.append((s, s | {term}))
-    for i, term in enumerate(every):  # each term's mention alone
-        out.append((set(), {w.format(term) for w in MENTION}))
-        out.append(({term}, {every[(i + 1) % len(every)]}))
-    return out[-most:]
+        yield set(), {every[i % len(every)]} - s
+    for term in every:
+        yield set(), {w.format(term) for w in MENTION}
 
 
 def distinct(sets: list[set[str]]) -> list[int]:
@@ -143,9 +149,16 @@ def fit(sets: list[set[str]], y: np.ndarray, least_texts: int = 4, chance: float
             m[i, [at[f] for f in expand(s) if f in at]] = 1
         return m
 
-    pairs = counterfactuals(sets)
-    change = matrix([a - b for a, b in pairs]) - matrix([b - a for a, b in pairs])
-    w = _minimise(matrix(sets), y, change[np.abs(change).sum(1) > 0], SQUARE, swap)
+    def moved(pairs: Iterator[tuple[set[str], set[str]]]) -> np.ndarray:
+        """The mean of change' change over all pairs that change anything, a block of pairs at a time."""
+        total, n = np.zeros((len(at), len(at))), 0
+        for block in batched(pairs, 1000):
+            change = matrix([a for a, _ in block]) - matrix([b for _, b in block])
+            total += change.T @ change
+            n += int(change.any(1).sum())
+        return total / max(n, 1)
+
+    w = _minimise(matrix(sets), y, moved(swaps(sets)) + moved(mentions(sets)), SQUARE, swap)
     return Toxicity({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, float(w[-1]))
 
 

@@ -388,6 +388,29 @@ def test_neutral_mentions_do_not_move_scores():
     assert change(with_swaps) < 0.05 and change(with_swaps) <= change(without) and with_swaps.scores(["you blorgon"])[0] > 0.5
 
 
+def test_swaps_hold_terms_among_many_short_texts():
+    """The weight of swaps as it is in use, and more pairs than 4000."""
+    from millrace.llm.toxicity import fit
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    sets, y = [], []
+    for i in range(4000):
+        bad = i % 2
+        s = {word() for _ in range(12)}
+        if bad and r.random() < 0.6:
+            s.add("blorgon")
+        if r.random() < (0.3 if bad else 0.03):
+            s.add("muslim")
+        sets.append(s)
+        y.append(float(bad))
+    log_odds = lambda p: np.log(p / (1 - p))
+    change = lambda m: abs(float(np.diff(log_odds(m.scores(["some people here", "some muslim people here"])))[0]))
+    model, free = fit(sets, np.array(y)), fit(sets, np.array(y), swap=0.0)
+    assert change(free) > 2 and change(model) < change(free) / 2
+    assert model.scores(["you blorgon"])[0] > 0.9
+
+
 def test_network_covers_whole_texts():
     from millrace.llm.byte_cnn import CHUNK, HOP, ByteCnn, chunks, starts
 
