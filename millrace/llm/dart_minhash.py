@@ -265,8 +265,9 @@ class Linker:
 
     def elements(self, nodes: DataFrame) -> DataFrame:
         """node, elements of the nodes of a column `node`."""
-        at = self.nodes.join(nodes.distinct(), "node").select("doc_id", "node")
-        return written(elements_of(texts(self.docs).join(at, "doc_id"), self.weights).dropDuplicates(["node"]))
+        at = self.nodes.join(nodes.distinct(), "node").select(key("doc_id", F.col("hash")).alias("_row"), "node")
+        rows = texts(self.docs, key("doc_id", hash_of()).alias("_row")).join(at, "_row")
+        return written(elements_of(rows, self.weights).dropDuplicates(["node"]))
 
     def merge(self, edges: DataFrame) -> None:
         """Join the components of edges (a, b) between components."""
@@ -338,8 +339,8 @@ def linked(docs: DataFrame, similar: float, weights: str) -> tuple[DataFrame, Da
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weights: str = "set") -> DataFrame:
-    """doc_id, class_id of every row of docs: the least doc_id of the class that is not null. Texts that have null ids alone are
-    in one class with texts of equal words only; class_id is null if such a class has no other."""
+    """doc_id, class_id of every row of docs: the least doc_id of the class that is not null; null if its rows have
+    null ids alone."""
     signed, nodes, linker = linked(docs, similar, weights)
     member = linker.of(signed.select("doc_id", "node"), "node", "component")
     classes = linker.of(nodes.select("node", F.col("doc_id").alias("least")), "node", "component").groupBy("component").agg(F.min("least").alias("class_id"))

@@ -231,6 +231,27 @@ def test_keep_one_keeps_a_row_of_each_class(spark):
     assert got == Counter([*((None, t) for t in alone), (1, numbered), (7, shared[0]), (3, shared[1]), (7, shared[2]), (7, shared[3]), (None, "")])
 
 
+def test_null_ids_are_linked_like_others(spark):
+    """Near copies among rows without id, between such rows and numbered ones, and under one repeated id."""
+    from millrace.llm.dart_minhash import keep_one, near_duplicates
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for ids in ((None, None, None), (None, 11, None), (7, 7, 7), (7, None, 5), (None,), (9, 9)):
+        base = [word() for _ in range(200)]
+        rows += [(d, " ".join([*base[:-1], word()])) for d in ids]
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    members = {}
+    for k, c in groups(numbered).items():
+        members.setdefault(c, []).append(rows[k][0])
+    assert len(members) == 6
+    least = {c: min((d for d in ids if d is not None), default=None) for c, ids in members.items()}
+    want = Counter((d, least[c]) for c, ids in members.items() for d in ids)
+    assert Counter((r["doc_id"], r["class_id"]) for r in near_duplicates(frame(spark, rows)).collect()) == want
+    assert Counter(r["doc_id"] for r in keep_one(frame(spark, rows)).collect()) == Counter(least.values())
+
+
 def test_blocks_find_the_same_links(spark, monkeypatch):
     from millrace.llm import dart_minhash as D
 
