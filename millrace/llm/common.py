@@ -42,20 +42,49 @@ def crc_mod(column: str, n: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a local temporary one only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a local temporary one only where that is unset and Spark is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def written_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost no rework."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    path = f"{written_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> bool:
+    """Deletes this application's intermediate tables. To be called when every result made of them has been used or stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(written_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that hold at least this share of a table's rows are hot; so at most its inverse of them are broadcast.
+HOT = 10_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", least: int = 500) -> DataFrame:
+    """rows joined with table (one row for each key) where a key may hold most of the rows. Both sides should be written tables.
+    The rows of a hot key are dealt over several parts, and its row of table is copied to each; all other keys have one part.
+    Hot keys and parts are at most 2 * HOT whatever the input, so the list of them is broadcast."""
+    share = max(least, rows.count() // HOT)
+    hot = rows.groupBy(key).agg(F.ceil(F.count("*") / share).cast("int").alias("_parts")).where("_parts > 1")
+    hot = F.broadcast(hot)
+    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_parts"), F.lit(0)).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("_part", salt).drop("_parts")
+    copied = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
 
 
 def arrow_rows(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:

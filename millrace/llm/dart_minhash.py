@@ -12,11 +12,17 @@ are all alike, null ones too. Texts with equal words are one node, whose copies
 
 Links. Nodes that share a band are candidates. Each node is first held against one node of the bucket it shares most bands
 with, then against the first node of its other buckets. In a bucket whose nodes are in several components still, all nodes of
-different components are compared, by blocks: a block's intersections are one matrix product over the elements that two of its
-nodes share, and only the links come out. Links are exact similarities (of 32-bit element hashes) of at least the threshold;
-classes are the connected components of links, so
-that a group of thousands of copies costs links in proportion to its size. Bands of 7 of 224 coordinates find a pair of
-similarity 0.8 with a probability over 0.999. Everything is joined and grouped by Spark; nothing of the corpus is collected.
+different components are compared: a group's intersections are one matrix product over the elements that two of its nodes share,
+and only the links come out. Buckets with the same nodes count once. A bucket too large for one group is split without loss:
+similar nodes share one of the first n - ceil(0.8 n) + 1 elements of each, whatever order the elements have, so the bucket's
+nodes meet by those elements, the rarest ones first; text that all of them have in common brings none together. What is large
+even so goes in blocks, each two of which meet in one group. Links are exact similarities (of 64-bit element hashes) of at least
+the threshold; classes are the connected components of links, so that a group of thousands of copies costs links in proportion
+to its size. Bands of 7 of 224 coordinates find a pair of similarity 0.8 with a probability over 0.999. Everything is joined and
+grouped by Spark; nothing of the corpus is collected.
+
+Null texts are empty ones, and all texts without words are one class; null ids count as greatest, and a class of them alone has
+class_id null. Rows that repeat an id are told apart by their texts. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,11 +41,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
-from millrace.llm.common import slices, texts, written
+from millrace.llm.common import hot_join, slices, texts, written
 
 WORDS, BANDS, ROWS, SIMILAR = 5, 32, 7, 0.8
-#: Nodes of a block where a bucket is compared as a whole.
-BLOCK = 1000
+#: Nodes, and elements of nodes, that are compared as one group.
+BLOCK, WEIGHT = 1000, 2_000_000
 REMEMBERED = 1_000_000
 #: Marks that are cut off the sides of words.
 MARKS = string.punctuation + "«»“”„‘’…–—·¿¡"
@@ -155,7 +161,7 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-NODES = T.StructType([T.StructField("node", T.LongType()), T.StructField("elements", T.ArrayType(T.IntegerType()))])
+NODES = T.StructType([T.StructField("node", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
 
 
 def hash_of(text: str = "text") -> Column:
@@ -174,7 +180,7 @@ def least(doc_id: str = "doc_id", text_hash: str = "hash") -> Column:
 
 
 def sign(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """doc_id, hash (of the text), node (of equal words), n (distinct elements) and bands (empty without words)."""
+    """doc_id, hash (of the text), node (of equal words), n (how many elements it is compared by) and bands (empty without words)."""
     arrow = to_arrow_schema(SIGNED)
 
     def lists(a: np.ndarray, full: np.ndarray) -> pa.Array:
@@ -191,22 +197,22 @@ def sign(docs: DataFrame, weights: str = "set") -> DataFrame:
                 full = np.array([len(w) > 0 for w in words])
                 some = [f for f in found if len(f[0])]
                 sig = signatures([f[0] for f in some], [f[1] for f in some] if weights == "counts" else None) if some else np.zeros((0, BANDS * ROWS), np.uint64)
-                columns = [ids[a:b], batch.column("hash")[a:b], pa.array([node_of(w) for w in words], pa.int64()), pa.array([len(f[0]) for f in found], pa.int32()), lists(bands_of(sig), full)]
+                columns = [ids[a:b], batch.column("hash")[a:b], pa.array([node_of(w) for w in words], pa.int64()), pa.array([int(f[1].sum()) if weights == "counts" else len(f[0]) for f in found], pa.int32()), lists(bands_of(sig), full)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return texts(docs, hash_of().alias("hash")).mapInArrow(run, SIGNED)
 
 
-def short(elements: np.ndarray, weights: str) -> np.ndarray:
-    """Sorted 32-bit hashes of a text's elements; with counts, of each element's first, second, ... occurrence."""
+def compared(elements: np.ndarray, weights: str) -> np.ndarray:
+    """Sorted hashes of a text's elements; with counts, of each element's first, second, ... occurrence."""
     h, count = np.unique(elements, return_counts=True)
     if weights == "counts":
-        h = mix(np.repeat(h, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64))
-    return np.unique((h >> _U(32)).astype(np.uint32)).view(np.int32)
+        h = np.sort(mix(np.repeat(h, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)))
+    return h.view(np.int64)
 
 
 def elements_of(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """node, elements (see short()) of each row of docs (doc_id, text, node) whose words are its node's."""
+    """node, elements (see compared()) of each row of docs (text, node) whose words are its node's."""
     arrow = to_arrow_schema(NODES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +221,10 @@ def elements_of(docs: DataFrame, weights: str = "set") -> DataFrame:
             column, nodes = batch.column("text"), batch.column("node")
             for a, b in slices(column, 1 << 20):
                 rows = [(n, maker.words(t)) for n, t in zip(nodes[a:b].to_pylist(), column[a:b].to_pylist(), strict=True)]
-                rows = [(n, short(maker.elements(w), weights)) for n, w in rows if node_of(w) == n]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], schema=arrow)
+                rows = [(n, compared(maker.elements(w), weights)) for n, w in rows if node_of(w) == n]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], schema=arrow)
 
-    return docs.select("doc_id", "text", "node").mapInArrow(run, NODES)
+    return docs.select("text", "node").mapInArrow(run, NODES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,11 +242,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
+def mixed(rows: DataFrame) -> DataFrame:
+    """key, members, weight of the groups of rows (key, node, n, component) whose nodes are in several components; of groups with
+    the same nodes, one."""
+    found = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("print"))
+    return found.where("low <> high").groupBy("members", "weight", "print").agg(F.min("key").alias("key")).drop("print")
+
+
 class Linker:
-    """Verified links and the components that they make so far."""
+    """Verified links of candidate nodes, and the components that they make so far."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, similar: float, weights: str):
-        self.docs, self.nodes, self.similar, self.weights = docs, nodes, similar, weights
+    def __init__(self, elements: DataFrame, similar: float):
+        self.elements, self.similar = elements, similar  # node, elements
         self.known: DataFrame | None = None  # node, component
 
     def of(self, rows: DataFrame, node: str, name: str) -> DataFrame:
@@ -251,24 +264,18 @@ class Linker:
         return rows.join(labels, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
     def link(self, pairs: DataFrame) -> bool:
-        """Compare pairs (a, b) exactly, and join the components of those that are similar. Says whether there were any."""
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        """Compare pairs (a, b) exactly, b being a node that many others may have, and join the components of those that are
+        similar. Says whether there were any pairs."""
+        pairs = written(pairs)
         if not pairs.limit(1).count():
             return False
-        known = self.elements(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-        first = pairs.join(known.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-        second = first.join(known.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
+        second = hot_join(pairs, self.elements.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
+        both = second.join(self.elements.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y"))
-        edges = second.where(common >= F.lit(self.similar) * (F.size("x") + F.size("y") - common)).select("a", "b")
+        edges = both.where(common >= F.lit(self.similar) * (F.size("x") + F.size("y") - common)).select("a", "b")
         self.merge(self.of(self.of(written(edges), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         return True
 
-    def elements(self, nodes: DataFrame) -> DataFrame:
-        """node, elements of the nodes of a column `node`."""
-        at = self.nodes.join(nodes.distinct(), "node").select(key("doc_id", F.col("hash")).alias("_row"), "node")
-        rows = texts(self.docs, key("doc_id", hash_of()).alias("_row")).join(at, "_row")
-        return written(elements_of(rows, self.weights).dropDuplicates(["node"]))
-
     def merge(self, edges: DataFrame) -> None:
         """Join the components of edges (a, b) between components."""
         merged = components(edges.where("a <> b"))
@@ -278,23 +285,37 @@ class Linker:
         old = self.known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         self.known = written(old.union(merged.join(self.known, "node", "left_anti")))
 
+    def split(self, rows: DataFrame) -> DataFrame:
+        """rows (key, node, n, component) of groups, with a group for each element by which similar nodes of it have to meet."""
+        has = rows.select("node", "n").distinct().join(self.elements, "node").select("node", "n", F.explode("elements").alias("element"))
+        shared = has.groupBy("element").agg(F.count("*").alias("nodes")).where("nodes > 1")
+        ranked = has.join(shared, "element").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("nodes", "element"))).alias("r"))
+        # the n - size(r) elements that no other node has come first, and lead nowhere
+        first = F.greatest(F.size("r") - F.ceil(F.lit(self.similar) * F.col("n") - F.lit(1e-9)).cast("int") + 1, F.lit(0))
+        meet = ranked.select("node", F.explode(F.slice("r", F.lit(1), first)).alias("e")).select("node", "e.element")
+        return rows.join(meet, "node").select(F.xxhash64("key", "element").alias("key"), "node", "n", "component")
+
     def link_within(self, filed: DataFrame) -> None:
-        """Compare all nodes of one band (band, node) that are in different components. A bucket goes in blocks of some BLOCK
-        nodes, each two of which meet in one group, so that no group is larger than two blocks."""
-        labelled = written(self.of(filed.select("band", "node"), "node", "component"))
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high")
-        open_ = written(labelled.join(mixed.select("band", F.ceil(F.col("members") / BLOCK).alias("blocks")), "band"))
+        """Compare all nodes of one band (band, node, n) that are in different components."""
+        rows = written(self.of(filed.select(F.col("band").alias("key"), "node", "n"), "node", "component"))
+        open_ = written(rows.join(mixed(rows), "key"))
         if not open_.limit(1).count():
             return
-        rows = open_.join(self.elements(open_.select("node")), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        fits = (F.col("members") <= BLOCK) & (F.col("weight") <= WEIGHT)
+        large = open_.where(~fits).drop("members", "weight")
+        if large.limit(1).count():
+            parts = written(self.split(large))
+            open_ = open_.where(fits).unionByName(parts.join(mixed(parts), "key"))
+        blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / WEIGHT))
+        rows = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", "elements")
-        similar = self.similar
+        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component")
+        rows, similar = rows.join(self.elements, "node").drop("node"), self.similar
 
         def compare(group: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame(links(group["component"].to_numpy(), list(group["elements"]), similar), columns=["a", "b"])
 
-        self.merge(written(rows.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()))
+        self.merge(written(rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()))
 
 
 def links(component: np.ndarray, elements: list[np.ndarray], similar: float) -> np.ndarray:
@@ -325,10 +346,12 @@ def linked(docs: DataFrame, similar: float, weights: str) -> tuple[DataFrame, Da
     signed = written(sign(docs, weights))
     nodes = signed.groupBy("node").agg(least().alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.select("node", "at.doc_id", "at.hash", "n", "bands"))
-    rows = nodes.select("node", F.explode("bands").alias("band"))
+    rows = nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("band", "pivot")
     filed = written(rows.join(buckets, "band"))  # the nodes that share a band with another
-    linker = Linker(docs, nodes, similar, weights)
+    at = nodes.join(filed.select("node").distinct(), "node").select(key("doc_id", F.col("hash")).alias("_row"), "node")
+    each = texts(docs, key("doc_id", hash_of()).alias("_row")).select("_row", "text").dropDuplicates(["_row"])
+    linker = Linker(written(elements_of(each.join(at, "_row"), weights)), similar)
     star = written(filed.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("shared")))
     best = star.groupBy("node").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
     if linker.link(best.select(F.col("node").alias("a"), F.col("pivot").alias("b"))):
@@ -338,13 +361,21 @@ def linked(docs: DataFrame, similar: float, weights: str) -> tuple[DataFrame, Da
     return signed, nodes, linker
 
 
+def firsts(nodes: DataFrame, linker: Linker) -> DataFrame:
+    """node and `at`, the least row (see least()) of its class, of the nodes that have links."""
+    if linker.known is None:
+        return nodes.limit(0).select("node", F.struct(F.lit(False).alias("none"), "doc_id", "hash").alias("at"))
+    classes = linker.known.join(nodes.select("node", "doc_id", "hash"), "node").groupBy("component").agg(least().alias("at"))
+    return hot_join(linker.known, classes, "component").select("node", "at")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, weights: str = "set") -> DataFrame:
     """doc_id, class_id of every row of docs: the least doc_id of the class that is not null; null if its rows have
     null ids alone."""
     signed, nodes, linker = linked(docs, similar, weights)
-    member = linker.of(signed.select("doc_id", "node"), "node", "component")
-    classes = linker.of(nodes.select("node", F.col("doc_id").alias("least")), "node", "component").groupBy("component").agg(F.min("least").alias("class_id"))
-    return member.join(classes, "component").select("doc_id", "class_id")
+    first = nodes.select("node", "doc_id").join(firsts(nodes, linker), "node", "left")
+    first = written(first.select("node", F.when(F.col("at").isNull(), F.col("doc_id")).otherwise(F.col("at.doc_id")).alias("class_id")))
+    return hot_join(signed.select("node", "doc_id"), first, "node").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -352,7 +383,8 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     that id the text of least hash stays, and of equal texts one. Classes are of rows: other classes with the same id, or with
     none, keep theirs."""
     _, nodes, linker = linked(docs, similar, "set")
-    first = linker.of(nodes.select("node", "doc_id", "hash"), "node", "component").groupBy("component").agg(least().alias("at"))
-    first = first.select(key("at.doc_id", F.col("at.hash")).alias("_row"))
-    rows = docs.withColumn("_row", key("doc_id", hash_of())).dropDuplicates(["_row"])
-    return rows.join(first, "_row", "left_semi").drop("_row").select(*docs.columns)
+    own = nodes.select("node", key("doc_id", F.col("hash")).alias("_millrace_row"))
+    at = firsts(nodes, linker).select("node", key("at.doc_id", F.col("at.hash")).alias("_first"))
+    first = own.join(at, "node", "left").where("_first IS NULL OR _first = _millrace_row").select("_millrace_row")
+    rows = docs.withColumn("_millrace_row", key("doc_id", hash_of())).dropDuplicates(["_millrace_row"])
+    return rows.join(first, "_millrace_row", "left_semi").drop("_millrace_row").select(*docs.columns)

@@ -260,6 +260,40 @@ def test_blocks_find_the_same_links(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in D.near_duplicates(frame(spark, rows)).collect()} == groups(rows)
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """One bucket of many nodes that have half of their elements in common: split by the elements where similar nodes meet."""
+    from millrace.llm import dart_minhash as D
+
+    monkeypatch.setattr(D, "BLOCK", 5)
+    r, common = random.Random(8), list(range(40))
+    sets = []
+    for _ in range(25):
+        own = common + [r.randrange(1000, 10**6) for _ in range(40)]
+        sets += [own, [r.randrange(10**6) if r.random() < 0.12 else e for e in own]]
+    sets = [sorted(set(s)) for s in sets]
+    alike = lambda a, b: len({*a} & {*b}) >= 0.8 * len({*a} | {*b})
+    want = {(i, j) for i in range(50) for j in range(i) if alike(sets[i], sets[j])}
+    assert 5 < len(want) < 25
+    linker = D.Linker(spark.createDataFrame(list(enumerate(sets)), "node long, elements array<long>").cache(), 0.8)
+    filed = spark.createDataFrame([(b, i, len(s)) for b in (1, 2) for i, s in enumerate(sets)], "band long, node long, n int")
+    largest = []
+    monkeypatch.setattr(D.Linker, "merge", lambda self, edges: largest.append({(r["b"], r["a"]) for r in edges.collect()}))
+    linker.link_within(filed)
+    assert largest == [want]
+    parts = linker.split(filed.select(F.col("band").alias("key"), "node", "n", F.col("node").alias("component")))
+    assert parts.groupBy("key").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_hot_keys_are_dealt(spark):
+    from millrace.llm.common import hot_join
+
+    rows = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(3000)] + [(None, -1)], "k long, v long").cache()
+    table = rows.select("k").distinct().withColumn("t", F.col("k") * 2)
+    for how, n in (("inner", 3000), ("left", 3001)):
+        got = hot_join(rows, table, "k", how, least=100)
+        assert got.columns == ["k", "v", "t"] and got.count() == n and got.where("t <> 2 * k").count() == 0
+
+
 def test_signatures_estimate_similarity():
     from millrace.llm.dart_minhash import mix, signatures
 
