@@ -1,15 +1,20 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
 Vectors of whole numbers are ordered by a locality code (signs of fixed random projections) and cut into blocks of consecutive
-rows. A block keeps its greatest and least value of each dimension, and its rows as a forward index. For one query a block's
-bound is the sum over dimensions of the query's weight times the greatest value (the least one, for negative weights). Blocks
-are visited from the highest bound down, each one scored through its forward index, until no bound reaches the k-th score; at
-equal score and bound a block is still skipped if its least id is beyond the k-th result's. Each query begins with the k-th
-score among the other queries of its own block, which are candidates too.
-
-Queries are a stated set: they go in blocks to every shard (a row of many blocks); each pair gives at most k results a query,
-and a window keeps the k best of them. Vectors of different sizes do not meet. A candidate with the query's own id takes no
-part; repeated candidate rows are candidates each; of query rows that repeat an id one is asked.
+rows; some thousand rows are a shard. A block keeps its greatest and least value of each dimension, and its rows as a forward
+index. For one query a block's bound is the sum over dimensions of the query's weight times the greatest value (the least one,
+for negative weights). Blocks are visited from the highest bound down, each one scored through its forward index, until no bound
+reaches the k-th score; at equal score and bound a block is still skipped if its least id is beyond the k-th result's. Each
+query begins with the k-th score among the other queries of its own block, which are candidates too.
+
+Queries are a stated set; they go in blocks. First the shards' extremes alone, many shards to a row, meet the query blocks, and
+only the pairs of query block and shard in which some query's bound reaches its k-th score so far get the vectors. Each pair
+gives at most k results a query, and a window keeps the k best of them. Vectors of different sizes do not meet.
+
+A row is its own, whatever its id: each query row is asked, and all rows but itself are its candidates, those with the same id
+or none too. Ties go to the smaller vec_id, null ids last; a query without id keeps a null query_id. Sums are exact: in floating
+point or in longs where the operands' bounds allow it, in Python's numbers elsewhere; a score beyond a long is given, and
+ranked, as the nearest long.
 """
 
 from __future__ import annotations
@@ -25,18 +30,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.llm.common import arrow_rows, columns, written
 
-BLOCK, SHARD, QUERIES = 128, 4096, 1024
-#: Components from here on would not surely have sums in a long; such vectors take no part, like those with non-finite ones.
-LARGEST = 1 << 25
-PACKED = columns("number long,size int,least long,ids binary,rows binary,theta binary")
-HITS = columns("query_id long,vec_id long,score long")
+BLOCK, SHARD, QUERIES, TOGETHER = 128, 4096, 1024, 64
+#: ids: 2^63 - 1 for null ones, which `known` tells apart; rows: of the narrowest kind of number that holds them exactly.
+PACKED = columns("number long,size int,kind string,keys binary,ids binary,known binary,rows binary,theta binary")
+HITS = columns("query long,query_id long,row long,vec_id long,score long")
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def whole(vectors: DataFrame, vector: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """vec_id, x (array of long): floor(scale * component), of vectors that have an id and finite components only."""
+    """vec_id, x (array of whole doubles): floor(scale * component), of vectors that have finite components only."""
     x = F.transform(vector, lambda v: F.lit(scale) * v.cast("double"))
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float(LARGEST))))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v)).alias("x"))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    floor = lambda v: F.when(F.abs(v) < F.lit(2.0**52), F.floor(v).cast("double")).otherwise(v)
+    return vectors.where(F.col(vector).isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, floor).alias("x"))
 
 
 def _code(x: np.ndarray, bits: int = 14) -> np.ndarray:
@@ -46,26 +52,28 @@ def _code(x: np.ndarray, bits: int = 14) -> np.ndarray:
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """ids and rows, for each size of vector in a batch."""
-    ids, lists = batch.column("vec_id").to_numpy(), batch.column("x")
+    """Places in a batch, and their vectors, for each size of vector."""
+    lists = batch.column("x")
     size, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
     begin = np.cumsum(size) - size
     for d in np.unique(size):
         at = np.flatnonzero(size == d)
-        yield ids[at], flat[begin[at][:, None] + np.arange(d)].astype(np.int64).reshape(len(at), d)
+        yield at, flat[begin[at][:, None] + np.arange(d)].astype(float).reshape(len(at), d)
 
 
 def ordered(vectors: DataFrame) -> DataFrame:
-    """vec_id, x, in order of size, locality code and id over the partitions."""
+    """row (a number of its own), vec_id, x, asked, in order of size, locality code and id over the partitions. To be written
+    before use: another run can number the rows otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, x in _matrices(batch):
-                offsets = pa.array(np.arange(len(ids) + 1) * x.shape[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), pa.array(_code(x) + (x.shape[1] << 16))], ["vec_id", "x", "code"])
+            code = np.zeros(batch.num_rows, np.int64)
+            for at, x in _matrices(batch):
+                code[at] = _code(x) + (x.shape[1] << 16)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "x", "asked")), pa.array(code)], ["vec_id", "x", "asked", "code"])
 
-    coded = vectors.mapInArrow(run, "vec_id long, x array<long>, code long")
-    return coded.repartitionByRange("code", "vec_id").sortWithinPartitions("code", "vec_id").select("vec_id", "x")
+    coded = vectors.mapInArrow(run, "vec_id long, x array<double>, asked boolean, code long")
+    return coded.repartitionByRange("code", "vec_id").sortWithinPartitions("code", "vec_id").select(F.monotonically_increasing_id().alias("row"), "vec_id", "x", "asked")
 
 
 def packed(vectors: DataFrame, rows: int, k: int = 0) -> DataFrame:
@@ -73,105 +81,161 @@ def packed(vectors: DataFrame, rows: int, k: int = 0) -> DataFrame:
     k-th score. The numbers are unique within one run; so the table has to be written before it is used."""
     arrow = to_arrow_schema(PACKED)
 
-    def row(number: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        theta = np.full(len(ids), np.iinfo(np.int64).min)
+    def row(number: int, keys: np.ndarray, ids: np.ndarray, known: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        theta = np.full(len(ids), _LEAST)
         if k and len(ids) > k:
             own = product(x, x)
-            own[ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+            own[np.arange(len(ids)), np.arange(len(ids))] = _LEAST
             theta = np.partition(own, len(ids) - k, axis=1)[:, len(ids) - k]
-        return arrow_rows({"number": [number], "size": [x.shape[1]], "least": [int(ids.min())], "ids": [ids.tobytes()], "rows": [x.astype(np.int32).tobytes()], "theta": [theta.tobytes()]}, arrow)
+        kind = next((c for c in ("i1", "i2", "i4") if len(x) and np.abs(x).max(initial=0) <= np.iinfo(c).max), "f8")
+        values = {"keys": keys, "ids": ids, "known": known, "rows": x.astype(kind), "theta": theta}
+        return arrow_rows({"number": [number], "size": [x.shape[1]], "kind": [kind], **{n: [v.tobytes()] for n, v in values.items()}}, arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for ids, x in _matrices(batch):
+            ids, keys = batch.column("vec_id"), batch.column("row").to_numpy()
+            known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(_MOST).to_numpy()
+            for at, x in _matrices(batch):
                 d = x.shape[1]
-                held.setdefault(d, []).append((ids, x))
-                if sum(len(i) for i, _ in held[d]) >= rows:
-                    ids, x = (np.concatenate(p) for p in zip(*held[d], strict=True))
-                    for i in range(0, len(ids) - rows + 1, rows):
-                        yield row(number, ids[i : i + rows], x[i : i + rows])
+                held.setdefault(d, []).append((keys[at], ids[at], known[at], x))
+                if sum(len(p[0]) for p in held[d]) >= rows:
+                    parts = [np.concatenate(p) for p in zip(*held[d], strict=True)]
+                    n = len(parts[0])
+                    for i in range(0, n - rows + 1, rows):
+                        yield row(number, *(p[i : i + rows] for p in parts))
                         number += 1
-                    rest = len(ids) % rows
-                    held[d] = [(ids[len(ids) - rest :], x[len(ids) - rest :])]
-        for parts in held.values():
-            ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
-            if len(ids):
-                yield row(number, ids, x)
+                    held[d] = [tuple(p[n - n % rows :] for p in parts)]
+        for tail in held.values():
+            parts = [np.concatenate(p) for p in zip(*tail, strict=True)]
+            if len(parts[0]):
+                yield row(number, *parts)
                 number += 1
 
     return vectors.mapInArrow(run, PACKED)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of whole numbers, in floating point where that is exact."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1) < 2**52:
-        return np.rint(a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a @ b.T
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (its row): ids and scores of its k best rows of x that can be among its k best of all."""
-    begin = np.arange(0, len(ids), BLOCK)
-    high, low, least = np.maximum.reduceat(x, begin), np.minimum.reduceat(x, begin), np.minimum.reduceat(ids, begin)
-    bound = product(np.maximum(q, 0), high) + product(np.minimum(q, 0), low)
-    order, out = np.argsort(-bound, axis=1, kind="stable"), []
+    """a @ b.T of whole doubles, exactly, as longs; what is beyond a long becomes the nearest one."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
+    if most < 2**52:
+        return np.rint(a @ b.T).astype(np.int64)
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    left, right = ([[int(v) for v in r] for r in m] for m in (a, b))
+    exact = [[min(max(sum(map(int.__mul__, r, c)), int(_LEAST)), int(_MOST)) for c in right] for r in left]
+    return np.array(exact, np.int64).reshape(len(a), len(b))
+
+
+def extremes(x: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each block of rows begins, and its greatest and least value of each dimension."""
+    begin = np.arange(0, len(x), size)
+    return begin, np.maximum.reduceat(x, begin), np.minimum.reduceat(x, begin)
+
+
+def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """(queries, blocks): no row of the block has a higher score. The two sums are each clamped to a long, so is their sum."""
+    a, b = product(np.maximum(q, 0), high), product(np.minimum(q, 0), low)
+    total = a + b
+    over = ((a ^ total) & (b ^ total)) < 0  # two's complement: the sum left the range
+    total[over] = np.where(a[over] > 0, _MOST, _LEAST)
+    total[(a == _MOST) | (b == _MOST)] = _MOST  # a clamped part bounds nothing
+    return total
+
+
+def search(q_keys: np.ndarray, q: np.ndarray, theta: np.ndarray, keys: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query (its row): places and scores of its k best rows of x that can be among its k best of all."""
+    begin, high, low = extremes(x)
+    least, bound = np.minimum.reduceat(ids, begin), bounds(q, high, low)
+    order, out = np.argsort(bound, axis=1)[:, ::-1], []
     for i in np.flatnonzero(bound.max(1) >= theta):
-        best_s, best_i, kth, last = np.empty(0, np.int64), np.empty(0, np.int64), theta[i], np.iinfo(np.int64).max
+        best_s, best, kth, last = np.empty(0, np.int64), np.empty(0, np.int64), theta[i], _MOST
         for b in order[i]:
             top = bound[i, b]
             if top < kth:
                 break
             if top == kth and least[b] > last:
                 continue
-            at = slice(begin[b], begin[b] + BLOCK)
-            s = product(x[at], q[i : i + 1])[:, 0]
-            good = (s >= kth) & (ids[at] != q_ids[i])
-            if good.any():
-                best_s, best_i = np.append(best_s, s[good]), np.append(best_i, ids[at][good])
-                pick = np.lexsort((best_i, -best_s))[:k]
-                best_s, best_i = best_s[pick], best_i[pick]
+            s = product(x[begin[b] : begin[b] + BLOCK], q[i : i + 1])[:, 0]
+            at = np.flatnonzero(s >= kth)
+            at = at[keys[begin[b] + at] != q_keys[i]]
+            if len(at):
+                best_s, best = np.append(best_s, s[at]), np.append(best, begin[b] + at)
+                pick = np.lexsort((keys[best], ids[best], ~best_s))[:k]  # ~s falls as s rises, for every long
+                best_s, best = best_s[pick], best[pick]
                 if len(pick) == k:
-                    kth, last = max(kth, best_s[-1]), best_i[-1] if best_s[-1] >= kth else last
-        out.append((i, best_i, best_s))
+                    kth, last = max(kth, best_s[-1]), ids[best[-1]] if best_s[-1] >= kth else last
+        out.append((i, best, best_s))
     return out
 
 
+def _view(batch: pa.RecordBatch, name: str, row: int, kind: type | str = np.int64) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[row].as_py(), kind)
+
+
+def _rows(batch: pa.RecordBatch, row: int, n: int, prefix: str = "") -> np.ndarray:
+    """n packed vectors."""
+    kind, d = batch.column(f"{prefix}kind")[row].as_py(), batch.column("size")[row].as_py()
+    return _view(batch, f"{prefix}rows", row, kind).astype(float).reshape(n, d)
+
+
+def close(blocks: DataFrame, shards: DataFrame) -> DataFrame:
+    """block, shard: the pairs in which a query's bound, from the shard's extremes, reaches what the query has already. Shards come
+    TOGETHER to a row here, with two values a dimension each."""
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                _, high, low = extremes(_rows(batch, r, len(_view(batch, "keys", r))), 1 << 60)
+                ends = [pa.array([e[0].tolist()], pa.list_(pa.float64())) for e in (high, low)]
+                yield pa.RecordBatch.from_arrays([batch.column("number")[r : r + 1], batch.column("size")[r : r + 1], *ends], ["shard", "size", "high", "low"])
+
+    parts = max(1, shards.count() // TOGETHER)
+    outlines = shards.select("number", "size", "kind", "keys", "rows").mapInArrow(outline, "shard long, size int, high array<double>, low array<double>")
+    groups = outlines.groupBy("size", F.pmod(F.xxhash64("shard"), F.lit(parts)).alias("part"))
+    groups = groups.agg(F.collect_list(F.struct("shard", "high", "low")).alias("s"))
+    groups = groups.select("size", "part", F.col("s.shard").alias("shards"), F.flatten("s.high").alias("high"), F.flatten("s.low").alias("low"))
+    asking = blocks.select(F.col("number").alias("block"), "size", "kind", "rows", "theta", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                theta, at, d = _view(batch, "theta", r), batch.column("shards")[r].values.to_numpy(), batch.column("size")[r].as_py()
+                high, low = (batch.column(n)[r].values.to_numpy().reshape(len(at), d) for n in ("high", "low"))
+                near = (bounds(_rows(batch, r, len(theta)), high, low) >= theta[:, None]).any(0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), batch.column("block")[r].as_py())), pa.array(at[near])], ["block", "shard"])
+
+    pairs = asking.join(groups, ["size", "part"]).select("block", "size", "kind", "rows", "theta", "shards", "high", "low")
+    return pairs.mapInArrow(reach, "block long, shard long")
+
+
 def top_k(vectors: DataFrame, asked: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, x) that `asked` holds for, its k highest scores among
     all other rows; ties go to the smaller vec_id."""
     if k < 1:
         raise ValueError("k has to be positive")
-    every = written(ordered(vectors))
+    every = written(ordered(vectors.select("vec_id", F.col("x").cast("array<double>").alias("x"), F.coalesce(asked, F.lit(False)).alias("asked"))))
     shards = written(packed(every, SHARD))
-    blocks = written(packed(ordered(every.where(asked).dropDuplicates(["vec_id"])), QUERIES, k))
-    # shards get numbers from 0, each query block goes to each of them
-    per_task = {r["task"]: r["n"] for r in shards.groupBy(F.shiftright("number", 32).alias("task")).agg(F.count("*").alias("n")).collect()}
-    total, before = 0, {}
-    for task in sorted(per_task):
-        before[task], total = total, total + per_task[task]
-    spark = vectors.sparkSession
-    base = spark.createDataFrame([(t, n) for t, n in before.items()], "task long, base long")
-    placed = shards.withColumn("task", F.shiftright("number", 32)).join(F.broadcast(base), "task")  # a row for each task
-    placed = placed.select((F.col("base") + F.col("number").bitwiseAND(F.lit((1 << 32) - 1))).alias("shard"), "size", F.col("ids").alias("s_ids"), F.col("rows").alias("s_rows"))
-    asking = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(total - 1, 0)).cast("long"))).alias("shard"), "size", "ids", "rows", "theta")
-    n = max(1, min(total, 4096))
-    pairs = asking.repartition(n, "shard", "size").join(placed.repartition(n, "shard", "size"), ["shard", "size"])
+    blocks = written(packed(every.where("asked").repartitionByRange("row").sortWithinPartitions("row"), QUERIES, k))
+    asking = written(close(blocks, shards)).join(blocks.select(F.col("number").alias("block"), *(F.col(c).alias(f"q_{c}") for c in ("kind", "keys", "ids", "known", "rows", "theta"))), "block")
+    placed = shards.select(F.col("number").alias("shard"), "size", "kind", "keys", "ids", "known", "rows")
+    n = max(1, min(4 * placed.count(), 20_000))  # a shard goes to one task, and few tasks have two
+    both = asking.repartition(n, "shard").join(placed.repartition(n, "shard"), "shard")
     arrow = to_arrow_schema(HITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda name, kind, r=r: np.frombuffer(batch.column(name)[r].as_py(), kind)
-                d = batch.column("size")[r].as_py()
-                q_ids, ids = get("ids", np.int64), get("s_ids", np.int64)
-                q, x = get("rows", np.int32).astype(np.int64).reshape(len(q_ids), d), get("s_rows", np.int32).astype(np.int64).reshape(len(ids), d)
-                found = search(q_ids, q, get("theta", np.int64), ids, x, k)
+                q_keys, q_ids, q_known = _view(batch, "q_keys", r), _view(batch, "q_ids", r), _view(batch, "q_known", r, bool)
+                keys, ids, known = _view(batch, "keys", r), _view(batch, "ids", r), _view(batch, "known", r, bool)
+                found = search(q_keys, _rows(batch, r, len(q_keys), "q_"), _view(batch, "q_theta", r), keys, ids, _rows(batch, r, len(keys)), k)
                 if found:
-                    who = np.repeat(q_ids[[i for i, _, _ in found]], [len(v) for _, v, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], schema=arrow)
+                    who = np.repeat([i for i, _, _ in found], [len(v) for _, v, _ in found])
+                    at = np.concatenate([v for _, v, _ in found])
+                    cells = [pa.array(q_keys[who]), pa.array(q_ids[who], mask=~q_known[who]), pa.array(keys[at]), pa.array(ids[at], mask=~known[at]), pa.array(np.concatenate([s for _, _, s in found]))]
+                    yield pa.RecordBatch.from_arrays(cells, schema=arrow)
 
-    hits = pairs.select("size", "ids", "rows", "theta", "s_ids", "s_rows").mapInArrow(run, HITS)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = both.select("size", "q_kind", "q_keys", "q_ids", "q_known", "q_rows", "q_theta", "kind", "keys", "ids", "known", "rows").mapInArrow(run, HITS)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

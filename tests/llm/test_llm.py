@@ -100,26 +100,80 @@ def test_top_k_against_plain(spark, monkeypatch, hot):
         assert got[q] == [(i, s[i]) for i in sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:7]]
 
 
+def best_by_hand(rows, k, asked=lambda i: i is not None and i % 20 == 0):
+    """rows of (vec_id, whole numbers): all scores of each row that is asked, row by row."""
+    out = []
+    for at, (q, x) in enumerate(rows):
+        if asked(q):
+            s = [(min(max(sum(a * b for a, b in zip(x, y, strict=True)), -(2**63)), 2**63 - 1), c) for j, (c, y) in enumerate(rows) if j != at and len(x) == len(y)]
+            s.sort(key=lambda r: (-r[0], r[1] is None, r[1] or 0))
+            out += [(q, n + 1, c, v) for n, (v, c) in enumerate(s[:k])]
+    return Counter(out)
+
+
 def test_search_skips_nothing():
     from millrace.llm.block_topk import BLOCK, search
 
     r = np.random.default_rng(2)
-    x, ids = r.integers(-9, 9, (5 * BLOCK + 3, 4)), r.permutation(5 * BLOCK + 3)
+    x, ids = r.integers(-9, 9, (5 * BLOCK + 3, 4)).astype(float), r.permutation(5 * BLOCK + 3)
     low = np.full(6, np.iinfo(np.int64).min)
-    for (_, got, s), q in zip(search(ids[:6], x[:6], low, ids, x, 5), range(6), strict=True):
+    for (_, at, s), q in zip(search(ids[:6], x[:6], low, ids, ids, x, 5), range(6), strict=True):
         want = sorted(((-(x[i] @ x[q]), ids[i]) for i in range(len(x)) if ids[i] != ids[q]))[:5]
-        assert [(-a, b) for a, b in zip(s, got, strict=True)] == want
+        assert [(-a, b) for a, b in zip(s, ids[at], strict=True)] == want
+
+
+def test_products_are_exact():
+    from millrace.llm.block_topk import bounds, product
+
+    r = np.random.default_rng(3)
+    for most in (100, 2**28, 2**45, 2**70):
+        a, b = (np.floor(r.uniform(-most, most, (4, 5))) for _ in range(2))
+        want = [[min(max(sum(int(x) * int(y) for x, y in zip(u, v, strict=True)), -(2**63)), 2**63 - 1) for v in b] for u in a]
+        assert product(a, b).tolist() == want
+        assert (bounds(a, b.max(0)[None], b.min(0)[None]) >= product(a, b).max(1)[:, None]).all()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_repeated_ids_large_and_odd_vectors(spark, monkeypatch, small):
+    """Query rows that repeat an id with other and with equal vectors, ids that are null, components of any finite size, extra
+    columns with the operator's own names; the SQL says the same where its numbers are large enough."""
+    from millrace.llm import block_topk as B
+
+    if small:
+        for name, n in (("SHARD", 7), ("QUERIES", 2), ("BLOCK", 3), ("TOGETHER", 2)):
+            monkeypatch.setattr(B, name, n)
+    nan, inf, r = float("nan"), float("inf"), random.Random(3)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
+    rows += [(20, [0.5, 0.5, -0.5]), (20, [0.5, 0.5, -0.5]), (20, [-1.0, 0.25, 0.0]), (None, [0.9, 0.9, -0.9]), (3, [600000.0, 0.0, 1.0]), (40, [-600000.0, 2.0, 1e9])]
+    huge = [(60, [1e30, 1.0, 1.0]), (61, [-1e30, 5.0, 5.0])] if small else []
+    odd = [(0, [nan, 1.0, 1.0]), (2, [inf, 1.0, 1.0]), (3, None), (6, [None, 1.0, 1.0])]
+    other = [(80, [1.0]), (81, [0.5]), (100, []), (101, [])]
+    df = spark.createDataFrame(rows + huge + odd + other, "vec_id long, embedding array<double>")
+    df = df.withColumns({c: F.lit(7) for c in ("row", "score", "rank", "number", "size", "keys", "block", "shard", "kind")})
+    got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in B.top_k(B.whole(df), F.col("vec_id") % 20 == 0, 20).collect())
+    whole = [(i, [math.floor(64 * v) for v in x]) for i, x in rows + huge + other]
+    assert got == best_by_hand(whole, 20)
+    if not small:
+        import duckdb
+
+        from millrace.llm.queries import OP2_SQL
+
+        con = duckdb.connect()
+        con.sql("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+        con.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(x) for x in rows + odd])
+        assert Counter(con.sql(OP2_SQL).fetchall()) == best_by_hand(whole[: len(rows)], 20)
 
 
 def test_top_k_odd(spark):
     from millrace.llm.block_topk import top_k, whole
 
-    nan, inf = float("nan"), float("inf")
-    df = spark.createDataFrame([(0, [1.0, -0.01]), (1, [nan, 1.0]), (2, [inf, 1.0]), (3, None), (None, [1.0, 1.0]), (4, [0.5, 0.5]), (5, [1.0]), (6, [None, 1.0]), (4, [0.5, 0.5]), (7, [])], "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(0, [1.0, -0.01]), (4, [0.5, 0.5]), (4, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [r["x"] for r in whole(df).where("vec_id = 0").collect()] == [[64, -1]]
     rows = top_k(whole(df), F.col("vec_id") % 20 == 0, 20).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows] == [(0, 1, 4, 64 * 32 - 32), (0, 2, 4, 64 * 32 - 32)]
     assert top_k(whole(df.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        top_k(whole(df), F.lit(True), 0)
 
 
 # --- 3: token counts ---
