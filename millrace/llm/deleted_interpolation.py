@@ -11,8 +11,10 @@ How it runs. Texts are packed into chunks of some million tokens where they are
 and its texts as numbers of those words. Each chunk asks once for each distinct unigram and bigram that it has: sorted keys,
 stored as differences, with the chunk's own counts in both training parts, cut by their leading bits into buckets. A bucket sums
 the counts of a key over all chunks and answers each chunk with two numbers a key. So a key that stands in every text costs a
-row of each chunk, not of each occurrence; all groups are bounded by hashing and by the chunks' size, and counts are over every
-token of the training texts. Bigram keys within a chunk are hashes, too; keys stand for words with an expected error of under
+row of each chunk, not of each occurrence. Beyond GROUP chunks sums go in two levels: the chunks of a group are summed first, the
+groups ask in their place by finer buckets, and the answers go back the same way. So a bucket has at most GROUP chunks, then at
+most as many rows as there are groups, even for a key that every text has, and a row holds many keys at any size. Counts are
+over every token of the training texts. Bigram keys within a chunk are hashes, too; keys stand for words with an expected error of under
 one in 10^8.
 
 Tokens are white-space parts of the text's bytes with A to Z in lower case, then one end, which is also the context of the first
@@ -37,8 +39,8 @@ from xxhash import xxh3_64_intdigest
 
 from millrace.llm.common import arrow_rows, columns, texts, written
 
-#: Tokens of a chunk, keys of a bucket (powers of two only bound memory), cells an octave, and rounds of the fit.
-CHUNK, BUCKET, CELLS, ROUNDS = 2_500_000, 4_000_000, 2, 60
+#: Tokens of a chunk, keys of a bucket (powers of two only bound memory), chunks of a group, cells an octave, and rounds of the fit.
+CHUNK, BUCKET, GROUP, CELLS, ROUNDS = 2_500_000, 4_000_000, 1000, 2, 60
 CHUNKS = columns("chunk long,n_tokens long,ids binary,known binary,part binary,lengths binary,words binary,tokens binary")
 ASKS = columns("bucket long,chunk long,kind int,n long,keys binary,a binary,b binary")
 ANSWERS = columns("chunk long,bucket long,kind int,n long,a binary,b binary")
@@ -108,6 +110,17 @@ def chunked(docs: DataFrame, folds: int, held: int) -> DataFrame:
     return texts(docs).mapInArrow(run, CHUNKS)
 
 
+def cut(chunk: int, kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Rows of ASKS for sorted keys, one for each of their leading bits."""
+    bucket = (keys >> _U(64 - bits)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if j > i:
+            step = keys[i:j].copy()
+            step[1:] -= keys[i : j - 1]
+            yield int(bucket[i]), chunk, kind, j - i, pack(step), pack(a[i:j]), pack(b[i:j])
+
+
 class Chunk:
     """A chunk's keys, in the order in which it asks for them, and where its tokens find their own."""
 
@@ -135,14 +148,7 @@ class Chunk:
     def asks(self, chunk: int, bits: int) -> Iterator[tuple]:
         for kind, keys in self.keys.items():
             order = self.order[kind]
-            ranked, a, b = keys[order], self.own(kind, 0)[order], self.own(kind, 1)[order]
-            bucket = (ranked >> _U(64 - bits)).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(ranked)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if j > i:
-                    step = ranked[i:j].copy()
-                    step[1:] -= ranked[i : j - 1]
-                    yield int(bucket[i]), chunk, kind, j - i, pack(step), pack(a[i:j]), pack(b[i:j])
+            yield from cut(chunk, kind, keys[order], self.own(kind, 0)[order], self.own(kind, 1)[order], bits)
 
     def answered(self, rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """For each kind, the corpus's counts in both parts, in the order of the chunk's keys."""
@@ -159,25 +165,66 @@ class Chunk:
         return out
 
 
+def summed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of rows of ASKS of one kind, where each row's keys are among them, and both counts of each."""
+    size = rows["n"].to_numpy()
+    keys, where = np.unique(np.concatenate([np.cumsum(unpack(k, n), dtype=np.uint64) for k, n in zip(rows["keys"], size, strict=True)]), return_inverse=True)
+    sums = []
+    for name in ("a", "b"):
+        own = np.concatenate([unpack(x, n) for x, n in zip(rows[name], size, strict=True)]).astype(np.int64)
+        sums.append(np.bincount(where, own, len(keys)).round().astype(np.int64))
+    return keys, where, sums
+
+
+def replies(rows: pd.DataFrame, bucket: int, kind: int, where: np.ndarray, sums: list[np.ndarray]) -> Iterator[tuple]:
+    """Rows of ANSWERS for the askers of one kind."""
+    ends = np.cumsum(rows["n"].to_numpy())
+    for chunk, i, j in zip(rows["chunk"], ends - rows["n"].to_numpy(), ends, strict=True):
+        yield chunk, bucket, kind, j - i, pack(sums[0][where[i:j]]), pack(sums[1][where[i:j]])
+
+
 def answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: counts summed over chunks. Its row for chunk -1 holds the distinct unigrams of training and their tokens."""
+    """One bucket: counts summed over all that ask. Its row for chunk -1 holds the distinct unigrams of training and their tokens."""
     bucket, out = int(rows["bucket"].iloc[0]), []
     for kind, mine in rows.groupby("kind"):
-        size = mine["n"].to_numpy()
-        keys = np.concatenate([np.cumsum(unpack(k, n), dtype=np.uint64) for k, n in zip(mine["keys"], size, strict=True)])
-        _, where = np.unique(keys, return_inverse=True)
-        sums = []
-        for name in ("a", "b"):
-            own = np.concatenate([unpack(x, n) for x, n in zip(mine[name], size, strict=True)]).astype(np.int64)
-            sums.append(np.bincount(where, own).round().astype(np.int64))
-        ends = np.cumsum(size)
-        for chunk, i, j in zip(mine["chunk"], ends - size, ends, strict=True):
-            out.append((chunk, bucket, kind, j - i, pack(sums[0][where[i:j]]), pack(sums[1][where[i:j]])))
+        _, where, sums = summed(mine)
+        out += replies(mine, bucket, kind, where, sums)
         if kind == 1:
             out.append((-1, bucket, 0, int((sums[0] + sums[1] > 0).sum()), int(sums[0].sum()).to_bytes(8, "little"), int(sums[1].sum()).to_bytes(8, "little")))
     return pd.DataFrame(out, columns=[f.name for f in ANSWERS])
 
 
+def answers(asks: DataFrame, groups: int, coarse: int, fine: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ANSWERS: what goes back to the chunks, and the rows for chunk -1. coarse and fine: leading bits of the buckets of
+    chunks and of groups of chunks."""
+    if groups == 1:
+        every = written(asks.groupBy("bucket").applyInPandas(answer, ANSWERS))
+        return every.where("chunk >= 0"), every.where("chunk = -1")
+    asks = written(asks.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups))))
+
+    def combine(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, mine in rows.groupby("kind"):
+            keys, _, (a, b) = summed(mine)
+            out += cut(int(rows["group"].iloc[0]), kind, keys, a, b, fine)
+        return pd.DataFrame(out, columns=[f.name for f in ASKS])
+
+    every = written(asks.groupBy("group", "bucket").applyInPandas(combine, ASKS).groupBy("bucket").applyInPandas(answer, ANSWERS))
+    back = every.where("chunk >= 0").select(F.col("chunk").alias("group"), F.shiftright("bucket", fine - coarse).alias("bucket"), F.col("bucket").alias("part"), "kind", "n", "a", "b")
+
+    def hand_out(mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, of in mine.groupby("kind"):
+            _, where, _ = summed(of)
+            found = rows[rows["kind"] == kind].sort_values("part")  # the group's keys in order
+            sums = [np.concatenate([unpack(x, n) for x, n in zip(found[name], found["n"], strict=True)]).astype(np.int64) for name in ("a", "b")]
+            out += replies(of, int(of["bucket"].iloc[0]), kind, where, sums)
+        return pd.DataFrame(out, columns=[f.name for f in ANSWERS])
+
+    both = asks.groupBy("group", "bucket").cogroup(back.groupBy("group", "bucket"))
+    return written(both.applyInPandas(hand_out, ANSWERS)), every.where("chunk = -1")
+
+
 def octave(c: np.ndarray) -> np.ndarray:
     """The context's bucket: 0 for no count, then by powers of two."""
     return np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))), 0).astype(np.int64)
@@ -220,33 +267,34 @@ def maximise(key: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> dict[int,
 def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     """Rows of SCORES for all of docs (doc_id, text), from a model of those whose crc32(doc_id as text) mod folds is not held."""
     chunks = written(chunked(docs, folds, held))
-    total = chunks.agg(F.sum("n_tokens")).first()[0] or 0
-    bits = max(4, int(np.ceil(np.log2(max(total / BUCKET, 1)))))
+    total, n_chunks = chunks.agg(F.sum("n_tokens"), F.count("*")).first()
+    total, groups = total or 0, max(1, -(-n_chunks // GROUP))
+    bits = lambda tokens: max(4, int(np.ceil(np.log2(max(tokens / BUCKET, 1)))))
+    coarse, fine = bits(total / groups), bits(total)
     asks_arrow = to_arrow_schema(ASKS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                rows = zip(*Chunk(row).asks(row["chunk"], bits), strict=True)
+                rows = zip(*Chunk(row).asks(row["chunk"], coarse), strict=True)
                 yield arrow_rows({n: list(v) for n, v in zip(asks_arrow.names, rows, strict=True)}, asks_arrow)
 
-    answers = written(chunks.mapInArrow(ask, ASKS).groupBy("bucket").applyInPandas(answer, ANSWERS))
-    sizes = answers.where("chunk = -1").select("n", "a", "b")
+    to_chunks, sizes = answers(chunks.mapInArrow(ask, ASKS), groups, coarse, fine)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"n": b["n"], "a": [int.from_bytes(x, "little") for x in b["a"]], "b": [int.from_bytes(x, "little") for x in b["b"]]})
 
-    found = sizes.mapInPandas(add, "n long, a long, b long").agg(F.sum("n"), F.sum("a"), F.sum("b")).first()
+    found = sizes.select("n", "a", "b").mapInPandas(add, "n long, a long, b long").agg(F.sum("n"), F.sum("a"), F.sum("b")).first()
     types, size = found[0] or 0, (found[1] or 0, found[2] or 0)
-    replies = answers.where("chunk >= 0").groupBy("chunk")
+    answered = to_chunks.groupBy("chunk")
 
     def gather(mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(mine.iloc[0].to_dict())
         return cells(chunk, chunk.answered(rows), size, types)
 
-    held_out = chunks.groupBy("chunk").cogroup(replies).applyInPandas(gather, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    held_out = chunks.groupBy("chunk").cogroup(answered).applyInPandas(gather, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).collect()
     weights = maximise(np.array([r["key"] for r in held_out], np.int64), np.array([r["n"] for r in held_out], float))
     table = np.full((66, 3), 1 / 3)
     for b in range(66):  # a bucket without held-out counts takes the nearest one's weights
@@ -271,4 +319,4 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
             "train_tokens": n, "base_score": sum_of(base[chunk.stream]), "score": sum_of(np.log10(p)[chunk.pair_of]),
         })
 
-    return chunks.groupBy("chunk").cogroup(replies).applyInPandas(final, SCORES)
+    return chunks.groupBy("chunk").cogroup(answered).applyInPandas(final, SCORES)
