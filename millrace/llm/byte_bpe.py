@@ -4,7 +4,11 @@ A sequence of tokens is what the merges make of its bytes exactly if each two ne
 joined bytes. So the vocabulary's trie, with an edge back to its root wherever a token ends that may follow the one before,
 is a transducer with one accepting path for each input. It is determinised on demand: a state is the set of open paths (trie
 node, and the tokens since the paths' common start); a step emits the tokens that all open paths share, so no token waits
-longer than the vocabulary's longest one. States are built when an input first needs them and kept in a table of bounded size.
+longer than the vocabulary's longest one. States are built when an input first needs them and kept in a table of bounded size;
+when it is full, in the middle of a match too, it starts anew from the open paths. Work is linear in a match's length.
+
+Decoding runs a UTF-8 machine whose state is the kind of byte that may follow and the character's bits so far; what one token's
+bytes do from one state is remembered.
 
 A match of the splitting pattern that is a token as a whole is that token, as the reference implementation has it.
 """
@@ -122,29 +126,35 @@ class Transducer:
             if shared:
                 out = b"".join([self.packed[t] for t in first[:shared]])
                 paths = [(held[shared:], last, node) for held, last, node in paths]
-        key = tuple(paths)
-        if (new := self.number.get(key)) is None:
-            new = self.number[key] = len(self.states) << 8
-            self.states.append(key)
-            self.final.append(next((b"".join([self.packed[t] for t in held]) for held, _, node in key if not node), b""))
-        found = self.steps[at] = new, out
+        found = self.steps[at] = self.enter(tuple(paths)), out
         return found
 
+    def enter(self, paths: tuple) -> int:
+        """The number of the state of these open paths."""
+        if (number := self.number.get(paths)) is None:
+            number = self.number[paths] = len(self.states) << 8
+            self.states.append(paths)
+            self.final.append(next((b"".join([self.packed[t] for t in held]) for held, _, node in paths if not node), b""))
+        return number
+
     def encode(self, piece: bytes) -> bytes:
         """Packed ids (little-endian unsigned 32-bit) of one piece."""
         if (whole := self.ranks.get(piece)) is not None:
             return self.packed[whole]
-        if len(self.steps) > STEPS:
-            self.reset()
-        state, out, steps = 0, b"", self.steps
+        state, out, steps = 0, [], self.steps
         for byte in piece:
             found = steps.get(state + byte)
             if found is None:
+                if len(steps) >= STEPS:
+                    paths = self.states[state >> 8]
+                    self.reset()
+                    state, steps = self.enter(paths), self.steps
                 found = self.step(state + byte)
             state, ids = found
             if ids:
-                out += ids
-        return out + self.final[state >> 8]
+                out.append(ids)
+        out.append(self.final[state >> 8])
+        return b"".join(out)
 
 
 class Encoder:
@@ -192,58 +202,98 @@ class Encoder:
         return b"".join([self._piece(p) for p in self.split(text)])
 
 
+#: The machine's states: no open character; one, two or three bytes to follow; the same after leads whose second byte is narrower.
+START, ONE, TWO, THREE, E0, ED, F0, F4 = range(8)
+#: From START: first and last byte, the state it leads to, and the byte's bits of the character.
+LEADS = [(0x00, 0x7F, START, 0x7F), (0xC2, 0xDF, ONE, 0x1F), (0xE0, 0xE0, E0, 0x0F), (0xE1, 0xEC, TWO, 0x0F), (0xED, 0xED, ED, 0x0F), (0xEE, 0xEF, TWO, 0x0F), (0xF0, 0xF0, F0, 0x07), (0xF1, 0xF3, THREE, 0x07), (0xF4, 0xF4, F4, 0x07)]
+#: From the others: first and last byte that may follow, and the state it leads to.
+TAILS = {ONE: (0x80, 0xBF, START), TWO: (0x80, 0xBF, ONE), THREE: (0x80, 0xBF, TWO), E0: (0xA0, 0xBF, ONE), ED: (0x80, 0x9F, ONE), F0: (0x90, 0xBF, TWO), F4: (0x80, 0x8F, TWO)}
+#: What stands for bytes that are no character.
+BROKEN = "\ufffd"
+
+
+def _transitions() -> list[list[tuple[int, int] | None]]:
+    """By state and byte: the next state and the byte's bits; None where the byte may not stand."""
+    table: list[list[tuple[int, int] | None]] = [[None] * 256 for _ in range(8)]
+    for low, high, state, bits in LEADS:
+        for byte in range(low, high + 1):
+            table[START][byte] = state, byte & bits
+    for at, (low, high, state) in TAILS.items():
+        for byte in range(low, high + 1):
+            table[at][byte] = state, byte & 0x3F
+    return table
+
+
+_STEP = _transitions()
+
+
 class Utf8:
     """Bytes in any cuts -> text; a character that a cut parts waits for its rest, and what can't be UTF-8 becomes U+FFFD."""
 
     def __init__(self) -> None:
-        self.waiting = b""
+        self.state, self.bits = START, 0
 
     @staticmethod
-    def open_end(data: bytes) -> int:
-        """How many bytes at the end begin a character whose rest may follow: the machine's state."""
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead < 0x80:
-                return 0
-            if lead >= 0xC0:
-                need = 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
-                if back >= need:
-                    return 0
-                if back > 1:  # the second byte of some leads has a narrower range
-                    low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(lead, (0x80, 0xBF))
-                    if not low <= data[1 - back] <= high:
-                        return 0
-                return back
-        return 0
+    def run(state: int, bits: int, data: bytes) -> tuple[str, int, int]:
+        """The text that data completes, and the state and bits after it."""
+        out = []
+        for byte in data:
+            to = _STEP[state][byte]
+            if to is None and state != START:  # the open character is broken off, and the byte begins another one
+                out.append(BROKEN)
+                state, bits, to = START, 0, _STEP[START][byte]
+            if to is None:
+                out.append(BROKEN)
+                continue
+            state, bits = to[0], bits << 6 | to[1]
+            if state == START:
+                out.append(chr(bits))
+                bits = 0
+        return "".join(out), state, bits
 
     def feed(self, data: bytes) -> str:
-        data = self.waiting + data
-        n = self.open_end(data)
-        self.waiting = data[len(data) - n :]
-        return data[: len(data) - n].decode("utf-8", "replace")
+        text, self.state, self.bits = self.run(self.state, self.bits, data)
+        return text
 
     def close(self) -> str:
-        data, self.waiting = self.waiting, b""
-        return data.decode("utf-8", "replace")
+        broken, self.state, self.bits = self.state != START, START, 0
+        return BROKEN if broken else ""
 
 
 class Decoder:
+    """ids -> text. For each state of the machine, what the tokens met in it do: their text, and the next state's own table."""
+
     def __init__(self, ranks: dict[bytes, int]):
-        size = max(ranks.values()) + 1
-        self.table = [b""] * size
+        self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for word, i in ranks.items():
             self.table[i] = word
-
-    def decode_bytes(self, packed: bytes) -> bytes:
-        table = self.table
-        return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        self.forget()
+
+    def forget(self) -> None:
+        self.first: dict = {"state": (START, 0)}
+        self.known, self.size = {(START, 0): self.first}, 0
+
+    def step(self, at: dict, token: int) -> tuple[str, dict]:
+        if self.size >= STEPS:
+            self.forget()
+            at = self.known.setdefault(at["state"], at)
+        text, *state = Utf8.run(*at["state"], self.table[token])
+        state = tuple(state)
+        found = at[token] = text, self.known.setdefault(state, {"state": state})
+        self.size += 1
+        return found
 
     def stream(self, packed: bytes, ids_a_step: int = 4096) -> Iterator[str]:
         """Text as its ids come in."""
-        machine = Utf8()
+        at, step = self.first, self.step
         for i in range(0, len(packed), 4 * ids_a_step):
-            yield machine.feed(self.decode_bytes(packed[i : i + 4 * ids_a_step]))
-        yield machine.close()
+            out = []
+            for token in np.frombuffer(packed[i : i + 4 * ids_a_step], "<u4").tolist():
+                text, at = at.get(token) or step(at, token)
+                out.append(text)
+            yield "".join(out)
+        if at["state"][0] != START:
+            yield BROKEN
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
