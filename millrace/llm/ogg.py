@@ -5,8 +5,11 @@ lacing values over page borders, parts the logical streams by their serial numbe
 ends, from its page's granule position and the lengths of the packets behind it on that page.
 
 The stored form of a payload has two logical streams with their pages in turn: unsigned 8-bit PCM, one byte of payload a sample,
-in packets of up to 4096 samples; and an index whose packets hold the least and the greatest sample and the number of samples
-of each such packet.
+in packets of up to 5000 samples; and an index whose packets hold the least and the greatest sample and the number of samples
+of each such packet. A page has up to 32 lacing values, so packets go over page borders.
+
+Faults are counted: places that are no sound page, gaps in a stream's page numbers, packets cut off, granule positions that the
+packets' lengths don't lead to, and streams without their last page. Null media are empty, and have no streams.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import columns, map_texts, texts
 
-RATE, FRAMES = 8000, 4096
+RATE, FRAMES, SEGMENTS = 8000, 5000, 32
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _HEAD = struct.Struct("<4sBBqIIIB")
 _PCM = struct.Struct(">8sHHIIBBHI")
@@ -49,7 +52,7 @@ def pages_of(serial: int, packets: list[tuple[bytes, int]]) -> Iterator[bytes]:
     for k, (data, end) in enumerate(packets):
         values, at = [255] * (len(data) // 255) + [len(data) % 255], 0
         for i, v in enumerate(values):
-            if len(lacing) == 255:
+            if len(lacing) == SEGMENTS:
                 yield page(False)
                 number, granule, flags = number + 1, -1, 1 if i else 0
                 lacing.clear()
@@ -84,6 +87,9 @@ class Stream:
     ends: list[int] = field(default_factory=list)  # granule position at each packet's end; -1 if unknown
     pages: int = 0
     lost: int = 0  # packets cut by a missing or broken page
+    gaps: int = 0  # pages that are not the one after the page before
+    jumps: int = 0  # granule positions that differ from the packets' lengths, summed up since the last one known
+    due: int | None = 0  # the granule position that those lengths lead to; None after a gap
     ended: bool = False
     expected: int | None = None
     part: bytearray | None = None
@@ -93,8 +99,10 @@ class Stream:
         return self.packets[0][:8] if self.packets else b""
 
     def take(self, flags: int, granule: int, number: int, lacing: bytes, body: bytes) -> None:
-        if self.expected is not None and number != self.expected and self.part is not None:
-            self.part, self.lost = None, self.lost + 1
+        if number != (self.expected or 0):
+            self.gaps, self.due = self.gaps + 1, None
+            if self.part is not None:
+                self.part, self.lost = None, self.lost + 1
         self.expected, self.pages, self.ended = number + 1, self.pages + 1, self.ended or bool(flags & 4)
         skip = bool(flags & 1) and self.part is None  # the rest of a packet whose beginning is missing
         if not flags & 1 and self.part is not None:
@@ -118,6 +126,15 @@ class Stream:
         for i in range(len(self.packets) - 1, done - 1, -1):
             self.ends[i] = end
             end = -1 if end < 0 else max(0, end - self.length(i))
+        if self.due is not None:
+            self.due += sum(self.length(i) for i in range(done, len(self.packets)))
+        if granule >= 0:
+            self.jumps += self.due is not None and self.due != granule
+            self.due = granule
+
+    @property
+    def faults(self) -> int:
+        return self.lost + self.gaps + self.jumps + (not self.ended)
 
     def length(self, i: int) -> int:
         """Samples of one packet, or those that an entry of the index stands for; headers have none."""
@@ -174,7 +191,7 @@ def load(media: bytes) -> tuple[bytes, str]:
     payload = b"".join(sound.packets[1:]) if sound else b""
     x = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
     seconds = max((e for e in sound.seconds() if e == e), default=0.0) if sound else 0.0
-    faults = bad + sum(s.lost + (not s.ended) for s in streams.values())
+    faults = bad + sum(s.faults for s in streams.values())
     low = min((p[0] for p in index.packets[1:] if len(p) == 4), default=0) if index else 0
     high = max((p[1] for p in index.packets[1:] if len(p) == 4), default=0) if index else 0
     mean, power = (int(x.sum()) / len(x), int((x * x).sum(dtype=np.int64)) / len(x)) if len(x) else (0.0, 0.0)
