@@ -5,24 +5,24 @@ Learned filters run over each chunk's bytes and are max-pooled; the greatest, th
 a text's chunks go through one hidden layer into one probability. Bytes are looked up in tables of filter weights, so that the
 convolution is a sum of table rows. Null texts are empty ones; an empty text is one chunk of padding and gets a score too.
 
-The network is fitted on the driver from a bounded sample of labelled rows: at most `rows` of each label, of each at most
-`windows` chunks; this is the only place where a sample is taken. Scores cover every byte of every text.
+The network is fitted on the driver from a bounded sample of labelled rows: at most `rows` of each label, all chunks of each;
+this is the only place where a sample is taken. Of texts that share a labelled id one is learned. Scores cover every byte of
+every text, and so does the fit; both pool a long text part by part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import columns, crc_mod, map_texts, texts
 
 CHUNK, HOP, WIDTH, STRIDE, FILTERS, HIDDEN = 512, 448, 8, 2, 24, 16
-#: Labelled rows of each label, chunks of each, and passes over them; at least STEPS batches, so that few rows are learned, too.
-ROWS, WINDOWS, EPOCHS, STEPS = 1500, 10, 8, 160
+#: Labelled rows of each label, and passes over them; at least STEPS batches, so that few rows are learned, too.
+ROWS, EPOCHS, STEPS = 1500, 8, 160
+#: Chunks that are convolved at once.
+PART = 256
 
 
 def starts(n: int) -> np.ndarray:
@@ -32,15 +32,16 @@ def starts(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - CHUNK, HOP), n - CHUNK)
 
 
-def chunks(text: str, most: int = 0) -> np.ndarray:
-    """(k, CHUNK) bytes; with most, at most so many chunks, evenly spread (for fitting alone)."""
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    if len(data) < CHUNK:
-        data = np.concatenate([data, np.zeros(CHUNK - len(data), np.uint8)])
-    at = starts(len(data))
-    if most and len(at) > most:
-        at = at[np.linspace(0, len(at) - 1, most).round().astype(int)]
-    return data[at[:, None] + np.arange(CHUNK)]
+def chunks(data: bytes) -> np.ndarray:
+    """(k, CHUNK) bytes that cover data."""
+    x = np.frombuffer(data, np.uint8)
+    if len(x) < CHUNK:
+        x = np.concatenate([x, np.zeros(CHUNK - len(x), np.uint8)])
+    return x[starts(len(x))[:, None] + np.arange(CHUNK)]
+
+
+def utf8(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
 
 
 class ByteCnn:
@@ -72,38 +73,46 @@ class ByteCnn:
     def logit(self, features: np.ndarray) -> np.ndarray:
         return np.tanh(features @ self.w1 + self.b1) @ self.w2 + self.b2[0] + self.shift
 
-    def fit(self, sets: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.004, seed: int = 11, batch: int = 48) -> ByteCnn:
-        """sets: each text's chunks; y: 0 or 1. Adam on the log loss; the gradient goes to the windows that won the pooling."""
-        r, names = np.random.default_rng(seed), ("table", "w1", "b1", "w2", "b2")
-        m = {n: np.zeros_like(getattr(self, n)) for n in names}
-        v = {n: np.zeros_like(getattr(self, n)) for n in names}
+    def gradient(self, sets: list[bytes], y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean log loss of texts (their bytes) with labels y, and its gradient, which goes to the windows that won the pooling."""
+        size = np.array([len(starts(len(s))) for s in sets])
+        begin, owner = np.cumsum(size) - size, np.repeat(np.arange(len(sets)), size)
+        x = np.concatenate([chunks(s) for s in sets])
+        found = [self.pool(x[i : i + PART], True) for i in range(0, len(x), PART)]
+        pooled, at = np.concatenate([p for p, _ in found]), np.concatenate([a for _, a in found])
+        f = self.combine(pooled, begin)
+        h = np.tanh(f @ self.w1 + self.b1)
+        z = h @ self.w2 + self.b2[0]
+        loss = float((np.logaddexp(0, z) - y * z).mean())
+        dz = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
+        dh = dz[:, None] * self.w2 * (1 - h * h)
+        high, mean, low = np.split(dh @ self.w1.T, 3, 1)
+
+        def won(part: np.ndarray, best: np.ndarray) -> np.ndarray:
+            """Each text's part, shared by its chunks that have its best value."""
+            mine = (pooled == best[owner]).astype(np.float32)
+            return part[owner] * mine / np.add.reduceat(mine, begin)[owner]
+
+        dp = won(high, f[:, :FILTERS]) + mean[owner] / size[owner, None] + won(low, f[:, 2 * FILTERS :])
+        rows = np.arange(len(x))[:, None]
+        cell = [np.bincount(((x[rows, at * STRIDE + k].astype(np.int64)) * FILTERS + np.arange(FILTERS)).ravel(), dp.ravel(), 256 * FILTERS).reshape(256, FILTERS) for k in range(WIDTH)]
+        return loss, {"table": np.stack(cell).astype(np.float32), "w1": f.T @ dh, "b1": dh.sum(0), "w2": h.T @ dz, "b2": dz.sum(keepdims=True)}
+
+    def fit(self, sets: list[bytes], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.004, seed: int = 11, batch: int = 48) -> ByteCnn:
+        """sets: each text's bytes; y: 0 or 1. Adam on the log loss."""
+        r = np.random.default_rng(seed)
+        m = {n: np.zeros_like(getattr(self, n)) for n in ("table", "w1", "b1", "w2", "b2")}
+        v = {n: np.zeros_like(x) for n, x in m.items()}
         epochs = max(epochs, -(-STEPS * batch // len(sets)))
         step, total = 0, epochs * -(-len(sets) // batch)
         for _ in range(epochs):
             order = r.permutation(len(sets))
             for i in range(0, len(sets), batch):
                 pick = order[i : i + batch]
-                x = np.concatenate([sets[j] for j in pick])
-                size = np.array([len(sets[j]) for j in pick])
-                begin, owner = np.cumsum(size) - size, np.repeat(np.arange(len(pick)), size)
-                pooled, at = self.pool(x, True)
-                f = self.combine(pooled, begin)
-                h = np.tanh(f @ self.w1 + self.b1)
-                z = h @ self.w2 + self.b2[0]
-                dz = ((1 / (1 + np.exp(-z)) - y[pick]) / len(pick)).astype(np.float32)
-                dh = dz[:, None] * self.w2 * (1 - h * h)
-                df = dh @ self.w1.T
-                high, mean, low = np.split(df, 3, 1)
-                won = lambda part, best: part[owner] * (pooled == best[owner])
-                dp = won(high, f[:, :FILTERS]) + mean[owner] / size[owner, None] + won(low, f[:, 2 * FILTERS :])
-                grad = {"w1": f.T @ dh, "b1": dh.sum(0), "w2": h.T @ dz, "b2": dz.sum(keepdims=True)}
-                rows = np.arange(len(x))[:, None]
-                cell = [np.bincount(((x[rows, at * STRIDE + k].astype(np.int64)) * FILTERS + np.arange(FILTERS)).ravel(), dp.ravel(), 256 * FILTERS).reshape(256, FILTERS) for k in range(WIDTH)]
-                grad["table"] = np.stack(cell).astype(np.float32)
+                _, grad = self.gradient([sets[j] for j in pick], y[pick])
                 step += 1
                 speed = rate * min(1, step / 20) * (1 - step / (total + 1)) ** 0.5
-                for n in names:
-                    g = grad[n]
+                for n, g in grad.items():
                     m[n] = 0.9 * m[n] + 0.1 * g
                     v[n] = 0.99 * v[n] + 0.01 * g * g
                     value = getattr(self, n)
@@ -124,7 +133,7 @@ class ByteCnn:
                 block, held = [], 0
 
         for text in values:
-            c = chunks(text)
+            c = chunks(utf8(text))
             begin.append(total)
             total += len(c)
             for i in range(0, len(c), at_once):
@@ -151,30 +160,25 @@ class Constant:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int = ROWS) -> tuple[DataFrame, dict[int, int]]:
     """Labelled texts to learn from: doc_id, text, y; at most `rows` of each label, those with the least hash of doc_id. Also
-    how many rows of each label there are. Ids whose rows of labels differ are left out, as are null ids and labels."""
+    how many rows of each label there are. Ids whose rows of labels differ are left out, as are null ids and labels; of texts that
+    share an id, the one of least hash is learned, found by partial aggregation, so that copies stay where they are."""
     clean = labels.where(f"doc_id IS NOT NULL AND {label} IN (0, 1)").where(crc_mod("doc_id", folds) != held)
     clean = clean.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select("doc_id", F.col("y").cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in clean.groupBy("y").count().collect()}
     least = lambda y: clean.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     ids = least(0).unionByName(least(1))
-    return texts(docs).join(F.broadcast(ids), "doc_id"), counts  # at most 2 * rows ids
+    labelled = texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * rows ids
+    return labelled.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), counts
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, rows: int = ROWS) -> ByteCnn | Constant:
     """A network fitted on rows of `labels` whose crc32(doc_id as text) mod folds is not held."""
     labelled, counts = sample(docs, labels, label, folds, held, rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [chunks(t, WINDOWS).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
-
-    got = labelled.mapInArrow(run, columns("doc_id long,y int,x binary")).collect()
-    got = sorted({(r["doc_id"], r["y"], bytes(r["x"])) for r in got})
+    got = sorted((r["doc_id"], r["y"], utf8(r["text"])) for r in labelled.select("doc_id", "y", "text").collect())
     y = np.array([r[1] for r in got], np.float32)
     if len(set(y.tolist())) < 2:
         return Constant((counts.get(1, 0) + 1) / (sum(counts.values()) + 2))
-    model = ByteCnn().fit([np.frombuffer(r[2], np.uint8).reshape(-1, CHUNK) for r in got], y)
+    model = ByteCnn().fit([r[2] for r in got], y)
     model.shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))  # back to the labels' shares
     return model
 
