@@ -1,14 +1,16 @@
 """Toxicity: a word classifier with counterfactual regularisation.
 
-A text's features are its distinct words and their beginnings of four and five letters. The classifier is a logistic regression whose loss has, besides the log loss, a
-penalty on score changes between a labelled text and its counterfactuals: the text with an identity term swapped for another
-one of the same kind, and, since neutral mentions may be rare among the labelled rows, short labelled sentences with a neutral
-mention put in. Swaps and mentions are two means of equal weight, over all pairs of the sample, so that many of one kind do not
+A text's features are its distinct words and their beginnings of four and five letters. The classifier is a logistic regression
+whose loss has, besides the log loss, a penalty on score changes between a labelled text and its counterfactuals: the text with
+an identity term swapped for another one of the same kind, and, since neutral mentions may be rare among the labelled rows,
+labelled texts with a neutral mention put in. Swaps and mentions are two means of equal weight, over all pairs of the sample, so that many of one kind do not
 outweigh the other. So the mention of a group alone does not move a score. Features enter if their share of label 1 is further from
-the whole sample's than chance explains; the identity terms always enter, so that the penalty can hold them down.
+the whole sample's than chance explains, at most `most` of them (the model's size); the identity terms always enter, so that the
+penalty can hold them down.
 
 The model is fitted on the driver from at most `rows` labelled texts of each label; that is the only sample taken. Scores look
-at every word of every text. Null texts are empty; an empty text gets the score that no word moves.
+at every word of every text. Null texts are empty; an empty text gets the score that no word moves. Of texts that share a
+labelled id one is learned.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 from millrace.llm.byte_cnn import Constant, sample
 from millrace.llm.common import columns
 
-ROWS, SQUARE = 2000, 0.00003
+#: The penalty's weight is a common one for all terms' mentions, of which each is one part in some hundred.
+ROWS, SQUARE, SWAP = 2000, 0.00003, 5.0
 #: Groups of people, by kind; terms of one kind are swapped for each other. English, French, German and Spanish.
 IDENTITIES: dict[str, str] = {
     "gender": "woman women man men girl girls boy boys female male femme femmes homme hommes frau frauen mann männer mujer mujeres hombre hombres",
@@ -105,9 +108,9 @@ def swaps(sets: list[set[str]]) -> Iterator[tuple[set[str], set[str]]]:
 
 
 def mentions(sets: list[set[str]]) -> Iterator[tuple[set[str], set[str]]]:
-    """The same for a term put into each short text, and for each term's neutral mention alone."""
+    """The same for a term put into each text, and for each term's neutral mention alone."""
     every = sorted(t for v in IDENTITIES.values() for t in v.split())
-    for i, s in enumerate(sorted((s for s in sets if 0 < len(s) <= 80), key=lambda s: (len(s), sorted(s)))):
+    for i, s in enumerate(sorted((s for s in sets if s), key=lambda s: (len(s), sorted(s)))):
         yield set(), {every[i % len(every)]} - s
     for term in every:
         yield set(), {w.format(term) for w in MENTION}
@@ -121,9 +124,9 @@ def distinct(sets: list[set[str]]) -> list[int]:
     return sorted(seen.values())
 
 
-def fit(sets: list[set[str]], y: np.ndarray, least_texts: int = 4, chance: float = 4.5, most: int = 400, swap: float = 0.1) -> Toxicity:
+def fit(sets: list[set[str]], y: np.ndarray, least_texts: int = 4, chance: float = 4.5, most: int = 400, swap: float = SWAP, square: float = SQUARE) -> Toxicity:
     """A classifier for word sets with labels 0 or 1. chance: how many standard deviations a feature's count of label 1 has to
-    be from what the sample's share of it leads one to expect; most: how many such features enter."""
+    be from what the sample's share of it leads one to expect; most: how many such features enter; swap: the penalty's weight."""
     one = distinct(sets)
     if len(set(y[one].tolist())) == 2:
         sets, y = [sets[i] for i in one], y[one]
@@ -158,7 +161,7 @@ def fit(sets: list[set[str]], y: np.ndarray, least_texts: int = 4, chance: float
             n += int(change.any(1).sum())
         return total / max(n, 1)
 
-    w = _minimise(matrix(sets), y, moved(swaps(sets)) + moved(mentions(sets)), SQUARE, swap)
+    w = _minimise(matrix(sets), y, moved(swaps(sets)) + moved(mentions(sets)), square, swap)
     return Toxicity({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, float(w[-1]))
 
 
