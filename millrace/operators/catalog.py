@@ -72,6 +72,33 @@ def delete_dataset(gone: DataFrame, tables: dict[str, tuple[DataFrame, list[str]
     return out
 
 
+def of_dataset(rows: DataFrame, dataset: Column) -> DataFrame:
+    """Jobs, or a conversation's rows, that belong to a dataset; others count as not found."""
+    return rows.where(F.coalesce(F.col("dataset_id") == dataset, F.lit(False)))
+
+
+def active(files: DataFrame, by: tuple[str, ...] = ("tenant_id", "dataset_id")) -> DataFrame:
+    """Has a dataset files that are still waited for?"""
+    return files.groupBy(*by).agg(F.coalesce(F.bool_or(F.col("status").isin("UPLOADED_PENDING", "PROCESSING")), F.lit(False)).alias("active"))
+
+
+def artifact(kind: str) -> Column:
+    """Where a job's artifact of one kind is; null if it has none."""
+    return F.try_element_at("artifacts", F.lit(kind))
+
+
+def raw_key() -> Column:
+    """A file's stored key, or the one that it would have."""
+    own = F.when(F.col("raw_key") != "", F.col("raw_key"))
+    name = F.coalesce(F.when(F.col("filename") != "", F.col("filename")), F.lit("document.pdf"))
+    return F.coalesce(own, F.concat_ws("/", F.lit("raw"), "tenant_id", "dataset_id", F.col("file_id").cast("string"), name))
+
+
+def iso(moment: Column, milliseconds: bool = False) -> Column:
+    """A moment as UTC in ISO form, in whole seconds or milliseconds; the session's time zone has to be UTC."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'" if milliseconds else "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def orphans(datasets: DataFrame, prefix: str, before: Column) -> DataFrame:
     """Datasets whose name begins with a prefix and that were made before a time."""
     return datasets.where(F.col("name").startswith(prefix) & (F.col("created_at") < before))

@@ -77,12 +77,14 @@ def chunk_documents(pages: DataFrame, keys: list[str], **options) -> DataFrame:
     return made.select(*keys, "chunk_index", "c.*")
 
 
-def records(made: DataFrame, doc: str, *, tenant: Column, dataset: Column, filename: Column, created_at: Column, model: Column, source_uri: Column, with_metadata: bool = True) -> DataFrame:
-    """Chunk records, keyed by where the chunk stands, with what its text says of itself."""
+def records(made: DataFrame, doc: str, *, tenant: Column, dataset: Column, filename: Column, created_at: Column, model: Column, source_uri: Column, with_metadata: bool = True, page_end: bool = False) -> DataFrame:
+    """Chunk records, keyed by where the chunk stands, with what its text says of itself; on request with the last page, which is no
+    field of a record but of its envelope."""
     base = made.select(
         tenant.alias("tenant_id"), dataset.alias("dataset_id"), F.col(doc).cast("string").alias("doc_id"), source_uri.alias("source_uri"), filename.alias("filename"),
         F.col("page_start").alias("page"), chunk_id(doc, "page_start", "chunk_index").alias("chunk_id"), "chunk_index", "text", created_at.alias("created_at"),
         model.alias("embedding_model"), content_hash(doc, "page_start", "chunk_index", "text").alias("content_hash"), F.array().cast("array<string>").alias("acl"),
+        *(["page_end"] if page_end else []),
     )
     return base.select("*", metadata("text").alias("m")).select(*base.columns, "m.*") if with_metadata else base
 

@@ -11,7 +11,14 @@ from millrace.functions.construction import expand_query
 from millrace.functions.text import snippet
 from millrace.operators.vectors import search
 
-SNIPPET, CONTEXT, TITLE = 260, 1200, 60
+SNIPPET, CONTEXT, TITLE, SHOWN = 260, 1200, 60, 3
+
+# --- fixed values: what is said without sources; the follow-up goes around the message ---
+NO_ANSWER = "I do not know based on the available sources."
+FOLLOW_UP = (
+    "Based on our previous conversation, the user asks: ",
+    "\n\nNote: No new relevant sources were found for this specific question. Please respond based on the conversation context if possible, or indicate if you need more specific information.",
+)
 
 
 def shaped(hits: DataFrame) -> DataFrame:
@@ -20,6 +27,17 @@ def shaped(hits: DataFrame) -> DataFrame:
     return hits.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)).alias("score"), citation)
 
 
+def nested(hits: DataFrame) -> DataFrame:
+    """Hits in the form that search engines give: _id, _score and _source."""
+    fields = ("chunk_id", "doc_id", "filename", "page", "text", "doc_type", "discipline", "section_reference", "standards_referenced")
+    return hits.select(F.col("chunk_id").alias("_id"), F.col("score").alias("_score"), F.struct(*fields).alias("_source"))
+
+
+def shown_standards(citation: Column) -> Column:
+    """The standards that a citation shows; none for null."""
+    return F.slice(F.coalesce(citation["standards_referenced"], F.array().cast("array<string>")), 1, SHOWN)
+
+
 def _filled(name: str) -> Column:
     return F.when(F.col(name) != "", F.col(name))
 
@@ -57,6 +75,14 @@ def prompt(question: Column, sources: Column) -> Column:
     return F.concat(F.lit("Question:\n"), question, F.lit("\n\nSources:\n"), sources, F.lit("\n\nAnswer:"))
 
 
+def turn(message: Column, sources: Column, n_sources: Column, n_before: Column) -> Column:
+    """Struct of the prompt for a model and the answer that needs none: with sources they are given, without them the model may
+    follow the conversation, and without either the answer is fixed."""
+    follow = F.concat(F.lit(FOLLOW_UP[0]), message, F.lit(FOLLOW_UP[1]))
+    asked = F.when(n_sources > 0, prompt(message, sources)).when(n_before > 0, follow)
+    return F.struct(asked.alias("prompt"), F.when(asked.isNull(), F.lit(NO_ANSWER)).alias("answer"))
+
+
 def title(message: Column) -> Column:
     return F.left(message, F.lit(TITLE))
 
@@ -72,14 +98,17 @@ def history(messages: DataFrame, by: list[str], order: list[str], limit: int = 2
     return rows.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= limit).where(roles).drop("_n")
 
 
-def retrieve(chunks: DataFrame, tenant: str, dataset: str, question: str, embedder: Callable[[str], list[float]], k: int = 8, expand: bool = True) -> DataFrame:
-    """Hits for a question: its abbreviation is spelt out (for chats), embedded, and searched for."""
+def retrieve(chunks: DataFrame, tenant: str, dataset: str, question: str, embedder: Callable[[str], list[float]], k: int = 8, expand: bool = True, size: int = 1024) -> DataFrame:
+    """Hits for a question: its abbreviation is spelt out (for chats), embedded, and searched for. Vectors are of `size` numbers."""
     question = question.strip()
     if not question or not dataset:
         raise ValueError("a question and a dataset are needed")
     if expand:
         question = chunks.sparkSession.range(1).select(expand_query(F.lit(question))).first()[0]
-    return search(chunks, tenant, dataset, embedder(question), k)
+    vector = embedder(question)
+    if len(vector) != size:
+        raise ValueError(f"embedding size is not {size} but {len(vector)}")
+    return search(chunks, tenant, dataset, vector, k)
 
 
 def eligible(datasets: DataFrame, tenant: Column) -> Column:

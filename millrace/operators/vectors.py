@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import chunk_id, col, content_hash
 
-HIT = ["chunk_id", "doc_id", "filename", "page", "chunk_index", "text", "source_uri", "content_hash", "doc_type", "discipline", "section_reference", "standards_referenced"]
+HIT_KINDS = {**dict.fromkeys(("chunk_id", "doc_id", "filename"), "string"), "page": "int", "chunk_index": "int", **dict.fromkeys(("text", "source_uri", "content_hash", "doc_type", "discipline", "section_reference"), "string"), "standards_referenced": "array<string>"}
+HIT = list(HIT_KINDS)
 
 
 def hashed_embedding(texts: pd.Series, size: int = 1024) -> list[np.ndarray]:
@@ -76,14 +77,16 @@ def clamp_k(k: object, default: int = 8) -> int:
     return int(max(1, min(20, k)))
 
 
-def _one_row(new: DataFrame, keys: list[str], order: list[Column] | None) -> DataFrame:
-    """The last row of each key."""
-    by = Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)]))
-    return new.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
+def last_of(new: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
+    """The greatest row of each key, by columns; found by partial aggregation, so copies of a key are not brought together."""
+    row = F.struct(*new.columns)
+    return new.groupBy(key).agg(F.max_by(row, F.struct(*by)).alias("_row")).select("_row.*")
 
 
-def upsert(table: DataFrame, new: DataFrame, key: str = "chunk_id", refreshed: tuple[str, ...] = ("text", "embedding", "content_hash", "created_at")) -> DataFrame:
-    """The table after new rows: known keys take only the refreshed columns, other columns stay; unknown keys are added whole."""
+def upsert(table: DataFrame, new: DataFrame, key: str = "chunk_id", refreshed: tuple[str, ...] = ("text", "embedding", "content_hash", "created_at"), latest: tuple[str, ...] = ("created_at", "text")) -> DataFrame:
+    """The table after new rows: known keys take only the refreshed columns, other columns stay; unknown keys are added whole. Of
+    new rows that repeat a key the greatest by `latest` counts."""
+    new = last_of(new, key, latest)
     a, b = table.alias("a"), new.alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     known, fresh = F.col(f"a.{key}").isNotNull(), F.col(f"b.{key}").isNotNull()

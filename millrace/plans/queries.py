@@ -16,7 +16,7 @@ from millrace.functions import construction as C
 from millrace.functions import lexicon as L
 from millrace.functions import text as X
 from millrace.operators import catalog, chunking, duplicates, pages, quality, retrieval, vectors
-from millrace.session import spread
+from millrace.session import shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,33 +353,76 @@ def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.by_severity(rows, ["source"]).withColumns({"types": F.array_join("types", ","), "rank": F.col("rank").cast("long")})
 
 
-@query("assessed_files")
-def assessed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules, with those on other files of the tenant."""
-    from millrace.plans.readiness import reports
+# --- chunks ---
 
-    raw = _files(spark, sf_dir)
-    return reports(raw.select("tenant_id", "file_id", F.lit(1).alias("page_number"), "text"), raw.drop("text"))
 
+#: Files of several pages, each with a heading and a last line of its file's own.
+FILED = f"""SELECT doc_id, source, filename, page_number, 'ACME Works ' || source || {LF} || 'Issued for construction' || {LF} || substr(text, (page_number - 1) * 2500 + 1, 2500) || {LF} || 'Printed ' || filename AS text
+ FROM (SELECT *, CAST(unnest(range(1, 1 + greatest(1, (length(text) + 2499) // 2500))) AS INT) AS page_number FROM ({ORACLE_DECOR}))"""
 
-# --- chunks ---
+
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = decorated(spark, sf_dir).withColumn("page_number", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") / 2500).cast("int")))))
+    text = F.concat(F.lit("ACME Works "), "source", F.lit("\nIssued for construction\n"), F.substring("text", (F.col("page_number") - 1) * 2500 + 1, F.lit(2500)), F.lit("\nPrinted "), "filename")
+    return docs.select("doc_id", "source", "filename", "page_number", text.alias("text"))
 
 
-@query("chunks")
+_BREAK = "(?i)\\n[^\\S\\n]*(?:" + "|".join(p.replace(r"\s+", r"[^\S\n]+") for p in L.SECTION_LINES) + ")"
+_AFTER = "substr(left(rest, 1200), 2)"
+_SPACE = "length(regexp_extract(left(rest, 1200), '(?s)^(.*) ', 1))"
+_CLOSES = "(held <> '' AND length(held) >= 800 AND length(held) + 1 + length(piece) > 1200)"
+_TAIL = f"CASE WHEN 1199 - length(piece) > 0 THEN right({s_strip('right(held, 200)')}, 1199 - length(piece)) ELSE '' END"
+#: Cuts each page, and folds a document's pieces into chunks: doc_id, chunk_index, text, page_start, page_end.
+_CHUNKS = f"""RECURSIVE pg AS ({FILED}),
+c AS (SELECT doc_id, page_number, 0 AS k, ''::VARCHAR AS piece, {s_strip('text')} AS rest FROM pg
+ UNION ALL SELECT doc_id, page_number, k + 1, {s_strip('left(rest, e)')}, substr(rest, e + 1) FROM (SELECT *, CASE WHEN length(rest) <= 1200 THEN length(rest)
+  WHEN regexp_matches({_AFTER}, {lit(_BREAK)}) THEN strpos({_AFTER}, regexp_extract({_AFTER}, {lit(_BREAK)})) WHEN {_SPACE} > 720 THEN {_SPACE} ELSE 1200 END AS e FROM c WHERE rest <> '')),
+p AS (SELECT doc_id, page_number AS page, piece, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, k) AS i FROM c WHERE piece <> ''),
+f AS (SELECT doc_id, 0::BIGINT AS i, ''::VARCHAR AS held, 0 AS a, 0 AS z, 0 AS last, NULL::VARCHAR AS done, 0 AS done_a, 0 AS done_z FROM (SELECT DISTINCT doc_id FROM p)
+ UNION ALL SELECT p.doc_id, p.i, CASE WHEN {_CLOSES} THEN {s_strip(f"({_TAIL}) || ' ' || piece")} ELSE {s_strip("held || ' ' || piece")} END,
+  CASE WHEN {_CLOSES} THEN least(last, page) WHEN a = 0 THEN page ELSE least(a, page) END, CASE WHEN {_CLOSES} THEN greatest(last, page) ELSE greatest(z, page) END, page,
+  CASE WHEN {_CLOSES} THEN held END, a, z FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+e AS (SELECT doc_id, i, done AS text, done_a AS page_start, done_z AS page_end FROM f WHERE done IS NOT NULL
+ UNION ALL SELECT doc_id, i + 1, held, a, z FROM f WHERE held <> '' AND i = (SELECT max(i) FROM p WHERE p.doc_id = f.doc_id)),
+ch AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index, text, page_start::INTEGER AS page_start, page_end::INTEGER AS page_end, length(text)::INTEGER AS length FROM e)"""
+
+
+@query("chunks", f"WITH {_CHUNKS} SELECT doc_id, chunk_index, text, page_start, page_end, length FROM ch")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decorated(spark, sf_dir).select("source", "doc_id", F.col("doc_id").alias("page_number"), "text")
-    return chunking.chunk_documents(rows.select("doc_id", F.lit(1).alias("page_number"), "text"), ["doc_id"])
+    return chunking.chunk_documents(_filed(spark, sf_dir), ["doc_id"])
 
 
-@query("chunk_records")
-def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+_RECORDS = f"""{_CHUNKS}, m AS (SELECT *, {_KINDS} FROM ch), t AS (SELECT doc_id AS t_doc, chunk_index AS t_index, {_TRADES} FROM ch),
+rec AS (SELECT 't' AS tenant_id, 'd' AS dataset_id, doc_id::VARCHAR AS doc_id, '' AS source_uri, 'f.pdf' AS filename, page_start AS page, doc_id || '#p' || page_start || '#c' || chunk_index AS chunk_id, chunk_index, text,
+ '2024-01-01T00:00:00Z' AS created_at, 'hashed' AS embedding_model, sha256(doc_id || '|' || page_start || '|' || chunk_index || '|' || {s_strip("regexp_replace(text, '\\s+', ' ', 'g')")}) AS content_hash, '' AS acl,
+ coalesce({_KIND}, 'general') AS doc_type, CASE WHEN {_KIND_SUM} = 0 THEN 0.0 ELSE round({_KIND_TOP}::DOUBLE / ({_KIND_SUM}), 3) END AS doc_type_confidence,
+ (SELECT {_TRADE} FROM t WHERE t_doc = m.doc_id AND t_index = m.chunk_index) AS discipline, array_to_string({s_standards('text')}, ';') AS standards_referenced, {_REFS} AS section_reference, page_end FROM m)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.records(chunks(spark, sf_dir), "doc_id", tenant=F.lit("t"), dataset=F.lit("d"), filename=F.lit("f.pdf"), created_at=F.lit("2024-01-01T00:00:00Z"), model=F.lit("hashed"), source_uri=F.lit(""))
 
 
-@query("chunk_warnings", "SELECT doc_id, CASE WHEN n_chars < 500 THEN 'CHUNK_TOO_SMALL' ELSE 'CHUNK_TOO_LARGE' END AS type FROM documents WHERE n_chars < 500 OR n_chars > 1500")
+@query("chunk_records", f"WITH {_RECORDS} SELECT * EXCLUDE (page_end) FROM rec")
+def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).withColumns({"acl": F.array_join("acl", ";"), "standards_referenced": F.array_join("standards_referenced", ";")})
+
+
+@query("chunk_warnings", f"WITH {_CHUNKS} SELECT doc_id, CASE WHEN length < 500 THEN 'CHUNK_TOO_SMALL' ELSE 'CHUNK_TOO_LARGE' END AS type, count(*) AS n FROM ch WHERE length < 500 OR length > 1500 GROUP BY 1, 2")
 def chunk_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(quality.chunk_warnings(F.array(F.col("n_chars")))).alias("w")).select("doc_id", "w.type")
+    lengths = chunks(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("length").alias("lengths"))
+    found = lengths.select("doc_id", F.explode(quality.chunk_warnings(F.col("lengths"))).alias("w"))
+    return found.groupBy("doc_id", F.col("w.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("assessed_files")
+def assessed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over files of several pages, with those on other files of the tenant and the warnings of the chunks."""
+    from millrace.plans.readiness import reports
+
+    raw = _filed(spark, sf_dir).withColumnsRenamed({"source": "tenant_id", "doc_id": "file_id"})
+    files = decorated(spark, sf_dir).select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("file_id"), "filename", F.col("doc_id").alias("created_at"), F.sha2("text", 256).alias("raw_sha256"))
+    return reports(raw.select("tenant_id", "file_id", "page_number", "text"), files)
 
 
 # --- vectors ---
@@ -469,6 +512,48 @@ def chat_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", retrieval.eligible(rows, F.lit("a")).alias("code"))
 
 
+_CHUNKED = "SELECT vec_id::VARCHAR AS chunk_id, 't' || (label % 2) AS tenant_id, 'd' || (label % 3) AS dataset_id, * FROM embeddings"
+
+
+def _chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as a chunk table of two tenants with three datasets each."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.concat(F.lit("t"), F.col("label") % 2).alias("tenant_id"), F.concat(F.lit("d"), F.col("label") % 3).alias("dataset_id"), F.concat(F.lit("text "), "vec_id").alias("text"))
+    return rows.withColumns({c: F.lit(None).cast(k) for c, k in vectors.HIT_KINDS.items() if c not in rows.columns})
+
+
+@query("semantic_search", f"WITH c AS ({_CHUNKED}) SELECT chunk_id, 'text ' || vec_id AS text, round({_SIM}, 6) AS score FROM c WHERE tenant_id = 't1' AND dataset_id = 'd2' ORDER BY {_SIM} DESC, chunk_id LIMIT 20")
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question's hits in one dataset of a tenant; more than 20 can't be asked for."""
+    hits = retrieval.retrieve(_chunk_table(spark, sf_dir), "t1", "d2", " what does the RFI say ", lambda q: QUERY_VECTOR, 50, size=64)
+    return retrieval.shaped(hits).select("citation.chunk_id", "text", F.round("score", 6).alias("score"))
+
+
+@query("chat_turns", f"""WITH c AS ({_CHUNKED}), h AS (SELECT *, row_number() OVER (ORDER BY {_SIM} DESC, chunk_id) AS n FROM c WHERE tenant_id = 't0' AND dataset_id = 'd1' QUALIFY n <= 3),
+s AS (SELECT string_agg('[S' || n || '] source' || chr(10) || 'text ' || vec_id, chr(10) || chr(10) ORDER BY n) AS sources FROM h),
+q AS (SELECT conv_id, count(*) AS turns, arg_max(text, turn) AS message FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN {lit('Question:' + chr(10))} || message || {lit(chr(10) * 2 + 'Sources:' + chr(10))} || sources || {lit(chr(10) * 2 + 'Answer:')} WHEN turns > 1 THEN {lit(retrieval.FOLLOW_UP[0])} || message || {lit(retrieval.FOLLOW_UP[1])} END AS prompt,
+ CASE WHEN conv_id % 3 <> 0 AND turns = 1 THEN {lit(retrieval.NO_ANSWER)} END AS answer FROM q, s""")
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's last message as a question: with sources for a third of them, from its history, or without either."""
+    hits = retrieval.retrieve(_chunk_table(spark, sf_dir), "t0", "d1", "scope of works", lambda q: QUERY_VECTOR, 3, size=64)
+    sources = retrieval.citations(hits).select(F.size("citations").alias("n"), "sources")
+    asked = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("text", "turn").alias("message"))
+    some = asked.crossJoin(F.broadcast(sources)).withColumn("n", F.when(F.col("conv_id") % 3 == 0, F.col("n")).otherwise(0))  # one row of sources
+    return some.select("conv_id", retrieval.turn(F.col("message"), F.col("sources"), F.col("n"), F.col("turns") - 1).alias("t")).select("conv_id", "t.*")
+
+
+@query("repaired_records", """SELECT CASE WHEN doc_id % 3 = 0 THEN 'known-' || doc_id WHEN doc_id % 3 = 1 THEN 'old-' || doc_id ELSE doc_id || '#p0#c' || (doc_id % 4) END AS chunk_id, doc_id::VARCHAR AS doc_id, 't' AS tenant_id,
+ CASE WHEN doc_id % 2 = 0 THEN 'own.pdf' ELSE 'default.pdf' END AS filename, coalesce(text, '') AS text FROM documents WHERE length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) > 0 AND doc_id % 5 <> 0""")
+def repaired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    old = docs.select(
+        F.expr("if(doc_id % 3 = 0, 'known-' || doc_id, '')").alias("chunk_id"), F.expr("if(doc_id % 3 = 1, 'old-' || doc_id, null)").alias("chunkId"), F.col("doc_id").cast("string").alias("doc_id"),
+        F.expr("if(doc_id % 2 = 0, 'own.pdf', '')").alias("filename"), F.lit(None).cast("int").alias("page"), (F.col("doc_id") % 4).alias("chunk_index"), F.expr("if(doc_id % 5 = 0, ' \n', coalesce(text, ''))").alias("text"),
+    )
+    made = vectors.repair(old, F.lit("t"), F.lit("d"), F.lit("none"), F.lit(""), F.lit("default.pdf"), F.lit("now"), F.lit("m"))
+    return made.select("chunk_id", "doc_id", "tenant_id", "filename", "text")
+
+
 # --- catalogue ---
 
 _STATUS = "CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN 'READY' WHEN 1 THEN 'PROCESSING' WHEN 2 THEN 'FAILED' ELSE 'COMPLETE' END"
@@ -560,6 +645,47 @@ def latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.latest_jobs(files, jobs).select(F.col("file_id").alias("o_orderkey"), F.col("job.q").alias("l_quantity"))
 
 
+@query("dataset_jobs", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'R'")
+def dataset_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_returnflag").alias("dataset_id"))
+    return catalog.of_dataset(jobs, F.lit("R")).drop("dataset_id")
+
+
+@query("active_datasets", f"SELECT lang AS tenant_id, source AS dataset_id, bool_or({_STATUS} = 'PROCESSING') AS active FROM documents GROUP BY 1, 2")
+def active_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.active(_catalog_files(spark, sf_dir))
+
+
+@query("job_artifacts", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'chunks-' || o_orderkey END AS key FROM orders")
+def job_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("if(o_orderkey % 2 = 0, map('chunks', 'chunks-' || o_orderkey, 'report', 'r'), map('report', 'r'))").alias("artifacts"))
+    return jobs.select("o_orderkey", catalog.artifact("chunks").alias("key"))
+
+
+@query("document_keys", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'stored/' || doc_id ELSE 'raw/' || lang || '/' || source || '/' || doc_id || '/' || CASE WHEN doc_id % 3 = 0 THEN 'document.pdf' ELSE {NAME} END END AS raw_key FROM documents")
+def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _catalog_files(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.expr(f"if(doc_id % 3 = 0, null, {NAME})").alias("filename"), F.expr("if(doc_id % 2 = 0, 'stored/' || doc_id, null)").alias("raw_key")), "file_id")
+    return files.select(F.col("file_id").alias("doc_id"), catalog.raw_key().alias("raw_key"))
+
+
+@query("audited", "SELECT event_type, count(*) + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS n FROM events GROUP BY event_type")
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type")
+    return catalog.audit(log, spark.sql("SELECT 'click' AS event_type")).groupBy("event_type").agg(F.count_distinct("event_id").alias("n"))
+
+
+@query("stamped_update", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN 'now' ELSE 'then' END AS updated_at FROM orders")
+def stamped_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.lit("then").alias("updated_at"))
+    return catalog.update(orders, orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"], stamp=F.lit("now"))
+
+
+@query("newest_datasets", "SELECT c_custkey, c_name AS name FROM customer ORDER BY c_custkey DESC LIMIT 50")
+def newest_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_custkey").alias("created_at"))
+    return catalog.sorted_datasets(rows, "newest").limit(50).select("c_custkey", "name")
+
+
 _KEY = "(CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'raw/t%20' || user_id || '/d/' || event_id || '/a+b.pdf' WHEN 1 THEN 'raw/t/d/' || event_id ELSE 'tmp/t/d/' || event_id || '/x.pdf' END)"
 
 
@@ -570,19 +696,20 @@ def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(table(spark, sf_dir, "events").select("event_id", F.expr(_KEY).alias("key"))).drop("key")
 
 
-@query("stream_ingest")
+@query("stream_ingest", """SELECT 't ' || user_id AS tenant_id, 'd' AS dataset_id, event_id::VARCHAR AS file_id, 'a b.pdf' AS filename, 'raw/t%20' || user_id || '/d/' || event_id || '/a+b.pdf' AS raw_key,
+ sha256('t ' || user_id || '|d|' || event_id || '|raw/t%20' || user_id || '/d/' || event_id || '/a+b.pdf') AS job_id FROM events WHERE event_id % 3 = 0 AND event_id % 2 <> 0""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as object notices, read as a stream that ends when all are taken."""
-    import tempfile
+    """events as object notices, read as a stream that ends when all are taken; half of the files are known already."""
     import uuid
 
+    from millrace.sources.objects import keyed
     from millrace.streaming.ingest import dispatch, ingest
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
-    notices = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.expr(_KEY).alias("key"))
-    ingest(notices, f"{at}/out", f"{at}/checkpoint", lambda df: dispatch(df, None)).awaitTermination()
+    at = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    known = keyed(events.where("event_id % 2 = 0").select(F.expr(_KEY).alias("key")))
+    notices = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.expr(_KEY).alias("key"))
+    ingest(notices, f"{at}/out", f"{at}/checkpoint", lambda df: dispatch(df, known), errors=f"{at}/errors").awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
@@ -620,11 +747,14 @@ def shaped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.shaped(_hits(spark, sf_dir)).select("citation.doc_id", "text", "score", "citation.page")
 
 
-@query("chunk_lines")
+@query("chunk_lines", f"""WITH {_RECORDS} SELECT chunk_id, chunk_id AS chunkId, dataset_id AS dataset, doc_id AS file, page AS first, page_end AS last, filename AS name, text, content_hash FROM rec""")
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk records as the JSON lines that readers of files expect."""
-    made = chunk_records(spark, sf_dir).withColumn("page_end", F.col("page"))
-    return made.select("chunk_id", chunking.envelope([c for c in made.columns if c != "page_end"]).alias("line"))
+    """Chunk records as the JSON lines that readers of files expect, read again."""
+    made = chunking.records(chunks(spark, sf_dir), "doc_id", tenant=F.lit("t"), dataset=F.lit("d"), filename=F.lit("f.pdf"), created_at=F.lit("now"), model=F.lit("hashed"), source_uri=F.lit(""), with_metadata=False, page_end=True)
+    lines = made.select(chunking.envelope([c for c in made.columns if c != "page_end"]).alias("line"))
+    place = "metadata struct<datasetId:string,fileId:string,pageRange:struct<start:int,`end`:int>,sourceFilename:string>"
+    back = lines.select(F.from_json("line", f"chunk_id string, chunkId string, text string, content_hash string, {place}").alias("r")).select("r.*")
+    return back.select("chunk_id", "chunkId", F.col("metadata.datasetId").alias("dataset"), F.col("metadata.fileId").alias("file"), F.col("metadata.pageRange.start").alias("first"), F.col("metadata.pageRange.end").alias("last"), F.col("metadata.sourceFilename").alias("name"), "text", "content_hash")
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -12,22 +12,22 @@ KEYS = ["tenant_id", "file_id"]
 
 
 def prepare(raw: DataFrame, files: DataFrame) -> DataFrame:
-    """files with text (cleaned), stats (of the raw pages), headers, footers and simhash. raw: tenant_id, file_id, page_number,
-    text."""
-    before = pages.document_text(raw, KEYS, "\n").select(*KEYS, extraction_stats("text", F.col("page_count")).alias("stats"))
-    cleaned = pages.normalize_pages(raw, KEYS)
-    lists = cleaned.select(*KEYS, "headers", "footers").dropDuplicates(KEYS)
-    text = pages.document_text(cleaned, KEYS).select(*KEYS, "text")
-    prints = duplicates.simhash(text, KEYS)
-    return files.join(before, KEYS).join(text, KEYS).join(lists, KEYS).join(prints, KEYS)
+    """files with pages (cleaned, in order), text (theirs), stats (of the raw pages), headers, footers and simhash. raw: tenant_id,
+    file_id, page_number, text. The pages are cleaned once, and a file's come together once."""
+    cleaned = pages.normalize_pages(raw.withColumn("raw", F.coalesce("text", F.lit(""))), KEYS)
+    page = F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"), "raw")
+    docs = cleaned.groupBy(*KEYS).agg(F.array_sort(F.collect_list(page)).alias("pages"), F.first("headers").alias("headers"), F.first("footers").alias("footers"))
+    joined = lambda field, by: F.array_join(F.transform("pages", lambda p: p[field]), by)
+    docs = docs.withColumns({"text": joined("text", "\n\n"), "stats": extraction_stats(joined("raw", "\n"), F.size("pages").cast("long"))})
+    return files.join(docs, KEYS).join(duplicates.simhash(docs, KEYS), KEYS)
 
 
 def reports(raw: DataFrame, files: DataFrame) -> DataFrame:
     """tenant_id, file_id, findings (with the chunks' warnings), summary, readiness, chunk_count."""
-    assessed = quality.assess(prepare(raw, files))
-    made = chunking.chunk_documents(pages.normalize_pages(raw, KEYS).select(*KEYS, "page_number", "text"), KEYS)
-    lengths = made.groupBy(*KEYS).agg(F.collect_list("length").alias("lengths"))
-    out = assessed.join(lengths, KEYS, "left").withColumn("lengths", F.coalesce("lengths", F.array().cast("array<int>")))
+    ready = prepare(raw, files)
+    made = chunking.chunks(F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number"), p["text"].alias("text"))))
+    lengths = ready.select(*KEYS, F.transform(made, lambda c: c["length"]).alias("lengths"))
+    out = quality.assess(ready).join(lengths, KEYS)
     warnings = quality.chunk_warnings(F.col("lengths"))
     every = F.concat("findings", warnings)
     return out.select(*KEYS, every.alias("findings"), quality.summary(every).alias("summary"), quality.adjusted(F.col("readiness"), warnings).alias("readiness"), F.size("lengths").alias("chunk_count"))

@@ -78,7 +78,7 @@ def decoded(content: pd.Series) -> list[str | None]:
 
 def extract(files: DataFrame, primary: Callable[[pd.Series], list[str | None]], fallback: Callable[[pd.Series], list[str | None]] = decoded, least: int = LEAST_TEXT) -> DataFrame:
     """files (with content) and raw_sha256, pages, method ("primary", "fallback" or null) and both errors. Extractors turn a
-    series of bytes into texts with form feeds between pages. The fallback runs for files whose primary text is missing or under
+    series of bytes (a batch of files) into as many texts, with form feeds between pages. The fallback runs for files whose primary text is missing or under
     `least` characters; files that stay under it have null pages. One file's failure is its own row's."""
     kind = "text string, error string"
 
@@ -86,6 +86,13 @@ def extract(files: DataFrame, primary: Callable[[pd.Series], list[str | None]],
         @F.pandas_udf(kind)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for content in batches:
+                try:  # all at once; file by file only where one of them fails
+                    there = content[content.notna()]
+                    found = dict(zip(there.index, extractor(there.reset_index(drop=True)) if len(there) else [], strict=True))
+                    yield pd.DataFrame({"text": [found.get(i) for i in content.index], "error": None})
+                    continue
+                except Exception:  # noqa: BLE001, S110  the next lines say which file it was
+                    pass
                 rows = []
                 for one in content:
                     if one is None:

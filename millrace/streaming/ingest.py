@@ -21,12 +21,20 @@ def dispatch(objects: DataFrame, known: DataFrame | None, key: str = "key") -> D
     return rows.withColumn("job_id", F.sha2(F.concat_ws("|", "tenant_id", "dataset_id", "file_id", "raw_key"), 256))
 
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], *, once: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, out: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], *, once: bool = True, errors: str | None = None, tries: int = 3) -> StreamingQuery:
     """Run work on each batch and write its rows below out/batch=<n>. A batch that is repeated after a failure overwrites its own
-    folder, so each object counts once. once: take what there is and stop."""
+    folder, so each object counts once. once: take what there is and stop. A batch that fails `tries` times stops the stream, or,
+    with errors, goes there as it came, with the error's text, and the stream goes on."""
 
     def batch(df: DataFrame, number: int) -> None:
-        work(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        for left in reversed(range(tries)):
+            try:
+                return work(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            except Exception as e:  # noqa: BLE001  whatever fails a batch is kept with it
+                if not left and errors is None:
+                    raise
+                message = f"{type(e).__name__}: {e}"[:2000]
+        df.withColumn("error", F.lit(message)).write.mode("overwrite").parquet(f"{errors}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

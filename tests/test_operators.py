@@ -92,6 +92,38 @@ def test_whole_report(spark):
     assert "EXACT_DUPLICATE" in [f["type"] for f in got[1]["findings"]] and got[2]["chunk_count"] == 0 and 0 <= got[1]["readiness"] <= 100
 
 
+def test_report_with_all_rules_on_other_files(spark):
+    """Copies, near copies, another revision, headers and chunk warnings in one report; findings in the rules' order."""
+    import json
+
+    from millrace.plans.readiness import reports
+
+    body = " ".join(f"word{i % 97} clause{i}" for i in range(150))
+    page = lambda text: f"ACME Works\nIssued for construction\n{text}\nPrinted copy"
+    raw = [("t", f, p, page(f"{body}{p}" + (f" only{f}" if f == 3 else "") + f"\nend of {p}")) for f in (1, 2, 3) for p in (1, 2, 3)] + [("t", 4, 1, "other " * 500), ("u", 5, 1, page(body)), ("t", 6, 1, "tiny")]
+    meta = [("t", 1, "plan_Rev-A.pdf", 1, "x"), ("t", 2, "plan_Rev-B.pdf", 2, "x"), ("t", 3, "q.pdf", 3, "y"), ("t", 4, "r.pdf", 4, "z"), ("u", 5, "plan_Rev-A.pdf", 5, "x"), ("t", 6, "s.pdf", 6, None)]
+    rows = reports(spark.createDataFrame(raw, "tenant_id string, file_id long, page_number int, text string"), spark.createDataFrame(meta, "tenant_id string, file_id long, filename string, created_at long, raw_sha256 string"))
+    got = {r["file_id"]: r for r in rows.collect()}
+    kinds = {f: [x["type"] for x in r["findings"]] for f, r in got.items()}
+    evidence = lambda f, kind: json.loads(next(x["evidence"] for x in got[f]["findings"] if x["type"] == kind))
+    assert kinds[1][:3] == ["EXACT_DUPLICATE", "NEAR_DUPLICATE", "SUPERSEDED_VERSION"] and kinds[3][0] == "NEAR_DUPLICATE"
+    assert evidence(1, "EXACT_DUPLICATE") == {"matchingFileIds": [2], "matches": 1}
+    assert evidence(2, "SUPERSEDED_VERSION") == {"currentRevision": "Rev-B", "otherFileId": 1, "otherRevision": "Rev-A"}
+    assert {m["file_id"] for m in evidence(3, "NEAR_DUPLICATE")["matches"]} == {1, 2}
+    assert evidence(1, "HEADER_FOOTER_REMOVAL") == {"headers": ["ACME Works", "Issued for construction"], "footers": ["Printed copy"]}
+    assert not {"EXACT_DUPLICATE", "NEAR_DUPLICATE", "SUPERSEDED_VERSION", "HEADER_FOOTER_REMOVAL"} & {*kinds[4], *kinds[5]}
+    assert kinds[6][-1] == "CHUNK_TOO_SMALL" and "LOW_TEXT_VOLUME" in kinds[6]
+    from millrace.functions.lexicon import DEDUCTIONS as cost
+
+    for r in got.values():
+        own = [x for x in r["findings"] if not x["type"].startswith("CHUNK")]
+        chunk = len(r["findings"]) - len(own)
+        score = max(0, min(100, 100 - sum(cost[x["severity"]] for x in own)))
+        assert r["readiness"] == max(0, min(100, score - 3 * chunk))
+        assert r["summary"].asDict() == {s: sum(x["severity"] == s for x in r["findings"]) for s in cost}
+    assert got[1]["chunk_count"] > 1
+
+
 def test_chunks_of_two_pages():
     made = chunking.fold([(1, "A" * 900), (2, "B" * 900)])
     assert [(c["length"], c["page_start"], c["page_end"]) for c in made] == [(900, 1, 1), (1101, 1, 2)]
@@ -213,3 +245,63 @@ def test_simhash_of_long_and_odd_texts(spark):
     rows = [(i, " ".join(w) or ("- -" if i == 4 else None)) for i, w in words.items()]
     got = {r["i"]: r["simhash"] for r in duplicates.simhash(spark.createDataFrame(rows, "i int, text string"), ["i"]).collect()}
     assert got == {i: plain(w) for i, w in words.items()}
+
+
+def test_small_predicates_and_shapes(spark, one):
+    """Jobs of a dataset, active datasets, artifacts, keys, moments, nested hits, shown standards and turns."""
+    jobs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "job long, dataset_id string")
+    assert [r["job"] for r in catalog.of_dataset(jobs, F.lit("a")).collect()] == [1]
+    files = spark.createDataFrame([("t", "a", "COMPLETE"), ("t", "a", "UPLOADED_PENDING"), ("t", "b", "FAILED"), ("t", "c", None)], "tenant_id string, dataset_id string, status string")
+    assert {r["dataset_id"]: r["active"] for r in catalog.active(files).collect()} == {"a": True, "b": False, "c": False}
+    stored = spark.createDataFrame([("t", "d", 1, "a.pdf", "k"), ("t", "d", 2, "a.pdf", ""), ("t", "d", 3, None, None)], "tenant_id string, dataset_id string, file_id long, filename string, raw_key string")
+    assert [r[0] for r in stored.orderBy("file_id").select(catalog.raw_key()).collect()] == ["k", "raw/t/d/2/a.pdf", "raw/t/d/3/document.pdf"]
+    moment = F.lit("2024-03-01 12:00:01.234").cast("timestamp")
+    assert (one(catalog.iso(moment)), one(catalog.iso(moment, True))) == ("2024-03-01T12:00:01Z", "2024-03-01T12:00:01.234Z")
+    assert spark.sql("SELECT map('x', 'k') AS artifacts").select(catalog.artifact("x"), catalog.artifact("y")).first() == ("k", None)
+    hit = spark.sql("SELECT 'c' AS chunk_id, 'd' AS doc_id, 'f' AS filename, 1 AS page, 't' AS text, 'rfi' AS doc_type, null AS discipline, null AS section_reference, array('1', '2', '3', '4') AS standards_referenced, 0.5D AS score")
+    row = retrieval.nested(hit).first()
+    assert (row["_id"], row["_score"], row["_source"]["text"], row["_source"]["page"]) == ("c", 0.5, "t", 1)
+    assert hit.select(retrieval.shown_standards(F.struct("standards_referenced"))).first()[0] == ["1", "2", "3"]
+    asked = lambda n, before: one(retrieval.turn(F.lit("why"), F.lit("[S1] f"), F.lit(n), F.lit(before)))
+    assert asked(1, 0)["prompt"] == "Question:\nwhy\n\nSources:\n[S1] f\n\nAnswer:" and asked(1, 0)["answer"] is None
+    assert "user asks: why\n" in asked(0, 2)["prompt"] and asked(0, 0) == (None, retrieval.NO_ANSWER)
+
+
+def test_retrieve(spark):
+    rows = [("c1", "t", "d", [1.0, 0.0]), ("c2", "t", "d", [0.6, 0.8]), ("c3", "u", "d", [1.0, 0.0]), ("c4", "t", "e", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "chunk_id string, tenant_id string, dataset_id string, embedding array<double>")
+    df = df.withColumns({c: F.lit(None).cast(k) for c, k in vectors.HIT_KINDS.items() if c != "chunk_id"})
+    asked = []
+    found = retrieval.retrieve(df, "t", "d", " what does the RFI say ", lambda q: asked.append(q) or [1.0, 0.0], size=2)
+    assert [(r["chunk_id"], r["score"]) for r in found.collect()] == [("c1", 1.0), ("c2", pytest.approx(0.6))]
+    assert asked[0].startswith("what does the RFI say (")
+    with pytest.raises(ValueError, match="size is not 1024 but 2"):
+        retrieval.retrieve(df, "t", "d", "q", lambda q: [1.0, 0.0])
+    with pytest.raises(ValueError, match="needed"):
+        retrieval.retrieve(df, "t", "d", "  ", lambda q: [1.0, 0.0], size=2)
+
+
+def test_upsert_of_repeated_keys(spark):
+    old = chunk_table(spark, [("x", "old", [1.0], "h", 1, "rfi")])
+    new = chunk_table(spark, [("x", "first", [2.0], "h", 2, "a"), ("x", "second", [3.0], "h", 3, "b"), ("n", "one", [1.0], "h", 1, "c"), ("n", "two", [1.0], "h", 4, "d")])
+    got = {r["chunk_id"]: (r["text"], r["doc_type"]) for r in vectors.upsert(old, new).collect()}
+    assert got == {"x": ("second", "rfi"), "n": ("two", "d")} and vectors.upsert(old, new).count() == 2
+
+
+def test_sorted_datasets(spark):
+    df = spark.createDataFrame([("b", 1), ("A", 3), (None, 2)], "name string, created_at long")
+    names = lambda how: [r["name"] for r in catalog.sorted_datasets(df, how).collect()]
+    assert (names("newest"), names("oldest"), names("name-asc"), names("name-desc")) == (["A", None, "b"], ["b", None, "A"], [None, "A", "b"], ["b", "A", None])
+
+
+def test_all_near_fingerprints(spark):
+    """Three of six parts join all pairs up to distance 3, wherever the bits differ."""
+    import random
+
+    r = random.Random(3)
+    base = [r.getrandbits(63) for _ in range(40)]
+    prints = sorted({b ^ sum(1 << i for i in r.sample(range(63), d)) for b in base for d in (0, 1, 2, 3, 4)})
+    df = spark.createDataFrame([("t", i, "f", i, None, s) for i, s in enumerate(prints)], "tenant_id string, file_id long, filename string, created_at long, raw_sha256 string, simhash long")
+    want = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3}
+    got = [(x["a"], x["b"]) for x in duplicates.simhash_pairs(df).collect()]
+    assert len(want) > 100 and set(got) == want and len(got) == len(want)
