@@ -956,6 +956,16 @@ def test_ogg_odd(odd, none):
     assert packets(media).where("doc_id = 2").count() == 4 and digest_texts(none).count() == 0
 
 
+# --- what they share ---
+
+
+def test_written_tables_can_be_removed(spark):
+    from millrace.llm.common import remove_written, written
+
+    assert written(spark.range(5)).count() == 5
+    assert remove_written(spark) and not remove_written(spark)
+
+
 # --- the pipeline ---
 
 
