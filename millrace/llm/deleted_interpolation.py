@@ -200,7 +200,7 @@ def answers(asks: DataFrame, groups: int, coarse: int, fine: int) -> tuple[DataF
     if groups == 1:
         every = written(asks.groupBy("bucket").applyInPandas(answer, ANSWERS))
         return every.where("chunk >= 0"), every.where("chunk = -1")
-    asks = written(asks.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups))))
+    asks = asks.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)))  # made again of the written chunks for each use
 
     def combine(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
