@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import extraction_stats
 from millrace.operators import chunking, duplicates, pages, quality
+from millrace.session import stored
 
 KEYS = ["tenant_id", "file_id"]
 
@@ -24,7 +25,7 @@ def prepare(raw: DataFrame, files: DataFrame) -> DataFrame:
 
 def reports(raw: DataFrame, files: DataFrame) -> DataFrame:
     """tenant_id, file_id, findings (with the chunks' warnings), summary, readiness, chunk_count."""
-    ready = prepare(raw, files)
+    ready = stored(prepare(raw, files))  # the rules on other files read it again
     made = chunking.chunks(F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number"), p["text"].alias("text"))))
     lengths = ready.select(*KEYS, F.transform(made, lambda c: c["length"]).alias("lengths"))
     out = quality.assess(ready).join(lengths, KEYS)

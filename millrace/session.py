@@ -1,6 +1,7 @@
 """A session with the settings that results depend on (sizes are the cluster's to set), and the dealing of small tables."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
         at = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again, where a plan needs the same dear rows several times."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
