@@ -90,12 +90,13 @@ def adjusted(score: Column, warnings: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), score - 3 * count_of(warnings, "WARN")))
 
 
-def assess(files: DataFrame) -> DataFrame:
+def assess(files: DataFrame, visibility: str = "snapshot") -> DataFrame:
     """tenant_id, file_id, findings, summary and readiness of files with tenant_id, file_id, filename, created_at, raw_sha256,
-    simhash, text (cleaned), stats, headers, footers. All files of the table see each other, whenever they came."""
+    simhash, text (cleaned), stats, headers, footers. All files of the table see each other, whenever they came; with visibility
+    "as_of" each sees the ones before it."""
     keys = ["tenant_id", "file_id"]
     slim = files.select(*keys, "filename", "created_at", "raw_sha256", "simhash", F.substring("text", 1, 2000).alias("head"))
-    parts = {"exact": exact_duplicates(slim), "near": near_duplicates(slim), "other": superseded(slim, "head")}
+    parts = {"exact": exact_duplicates(slim, visibility=visibility), "near": near_duplicates(slim, visibility=visibility), "other": superseded(slim, "head", visibility=visibility)}
     joined = with_facts(files)
     for name, part in parts.items():
         fields = [c for c in part.columns if c not in keys]

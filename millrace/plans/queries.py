@@ -297,6 +297,28 @@ def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.superseded(_files(spark, sf_dir), "text")
 
 
+@query("exact_duplicates_as_of", """WITH f AS (SELECT lang AS tenant_id, doc_id AS file_id, sha256(coalesce(text, '')) AS h FROM documents)
+SELECT tenant_id, file_id, first_value(file_id) OVER w AS group_id, row_number() OVER w - 1 AS matches, array_to_string((list(file_id) OVER (PARTITION BY tenant_id, h ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))[1:5], ',') AS match_ids
+FROM f WINDOW w AS (PARTITION BY tenant_id, h ORDER BY file_id) QUALIFY matches > 0""")
+def exact_duplicates_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = duplicates.exact_duplicates(_files(spark, sf_dir), visibility="as_of")
+    return found.withColumns({"matches": F.col("matches").cast("long"), "match_ids": F.array_join(F.col("match_ids").cast("array<string>"), ",")})
+
+
+@query("near_duplicates_as_of", f"""WITH {_PRINTS}, n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM fp)
+SELECT f.lang AS tenant_id, f.doc_id AS file_id, count(*)::INTEGER AS matches, array_to_string((list(o.doc_id ORDER BY o.n DESC))[1:5], ',') AS near FROM n f JOIN n o ON f.lang = o.lang AND o.n BETWEEN f.n - 49 AND f.n - 1 AND bit_count(xor(f.s, o.s)) <= 3 GROUP BY 1, 2""")
+def near_duplicates_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = duplicates.near_duplicates(_printed(spark, sf_dir), visibility="as_of")
+    return found.select("tenant_id", "file_id", "matches", F.array_join(F.transform("near", lambda r: r["file_id"].cast("string")), ",").alias("near"))
+
+
+@query("superseded_as_of", f"""WITH f AS (SELECT lang, doc_id, {NAME} AS filename, coalesce(text, '') AS text FROM documents), k AS (SELECT *, lower({s_base('filename')}) AS base, {s_revision('filename')} AS rev, {s_revision('filename', 'text')} AS own, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM f)
+SELECT a.lang AS tenant_id, a.doc_id AS file_id, a.own AS revision, arg_max(b.doc_id, b.n) AS other_file_id, arg_max(b.rev, b.n) AS other_revision FROM k a JOIN k b ON a.lang = b.lang AND b.n BETWEEN a.n - 49 AND a.n - 1 AND a.base = b.base AND b.rev IS NOT NULL AND b.rev <> a.own
+WHERE a.own IS NOT NULL AND a.base <> '' GROUP BY 1, 2, 3""")
+def superseded_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.superseded(_files(spark, sf_dir), "text", visibility="as_of")
+
+
 @query("newest_files", "SELECT lang AS tenant_id, doc_id AS file_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC)::INTEGER AS recency FROM documents QUALIFY recency <= 50")
 def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.newest(_files(spark, sf_dir)).select("tenant_id", "file_id", "recency")

@@ -23,12 +23,12 @@ def prepare(raw: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(docs, KEYS).join(duplicates.simhash(docs, KEYS), KEYS)
 
 
-def reports(raw: DataFrame, files: DataFrame) -> DataFrame:
+def reports(raw: DataFrame, files: DataFrame, visibility: str = "snapshot") -> DataFrame:
     """tenant_id, file_id, findings (with the chunks' warnings), summary, readiness, chunk_count."""
     ready = stored(prepare(raw, files))  # the rules on other files read it again
     made = chunking.chunks(F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number"), p["text"].alias("text"))))
     lengths = ready.select(*KEYS, F.transform(made, lambda c: c["length"]).alias("lengths"))
-    out = quality.assess(ready).join(lengths, KEYS)
+    out = quality.assess(ready, visibility).join(lengths, KEYS)
     warnings = quality.chunk_warnings(F.col("lengths"))
     every = F.concat("findings", warnings)
     return out.select(*KEYS, every.alias("findings"), quality.summary(every).alias("summary"), quality.adjusted(F.col("readiness"), warnings).alias("readiness"), F.size("lengths").alias("chunk_count"))

@@ -58,6 +58,42 @@ def test_duplicates(spark):
     assert duplicates.exact_duplicates(df.limit(0)).count() == duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_visibility_by_arrival(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ttttu"), i, f"{rng.choice('pq')}_Rev-{rng.choice('ABC')}.pdf", rng.randrange(90), rng.choice("hhhhi"), rng.choice([0, 1, 255, 1 << 40])) for i in range(300)]
+    rows += [(None, 900, "p_Rev-A.pdf", 1, "h", 0), (None, 901, "p_Rev-B.pdf", 2, "h", 0), ("t", 902, "p.pdf", None, "h", None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several blocks, though the rows are few
+    try:
+        df = files(spark, rows)
+        assert duplicates.by_arrival(df, ["tenant_id"]).groupBy("tenant_id").agg(F.count_distinct("n"), F.max("n"), F.count("*")).where("tenant_id = 't'").collect()[0][1:] == (sum(r[0] == "t" for r in rows),) * 3
+        exact = {r["file_id"]: (r["group_id"], r["matches"], r["match_ids"]) for r in duplicates.exact_duplicates(df, visibility="as_of").collect()}
+        near = {r["file_id"]: (r["matches"], [(x["file_id"], x["distance"]) for x in r["near"]]) for r in duplicates.near_duplicates(df, visibility="as_of").collect()}
+        newer = {r["file_id"]: (r["revision"], r["other_file_id"], r["other_revision"]) for r in duplicates.superseded(df, visibility="as_of").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = ({}, {}, {})
+    for tenant in "tu":
+        came = sorted((r for r in rows if r[0] == tenant), key=lambda r: (-1 if r[3] is None else r[3], r[1]))
+        for i, (_, id_, name, _, sha, bits) in enumerate(came):
+            same = [r[1] for r in came[:i] if r[4] == sha]
+            recent = came[max(0, i - 49) : i][::-1]
+            found = [(r[1], (r[5] ^ bits).bit_count()) for r in recent if bits is not None and r[5] is not None and (r[5] ^ bits).bit_count() <= 3]
+            rev = name[2:7] if "Rev" in name else None
+            other = [(r[1], r[2][2:7]) for r in recent if "Rev" in r[2] and rev and r[2][0] == name[0] and r[2][2:7] != rev]
+            if same:
+                want[0][id_] = (same[0], len(same), same[:5])
+            if found:
+                want[1][id_] = (len(found), found[:5])
+            if other:
+                want[2][id_] = (rev, *other[0])
+    assert (exact, near, newer) == want
+    assert duplicates.near_duplicates(df.limit(0), visibility="as_of").count() == duplicates.exact_duplicates(df.limit(0), visibility="as_of").count() == 0
+    with pytest.raises(ValueError):
+        duplicates.near_duplicates(df, visibility="later")
+
+
 def test_readiness(one):
     f = F.array(*(F.struct(F.lit(s).alias("severity")) for s in ("CRITICAL", "WARN", "INFO", None, "OTHER")))
     assert one(quality.readiness(f)) == 100 - 40 - 15 - 5 - 5
