@@ -253,7 +253,7 @@ fp AS (SELECT d.doc_id, d.lang, coalesce(f.s, 0::UBIGINT) AS s FROM documents d
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: the language is the tenant, a greater id is newer."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("lang").alias("tenant_id"), F.col("doc_id").alias("file_id"), F.expr(NAME).alias("filename"), F.col("doc_id").alias("created_at"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw_sha256"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("lang").alias("tenant_id"), "source", F.col("doc_id").alias("file_id"), F.expr(NAME).alias("filename"), F.col("doc_id").alias("created_at"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw_sha256"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,14 +437,61 @@ def chunk_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", F.col("w.type").alias("type")).agg(F.count("*").alias("n"))
 
 
-@query("assessed_files")
+#: The pages of FILED, cleaned, without their file's repeated lines, and with the lists of those.
+_CLEANED = f"""WITH c AS (SELECT *, {s_clean('raw')} AS text FROM (SELECT doc_id, source, filename, page_number, text AS raw FROM ({FILED}))), p AS (SELECT *, {s_lines('text')} AS l FROM c),
+t AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY 1),
+e AS (SELECT doc_id, 'h' AS kind, unnest(l[1:2]) AS line FROM p UNION ALL SELECT doc_id, 'f', unnest(l[greatest(len(l) - 1, 1):len(l)]) FROM p UNION ALL SELECT doc_id, 'b', unnest(list_distinct(l)) FROM p),
+g AS (SELECT doc_id, kind, line FROM e JOIN t USING (doc_id) WHERE length(line) > CASE kind WHEN 'b' THEN 4 ELSE 3 END GROUP BY doc_id, kind, line, pages HAVING count(*) >= greatest(2, floor(pages * CASE kind WHEN 'b' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END))),
+r AS (SELECT doc_id, list(line) AS gone, list_sort(list(line) FILTER (kind = 'h')) AS headers, list_sort(list(line) FILTER (kind = 'f')) AS footers FROM g GROUP BY 1)
+SELECT p.doc_id, source, filename, page_number, raw, coalesce(headers, []) AS headers, coalesce(footers, []) AS footers, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x: NOT list_contains(gone, x)), chr(10)) END AS text FROM p LEFT JOIN r USING (doc_id)"""
+#: A rule's severity, condition and evidence, in the order of findings.
+_EVERY_RULE = {
+    "EXACT_DUPLICATE": ("CRITICAL", "exact IS NOT NULL", "exact"),
+    "NEAR_DUPLICATE": ("WARN", "near IS NOT NULL", "near"),
+    "SUPERSEDED_VERSION": ("WARN", "other IS NOT NULL", "other"),
+    "DRAWING_LOW_TEXT": (*_RULES["DRAWING_LOW_TEXT"], """'{"textLength":' || length(text) || ',"isDrawing":true}'"""),
+    "LOW_TEXT_VOLUME": (*_RULES["LOW_TEXT_VOLUME"], """'{"textLength":' || length(text) || '}'"""),
+    "POOR_OCR_QUALITY": (*_RULES["POOR_OCR_QUALITY"], """'{"errorRatio":' || round(garbled, 4) || '}'"""),
+    "HIGH_NON_ALPHA_RATIO": (*_RULES["HIGH_NON_ALPHA_RATIO"], """'{"nonAlphaRatio":' || alpha || '}'"""),
+    "REPEATED_LINES": (*_RULES["REPEATED_LINES"], """'{"repeatedLineRatio":' || repeated || '}'"""),
+    "HEADER_FOOTER_REMOVAL": ("INFO", "len(headers) + len(footers) > 0", """'{"headers":' || to_json(headers) || ',"footers":' || to_json(footers) || '}'"""),
+    "MISSING_DATE": (*_RULES["MISSING_DATE"], "'{}'"),
+    "MISSING_REVISION": (*_RULES["MISSING_REVISION"], """'{"docType":"' || kind || '"}'"""),
+    "STANDARDS_REFERENCED": (*_RULES["STANDARDS_REFERENCED"], """'{"standards":' || to_json(standards[1:10]) || '}'"""),
+}
+_ASSESSED = f"""{_CHUNKS.replace(FILED, _CLEANED, 1)},
+cleaned AS (SELECT doc_id, source AS lang, filename, any_value(headers) AS headers, any_value(footers) AS footers, string_agg(raw, chr(10) ORDER BY page_number) AS raw, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS text FROM pg GROUP BY 1, 2, 3),
+{_PRINTS.replace("documents", "cleaned")}, {_RECENT},
+shas AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS sha FROM documents),
+same AS (SELECT a.doc_id, count(*) AS n, (list(b.doc_id ORDER BY b.doc_id))[1:5] AS ids FROM shas a JOIN shas b ON a.source = b.source AND a.sha = b.sha AND a.doc_id <> b.doc_id GROUP BY 1),
+alike AS (SELECT a.doc_id, (list('{{"file_id":' || b.doc_id || ',"distance":' || bit_count(xor(a.s, b.s)) || '}}' ORDER BY b.r))[1:5] AS found FROM fp a JOIN recent b ON a.lang = b.lang AND a.doc_id <> b.doc_id AND bit_count(xor(a.s, b.s)) <= 3 GROUP BY 1),
+revs AS (SELECT doc_id, lang, lower({s_base('filename')}) AS base, {s_revision('filename')} AS rev, {s_revision('filename', 'left(text, 2000)')} AS own, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS r FROM cleaned),
+newer AS (SELECT a.doc_id, '{{"currentRevision":' || to_json(a.own) || ',"otherFileId":' || arg_min(b.doc_id, b.r) || ',"otherRevision":' || to_json(arg_min(b.rev, b.r)) || '}}' AS other FROM revs a JOIN revs b ON b.r <= 50 AND a.lang = b.lang AND a.doc_id <> b.doc_id AND a.base = b.base AND b.rev IS NOT NULL AND b.rev <> a.own WHERE a.own IS NOT NULL AND a.base <> '' GROUP BY a.doc_id, a.own),
+warned AS (SELECT doc_id, count(*) AS chunk_count, coalesce(list(CASE WHEN length < 500 THEN 'CHUNK_TOO_SMALL' ELSE 'CHUNK_TOO_LARGE' END ORDER BY chunk_index) FILTER (length < 500 OR length > 1500), []) AS warnings FROM ch GROUP BY 1),
+kinds AS (SELECT *, {_KINDS} FROM cleaned),
+facts AS (SELECT kinds.doc_id, lang, headers, footers, raw AS text, {s_drawing('text', 'filename')} AS drawing, {s_garbled('text')} AS garbled, {s_date('text')} AS ddate, {s_revision('filename', 'text')} AS rev, {_KIND} AS kind, {s_standards('text')} AS standards,
+ CASE WHEN raw = '' THEN 1.0 ELSE round(length(regexp_replace(raw, '[A-Za-z0-9\\s]', '', 'g'))::DOUBLE / length(raw), 4) END AS alpha,
+ CASE WHEN len({s_lines('raw')}) = 0 THEN 0.0 ELSE round(1 - len(list_distinct({s_lines('raw')}))::DOUBLE / len({s_lines('raw')}), 4) END AS repeated,
+ CASE WHEN same.n > 0 THEN '{{"matchingFileIds":' || to_json(ids) || ',"matches":' || same.n || '}}' END AS exact, CASE WHEN found IS NOT NULL THEN '{{"matches":[' || array_to_string(found, ',') || ']}}' END AS near, other,
+ coalesce(chunk_count, 0) AS chunk_count, coalesce(warnings, []) AS warnings
+ FROM kinds LEFT JOIN same ON same.doc_id = kinds.doc_id LEFT JOIN alike ON alike.doc_id = kinds.doc_id LEFT JOIN newer ON newer.doc_id = kinds.doc_id LEFT JOIN warned ON warned.doc_id = kinds.doc_id),
+found AS (SELECT lang, doc_id, chunk_count, warnings, list_filter([{', '.join(f"CASE WHEN {w} THEN '{k}' END" for k, (_, w, _) in _EVERY_RULE.items())}], lambda x: x IS NOT NULL) AS types,
+ list_filter([{', '.join(f"CASE WHEN {w} THEN {e} END" for _, w, e in _EVERY_RULE.values())}], lambda x: x IS NOT NULL) AS evidence,
+ {', '.join(f"({' + '.join(f'CASE WHEN {w} THEN 1 ELSE 0 END' for s, w, _ in _EVERY_RULE.values() if s == sev)}) AS {sev.lower()}" for sev in L.DEDUCTIONS)} FROM facts)"""
+
+
+@query("assessed_files", f"""WITH {_ASSESSED} SELECT lang AS tenant_id, doc_id AS file_id, array_to_string(list_concat(types, warnings), ',') AS types, array_to_string(evidence, '|') AS evidence,
+ critical::INTEGER AS critical, (warn + len(warnings))::INTEGER AS warn, info::INTEGER AS info, greatest(0, greatest(0, 100 - ({' + '.join(f"{c} * {s.lower()}" for s, c in L.DEDUCTIONS.items())})) - 3 * len(warnings))::INTEGER AS readiness, chunk_count::INTEGER AS chunk_count FROM found""")
 def assessed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over files of several pages, with those on other files of the tenant and the warnings of the chunks."""
     from millrace.plans.readiness import reports
 
     raw = _filed(spark, sf_dir).withColumnsRenamed({"source": "tenant_id", "doc_id": "file_id"})
-    files = decorated(spark, sf_dir).select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("file_id"), "filename", F.col("doc_id").alias("created_at"), F.sha2("text", 256).alias("raw_sha256"))
-    return reports(raw.select("tenant_id", "file_id", "page_number", "text"), files)
+    files = _files(spark, sf_dir).withColumn("tenant_id", F.col("source")).select("tenant_id", "file_id", "filename", "created_at", "raw_sha256")
+    made = reports(raw.select("tenant_id", "file_id", "page_number", "text"), files)
+    of_file = F.filter("findings", lambda f: ~F.startswith(f["type"], F.lit("CHUNK_")))
+    types, evidence = F.transform("findings", lambda f: f["type"]), F.transform(of_file, lambda f: f["evidence"])
+    return made.select("tenant_id", "file_id", F.array_join(types, ",").alias("types"), F.array_join(evidence, "|").alias("evidence"), *(F.col(f"summary.{s}").alias(s.lower()) for s in L.DEDUCTIONS), "readiness", "chunk_count")
 
 
 # --- vectors ---
