@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import strip
+
 #: Which status may follow which.
 STATES: dict[str, dict[str | None, set[str]]] = {
     "dataset": {None: {"UPLOADED"}, "UPLOADED": {"UPLOADED", "CHUNKED", "FAILED"}, "CHUNKED": {"UPLOADED", "INDEXING", "FAILED"}, "INDEXING": {"UPLOADED", "READY", "FAILED"}, "READY": {"UPLOADED", "CHUNKED"}, "FAILED": {"UPLOADED", "CHUNKED"}},
@@ -16,6 +18,17 @@ STATES: dict[str, dict[str | None, set[str]]] = {
 }
 
 
+#: Fields that a request must have, and those of them where white space alone is nothing.
+REQUIRED = {"dataset": ("name",), "file": ("dataset_id", "filename", "content_type"), "query": ("dataset_id", "query"), "chat": ("dataset_id", "message")}
+TRIMMED = ("query", "message")
+
+
+def missing_fields(kind: str) -> Column:
+    """The names of a request's required fields that are null or empty, as an array in their order; an empty one if none is."""
+    empty = lambda f: F.coalesce((strip(f) if f in TRIMMED else F.col(f)) == "", F.lit(True))
+    return F.array_compact(F.array(*(F.when(empty(f), F.lit(f)) for f in REQUIRED[kind])))
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Each key's last row."""
     at = Window.partitionBy(*keys).orderBy(*order)

@@ -749,6 +749,16 @@ def stamped_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.update(orders, orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus")), ["o_orderkey"], stamp=F.lit("now"))
 
 
+_ASKED = ["CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 1 THEN 'd' END AS dataset_id", "CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN '  ' || chr(9) END AS message"]
+
+
+@query("missing_fields", f"""WITH m AS (SELECT conv_id, turn, {', '.join(_ASKED)} FROM conversations)
+SELECT conv_id, turn, concat_ws(',', CASE WHEN coalesce(dataset_id, '') = '' THEN 'dataset_id' END, CASE WHEN {s_strip("coalesce(message, '')")} = '' THEN 'message' END) AS missing FROM m""")
+def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", *_ASKED)
+    return asked.select("conv_id", "turn", F.array_join(catalog.missing_fields("chat"), ",").alias("missing"))
+
+
 @query("newest_datasets", "SELECT c_custkey, c_name AS name FROM customer ORDER BY c_custkey DESC LIMIT 50")
 def newest_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_custkey").alias("created_at"))

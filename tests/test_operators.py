@@ -324,6 +324,13 @@ def test_upsert_of_repeated_keys(spark):
     assert got == {"x": ("second", "rfi"), "n": ("two", "d")} and vectors.upsert(old, new).count() == 2
 
 
+def test_missing_fields(spark):
+    df = spark.createDataFrame([("d", "f.pdf", None), (" ", "", "x"), (None, "f", "x")], "dataset_id string, filename string, content_type string")
+    assert [r[0] for r in df.select(catalog.missing_fields("file")).collect()] == [["content_type"], ["filename"], ["dataset_id"]]
+    df = spark.createDataFrame([("d", "\n ",), ("d", "q")], "dataset_id string, query string")
+    assert [r[0] for r in df.select(catalog.missing_fields("query")).collect()] == [["query"], []]
+
+
 def test_sorted_datasets(spark):
     df = spark.createDataFrame([("b", 1), ("A", 3), (None, 2)], "name string, created_at long")
     names = lambda how: [r["name"] for r in catalog.sorted_datasets(df, how).collect()]
