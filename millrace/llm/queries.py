@@ -159,6 +159,36 @@ FROM x
 """
 
 
+def op13_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that stand in an exact match of ten words of a benchmark item, and whose."""
+    from millrace.llm.positional_index import contamination
+
+    found = contamination(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP13_SQL = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+ph AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS p
+  FROM iw, range(1, greatest(len(w) - 9, 1) + 1) AS t(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT m FROM ph),
+dp AS (SELECT r, i, m, array_to_string(w[i : i + m - 1], ' ') AS p FROM dw, lens, range(1, greatest(len(w) - m + 2, 1)) AS t(i)),
+hits AS (SELECT dp.r, dp.i, dp.m, ph.item_id FROM dp JOIN ph ON dp.p = ph.p AND dp.m = ph.m),
+hit AS (SELECT r, count(DISTINCT i + d) AS n_hit FROM hits, range(0, m) AS t(d) GROUP BY r),
+whose AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (r) LEFT JOIN whose USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pattern_packing": op5_pattern_packing,
     "op7_byte_bpe": op7_byte_bpe,
@@ -171,5 +201,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op10_ogg": op10_ogg,
     "op12_fill_middle": op12_fill_middle,
+    "op13_positional_index": op13_positional_index,
 }
-ORACLE_SQL: dict[str, str] = {"op2_block_topk": OP2_SQL, "op8_line_dedup": OP8_SQL, "op12_fill_middle": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_block_topk": OP2_SQL, "op8_line_dedup": OP8_SQL, "op12_fill_middle": OP12_SQL, "op13_positional_index": OP13_SQL}
