@@ -189,6 +189,37 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN whose USING (r)
 """
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words' number, its form and the root that forms lead to."""
+    from millrace.llm.spelling import variants
+
+    return variants(common.documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+own AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS d, r, count(*) AS n FROM run GROUP BY ALL),
+byte AS (SELECT r, n, list_transform(regexp_extract_all(hex(encode(d || ':' || r)), '..'), lambda y: ('0x' || y)::BIGINT) AS b FROM own),
+hash AS (SELECT r, n, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM byte, crc),
+seen AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hash),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM seen WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM w, range(1, length(word) + 1) AS t(i)),
+less AS (SELECT DISTINCT cut.word AS a, cut.n AS an, w.word AS b, w.n AS bn FROM cut JOIN w ON cut.rest = w.word),
+near AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT a, an, b, bn FROM less UNION SELECT b, bn, a, an FROM less),
+best AS (SELECT word, n, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word, n),
+form AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS at, form AS next FROM form UNION ALL SELECT way.word, form.word, form.form FROM way JOIN form ON way.next = form.word)
+SELECT form.word, form.form, way.at AS root, n, n_near, form_n FROM form JOIN way ON form.word = way.word AND way.next IS NULL
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pattern_packing": op5_pattern_packing,
     "op7_byte_bpe": op7_byte_bpe,
@@ -200,7 +231,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_topk": op2_block_topk,
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op10_ogg": op10_ogg,
+    "op11_spelling": op11_spelling,
     "op12_fill_middle": op12_fill_middle,
     "op13_positional_index": op13_positional_index,
 }
-ORACLE_SQL: dict[str, str] = {"op2_block_topk": OP2_SQL, "op8_line_dedup": OP8_SQL, "op12_fill_middle": OP12_SQL, "op13_positional_index": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_block_topk": OP2_SQL, "op8_line_dedup": OP8_SQL, "op11_spelling": OP11_SQL, "op12_fill_middle": OP12_SQL, "op13_positional_index": OP13_SQL}
