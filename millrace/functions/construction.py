@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import lexicon as L
-from millrace.functions.text import col, collapse, count_matches, first_match, strip
+from millrace.functions.patterns import guarded
+from millrace.functions.text import bound, col, collapse, first_match, strip
 
 
 def revision(name: Column | str, text: Column | str | None = None) -> Column:
     """The first revision mark of the file's name, else of the text's first 2000 characters."""
-    where = [col(name)] + ([F.substring(col(text), 1, 2000)] if text is not None else [])
-    return first_match([(F.coalesce(c, F.lit("")), p) for c in where for p in L.REVISION_PATTERNS])
+    own = first_match([(F.coalesce(col(name), F.lit("")), p) for p in L.REVISION_PATTERNS])
+    return own if text is None else F.coalesce(own, _first(F.coalesce(F.substring(col(text), 1, 2000), F.lit("")), L.REVISION_PATTERNS))
+
+
+def _first(sample: Column, patterns: list[str], flags: str = "") -> Column:
+    """first_match of patterns that the sample can have; null for null."""
+    return guarded(sample, patterns, lambda t, may: F.coalesce(*(F.when(m, first_match([(t, flags + p)])) for m, p in zip(may, patterns, strict=True))))
 
 
 def document_date(text: Column | str) -> Column:
-    sample = F.substring(col(text), 1, 3000)
-    return first_match([(sample, f"(?i){p}") for p in L.DATE_PATTERNS])
+    return _first(F.substring(col(text), 1, 3000), L.DATE_PATTERNS, "(?i)")
 
 
 def garbled_ratio(text: Column | str) -> Column:
     """Marks of bad character recognition by words, in the first 5000 characters; patterns may count one place twice."""
     sample = F.substring(F.coalesce(col(text), F.lit("")), 1, 5000)
-    words = F.size(F.filter(F.split(sample, r"\s+"), lambda x: x != ""))
-    issues = sum((F.regexp_count(sample, F.lit(p)) for p in L.GARBLED_PATTERNS), F.lit(0))
-    return F.when(words == 0, F.lit(0.0)).otherwise(issues / words)
+
+    def count(t: Column, words: Column, pattern: str, may: Column) -> Column:
+        if long := re.fullmatch(r"\[\^\\s\]\{(\d+),\}", pattern):  # words of a length, of which each is one match
+            return F.size(F.filter(words, lambda x: F.length(x) >= int(long[1])))
+        return F.when(may, F.regexp_count(t, F.lit(pattern))).otherwise(0)
+
+    def ratio(t: Column, may: list[Column]) -> Column:
+        issues = lambda words: sum((count(t, words, p, m) for p, m in zip(L.GARBLED_PATTERNS, may, strict=True)), F.lit(0))
+        n = lambda words: F.size(F.filter(words, lambda x: x != ""))
+        return bound(F.split(t, r"\s+"), lambda words: F.coalesce(F.try_divide(issues(words), n(words)), F.lit(0.0)))
+
+    return guarded(sample, L.GARBLED_PATTERNS, ratio)
 
 
 def is_drawing(text: Column | str, name: Column | str) -> Column:
     sample = F.substring(F.coalesce(col(text), F.lit("")), 1, 2000)
-    marks = [F.coalesce(col(name), F.lit("")).rlike(L.DRAWING_NAME), *(sample.rlike(f"(?i){p}") for p in L.DRAWING_PATTERNS)]
-    out = marks[0]
-    for m in marks[1:]:
-        out = out | m
-    return out
+    named = F.coalesce(col(name), F.lit("")).rlike(L.DRAWING_NAME)
+
+    def any_of(t: Column, may: list[Column]) -> Column:
+        out = F.lit(False)
+        for m, p in zip(may, L.DRAWING_PATTERNS, strict=True):
+            out = out | (m & t.rlike(f"(?i){p}"))
+        return out
+
+    return named | guarded(sample, L.DRAWING_PATTERNS, any_of)
 
 
 def base_name(name: Column | str) -> Column:
@@ -49,7 +68,9 @@ def base_name(name: Column | str) -> Column:
 
 def standards(text: Column | str) -> Column:
     """Distinct standards that a text names, in one spelling, sorted."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(f"(?i)({p})"), 1) for p in L.STANDARD_PATTERNS)))
+    none = F.array().cast("array<string>")
+    every = lambda t, may: F.flatten(F.array(*(F.when(m, F.regexp_extract_all(t, F.lit(f"(?i)({p})"), 1)).otherwise(none) for m, p in zip(may, L.STANDARD_PATTERNS, strict=True))))
+    found = guarded(F.coalesce(col(text), F.lit("")), L.STANDARD_PATTERNS, every)
     spelt = F.transform(found, lambda s: F.replace(F.regexp_replace(F.upper(strip(s)), r"\s+", " "), F.lit("/ "), F.lit("/")))
     return F.array_sort(F.array_distinct(spelt))
 
@@ -75,34 +96,37 @@ def expand_query(query: Column | str) -> Column:
     return F.coalesce(*(F.when(q.rlike(rf"(?i)\b{a}\b"), F.concat(q, F.lit(f" ({L.ABBREVIATIONS[a]})"))) for a in L.QUERY_ABBREVIATIONS), q)
 
 
-def _best(scores: dict[str, Column], finish: Callable[[Column], Column]) -> Column:
-    """finish() of a struct: name of the highest score (the first one of equals; null if all are 0), that score, and the sum. One
-    fold, so that each pattern is looked for once."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("name"), s.cast("int").alias("score")) for n, s in scores.items()))
+def _best(sample: Column, table: dict[str, list[str]], finish: Callable[[Column], Column]) -> Column:
+    """finish() of a struct: name of the key whose patterns are found most often, ignoring case (the first one of equals; null if none
+    is found), that number, and the sum. One fold, so that each pattern is looked for once."""
     start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("score"), F.lit(0).alias("total"))
 
     def step(acc: Column, x: Column) -> Column:
         better = x["score"] > acc["score"]
         return F.struct(F.when(better, x["name"]).otherwise(acc["name"]).alias("name"), F.greatest(acc["score"], x["score"]).alias("score"), (acc["total"] + x["score"]).alias("total"))
 
-    return F.aggregate(pairs, start, step, finish)
+    def scores(t: Column, may: list[Column]) -> Column:
+        left = iter(may)
+        count = lambda p: F.when(next(left), F.regexp_count(t, F.lit(f"(?i){p}"))).otherwise(0)
+        pairs = [F.struct(F.lit(n).alias("name"), sum((count(p) for p in patterns), F.lit(0)).cast("int").alias("score")) for n, patterns in table.items()]
+        return F.aggregate(F.array(*pairs), start, step, finish)
+
+    return guarded(sample, [p for patterns in table.values() for p in patterns], scores)
 
 
 def document_type(text: Column | str) -> Column:
     """Struct doc_type ("general" without a match) and confidence (its share of all matches, 3 places), of 5000 characters."""
-    sample = F.substring(F.coalesce(col(text), F.lit("")), 1, 5000)
 
     def finish(best: Column) -> Column:
         share = F.when(best["total"] > 0, F.round(best["score"] / best["total"], 3)).otherwise(F.lit(0.0))
         return F.struct(F.coalesce(best["name"], F.lit("general")).alias("doc_type"), share.alias("confidence"))
 
-    return _best({k: count_matches(sample, v) for k, v in L.DOCUMENT_TYPES.items()}, finish)
+    return _best(F.substring(F.coalesce(col(text), F.lit("")), 1, 5000), L.DOCUMENT_TYPES, finish)
 
 
 def discipline(text: Column | str) -> Column:
     """The trade that most patterns speak for, in the first 10000 characters; null if none does."""
-    sample = F.substring(F.coalesce(col(text), F.lit("")), 1, 10000)
-    return _best({k: count_matches(sample, v) for k, v in L.DISCIPLINES.items()}, lambda best: best["name"])
+    return _best(F.substring(F.coalesce(col(text), F.lit("")), 1, 10000), L.DISCIPLINES, lambda best: best["name"])
 
 
 def section_reference(text: Column | str) -> Column:
@@ -117,11 +141,8 @@ def is_section_line(line: Column | str) -> Column:
 
 def metadata(text: Column | str) -> Column:
     """Struct of what a chunk's record says of its text."""
-    kind = document_type(text)
-    return F.struct(
-        kind["doc_type"].alias("doc_type"), kind["confidence"].alias("doc_type_confidence"), discipline(text).alias("discipline"),
-        standards(text).alias("standards_referenced"), section_reference(text).alias("section_reference"),
-    )
+    rest = (discipline(text).alias("discipline"), standards(text).alias("standards_referenced"), section_reference(text).alias("section_reference"))
+    return bound(document_type(text), lambda kind: F.struct(kind["doc_type"].alias("doc_type"), kind["confidence"].alias("doc_type_confidence"), *rest))
 
 
 def error_message(event: Column | str) -> Column:

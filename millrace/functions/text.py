@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,15 +14,26 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: ASCII's white space, which patterns call \\s.
+SPACE = " \t\n\x0b\f\r"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column | str) -> Column:
-    """Without ASCII white space at both ends; trim() would only take spaces."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Without ASCII white space at both ends; trim() alone would only take spaces."""
+    return F.trim(col(c), F.lit(SPACE))
 
 
 def normalize_whitespace(c: Column | str) -> Column:
-    """Line feeds for all line ends, one space for runs of spaces and tabs, at most one blank line, no ends of white space."""
-    lines = F.regexp_replace(col(c), r"\r\n?", "\n")
-    return strip(F.regexp_replace(F.regexp_replace(lines, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    """Line feeds for all line ends, one space for runs of spaces and tabs, at most one blank line, no ends of white space. Patterns
+    match only what changes."""
+    lines = F.when(F.contains(col(c), F.lit("\r")), F.regexp_replace(col(c), r"\r\n?", "\n")).otherwise(col(c))
+    spaced = F.regexp_replace(lines, r"[ \t]{2,}|\t", " ")
+    return strip(F.regexp_replace(spaced, r"\n{3,}", "\n\n"))
 
 
 def kept_hyphens() -> str:
@@ -55,8 +68,8 @@ def remove_lines(c: Column | str, lines: Column | str) -> Column:
 
 
 def collapse(c: Column | str) -> Column:
-    """One space for each run of white space, none at the ends."""
-    return strip(F.regexp_replace(col(c), r"\s+", " "))
+    """One space for each run of white space, none at the ends. The pattern leaves single spaces alone."""
+    return strip(F.regexp_replace(col(c), r"\s{2,}|[\t-\r]", " "))
 
 
 def snippet(c: Column | str, length: int) -> Column:
@@ -86,13 +99,7 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 
 def first_match(candidates: list[tuple[Column, str]]) -> Column:
     """The whole match of the first pattern that is found, stripped; null if none is. Patterns go before places in the text."""
-    found = [strip(F.regexp_extract(c, p, 0)) for c, p in candidates]
-    return F.coalesce(*(F.when(x != "", x) for x in found))
-
-
-def count_matches(c: Column, patterns: list[str]) -> Column:
-    """How often patterns are found, summed over them, ignoring case."""
-    return sum((F.regexp_count(c, F.lit(f"(?i){p}")) for p in patterns), F.lit(0))
+    return F.coalesce(*(bound(strip(F.regexp_extract(c, p, 0)), lambda x: F.when(x != "", x)) for c, p in candidates))
 
 
 def content_hash(doc_id: Column | str, page: Column | str, index: Column | str, text: Column | str) -> Column:
@@ -107,13 +114,12 @@ def chunk_id(doc_id: Column | str, page: Column | str, index: Column | str) -> C
 def non_alpha_ratio(c: Column | str) -> Column:
     """Characters that are no ASCII letter, digit or white space, by all; 1 for an empty text."""
     n = F.length(col(c))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.length(F.regexp_replace(col(c), r"[A-Za-z0-9\s]", "")) / n)
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.length(F.regexp_replace(col(c), r"[A-Za-z0-9\s]+", "")) / n)
 
 
 def repeated_line_ratio(c: Column | str) -> Column:
     """1 less distinct lines by lines; 0 without lines."""
-    lines = split_lines(c)
-    return F.when(F.size(lines) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(lines)) / F.size(lines))
+    return bound(split_lines(c), lambda lines: F.when(F.size(lines) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(lines)) / F.size(lines)))
 
 
 def extraction_stats(c: Column | str, pages: Column | None = None) -> Column:

@@ -16,7 +16,7 @@ from millrace.functions import construction as C
 from millrace.functions import lexicon as L
 from millrace.functions import text as X
 from millrace.operators import catalog, chunking, duplicates, pages, quality, retrieval, vectors
-from millrace.session import shared_dir, spread
+from millrace.session import shared_dir, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -792,6 +792,73 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
+def _by_batches(spark: SparkSession, rows: DataFrame, order: str, made: Callable[[DataFrame], DataFrame], n: int = 3) -> DataFrame:
+    """made(stream) of rows that come in n batches along an order, each in a run of its own that goes on from the last one's
+    checkpoint."""
+    import uuid
+
+    from millrace.streaming.ingest import ingest
+
+    at = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    rows = stored(rows)
+    cuts = [None, *rows.select(F.col(order).cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.01), None]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        above, below = (F.lit(True) if x is None else F.col(order).cast("double") >= x for x in (low, high))
+        part = rows.where(above & (~below if high is not None else F.lit(True)))
+        part.write.mode("append").parquet(f"{at}/in")
+        ingest(made(spark.readStream.schema(rows.schema).parquet(f"{at}/in")), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+_FILE_OF = "user_id || '-' || event_id % 5"
+_STATUS_OF = "(CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'COMPLETE' END)"
+_IDLE = "(e.status IS NULL AND NOT coalesce(s.status IN ('PROCESSING', 'COMPLETE') AND s.attempt > 0, false))"
+
+
+@query("stream_jobs", f"""WITH RECURSIVE e AS (SELECT {_FILE_OF} AS f, row_number() OVER (PARTITION BY {_FILE_OF} ORDER BY ts, event_id) AS i, {_STATUS_OF} AS status FROM events),
+s AS (SELECT DISTINCT f, 0::BIGINT AS i, NULL::VARCHAR AS status, 0 AS attempt, false AS starts FROM e
+ UNION ALL SELECT e.f, e.i, CASE WHEN {_IDLE} THEN 'PROCESSING' ELSE coalesce(e.status, s.status) END, s.attempt + {_IDLE}::INTEGER, {_IDLE} FROM s JOIN e ON e.f = s.f AND e.i = s.i + 1)
+SELECT 't 1' AS tenant_id, 'd' AS dataset_id, f AS file_id, 'a b.pdf' AS filename, 'raw/t%201/d/' || f || '/a+b.pdf' AS raw_key, attempt,
+ sha256('t 1|d|' || f || '|raw/t%201/d/' || f || '/a+b.pdf' || CASE WHEN attempt > 1 THEN '|' || attempt ELSE '' END) AS job_id FROM s WHERE starts""")
+def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as notices of objects and changes of status, in several batches: each file has one job until it fails."""
+    from millrace.streaming.dispatch import jobs, notices, statuses
+
+    def made(stream: DataFrame) -> DataFrame:
+        kept = stream.selectExpr("ts", f"{_STATUS_OF} AS now", "'t 1' AS tenant_id", "'d' AS dataset_id", f"{_FILE_OF} AS file_id")
+        key = F.concat(F.lit("raw/t%201/d/"), "file_id", F.lit("/a+b.pdf"))
+        objects = kept.where("now IS NULL").select("ts", key.alias("key"))
+        return jobs(notices(objects, F.col("ts")).unionByName(statuses(kept, F.col("ts"), F.col("now"))))
+
+    return _by_batches(spark, table(spark, sf_dir, "events"), "event_id", made)
+
+
+@query("stream_exact_duplicates", SQL["exact_duplicates_as_of"])
+def stream_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.streaming import duplicates as stream
+
+    files = _files(spark, sf_dir).select("tenant_id", "file_id", "created_at", "raw_sha256")
+    return _by_batches(spark, files, "created_at", stream.exact_duplicates).withColumn("match_ids", F.array_join(F.col("match_ids").cast("array<string>"), ","))
+
+
+@query("stream_near_duplicates", SQL["near_duplicates_as_of"])
+def stream_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.streaming import duplicates as stream
+
+    files = _printed(spark, sf_dir).select("tenant_id", "file_id", "created_at", "simhash", F.lit("").alias("filename"))
+    found = _by_batches(spark, files, "created_at", stream.recent_duplicates).where("matches > 0")
+    return found.select("tenant_id", "file_id", "matches", F.array_join(F.transform("near", lambda r: r["file_id"].cast("string")), ",").alias("near"))
+
+
+@query("stream_superseded", SQL["superseded_as_of"])
+def stream_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.streaming import duplicates as stream
+
+    files = _files(spark, sf_dir).select("tenant_id", "file_id", "created_at", "filename", "text", F.lit(None).cast("long").alias("simhash"))
+    found = _by_batches(spark, files, "created_at", lambda s: stream.recent_duplicates(s, "text")).where("other_file_id IS NOT NULL")
+    return found.select("tenant_id", "file_id", "revision", "other_file_id", "other_revision")
+
+
 # --- extraction, payloads and failures ---
 
 _FED = "'one' || chr(12) || coalesce(text, '') || chr(12) || CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE ' end' END"

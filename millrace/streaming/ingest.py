@@ -12,19 +12,20 @@ from millrace.sources.objects import keyed
 
 
 def dispatch(objects: DataFrame, known: DataFrame | None, key: str = "key") -> DataFrame:
-    """tenant_id, dataset_id, file_id, filename, raw_key, job_id of a batch's objects: malformed keys go, a file comes once, and
-    files of `known` (those with a job in work or done) are left out. Job ids are made of the file and its key, so that a batch
-    that is run again makes the same ones."""
+    """tenant_id, dataset_id, file_id, filename, raw_key, job_id of one table of objects: malformed keys go, a file comes once, and
+    files of `known` (those with a job in work or done) are left out. Job ids are made of the file and its key, so that a table
+    that is run again makes the same ones. Over the batches of a stream use dispatch.jobs, which knows a file again."""
     rows = keyed(objects, key).select("tenant_id", "dataset_id", "file_id", "filename", F.col(key).alias("raw_key")).dropDuplicates(["tenant_id", "dataset_id", "file_id"])
     if known is not None:
         rows = rows.join(known.select("tenant_id", "dataset_id", "file_id"), ["tenant_id", "dataset_id", "file_id"], "left_anti")
     return rows.withColumn("job_id", F.sha2(F.concat_ws("|", "tenant_id", "dataset_id", "file_id", "raw_key"), 256))
 
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], *, once: bool = True, errors: str | None = None, tries: int = 3) -> StreamingQuery:
+def ingest(stream: DataFrame, out: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda df: df, *, once: bool = True, errors: str | None = None, tries: int = 3) -> StreamingQuery:
     """Run work on each batch and write its rows below out/batch=<n>. A batch that is repeated after a failure overwrites its own
-    folder, so each object counts once. once: take what there is and stop. A batch that fails `tries` times stops the stream, or,
-    with errors, goes there as it came, with the error's text, and the stream goes on."""
+    folder, so each row of the stream counts once; that a file counts once however often it is noticed is dispatch.jobs' matter. once:
+    take what there is and stop. A batch that fails `tries` times stops the stream, or, with errors, goes there as it came, with the
+    error's whole text, and the stream goes on."""
 
     def batch(df: DataFrame, number: int) -> None:
         for left in reversed(range(tries)):
@@ -33,7 +34,7 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, work: Callable[[DataFra
             except Exception as e:  # noqa: BLE001  whatever fails a batch is kept with it
                 if not left and errors is None:
                     raise
-                message = f"{type(e).__name__}: {e}"[:2000]
+                message = f"{type(e).__name__}: {e}"
         df.withColumn("error", F.lit(message)).write.mode("overwrite").parquet(f"{errors}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

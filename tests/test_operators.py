@@ -1,8 +1,10 @@
+import random
+import re
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from millrace.functions.lexicon import SECTION_LINES
 from millrace.functions.text import hamming
 from millrace.operators import catalog, chunking, duplicates, pages, quality, retrieval, vectors
 
@@ -160,27 +162,74 @@ def test_report_with_all_rules_on_other_files(spark):
     assert got[1]["chunk_count"] > 1
 
 
-def test_chunks_of_two_pages():
-    made = chunking.fold([(1, "A" * 900), (2, "B" * 900)])
-    assert [(c["length"], c["page_start"], c["page_end"]) for c in made] == [(900, 1, 1), (1101, 1, 2)]
+# --- chunks: a plain version over one document ---
+
+BREAK = re.compile(r"\n[^\S\n]*(?:" + "|".join(p.replace(r"\s+", r"[^\S\n]+") for p in SECTION_LINES) + ")", re.IGNORECASE | re.ASCII)
+
+
+def plain_cut(text, longest, sections=True):
+    out = []
+    while text:
+        head = text[:longest]
+        if len(text) <= longest:
+            end = len(text)
+        elif sections and (m := BREAK.search(head, 1)):
+            end = m.start()
+        else:
+            end = head.rfind(" ") if head.rfind(" ") > longest * 0.6 else longest
+        out.append(text[:end].strip())
+        text = text[end:]
+    return [x for x in out if x]
+
+
+def plain_chunks(pages, shortest=800, longest=1200, overlap=200, sections=True):
+    done, held, span = [], "", []
+    for number, text in pages:
+        for piece in plain_cut((text or "").strip(), longest, sections):
+            if held and len(held) >= shortest and len(held) + 1 + len(piece) > longest:
+                done.append((held, min(span), max(span), len(held)))
+                room = longest - len(piece) - 1
+                tail = held[-overlap:].strip() if overlap else ""
+                held, span = f"{tail[-room:] if room > 0 else ''} {piece}".strip(), [span[-1], number]
+            else:
+                held, span = f"{held} {piece}".strip(), [*span, number]
+    return done + ([(held, min(span), max(span), len(held))] if held else [])
+
+
+def native_chunks(spark, docs, **options):
+    rows = [(i, [(n, t) for n, t in pages]) for i, pages in enumerate(docs)]
+    df = spark.createDataFrame(rows, "id int, pages array<struct<page_number:int,text:string>>")
+    made = df.select("id", chunking.chunks(F.col("pages"), **options).alias("c"))
+    return [[tuple(x) for x in r["c"]] for r in made.orderBy("id").collect()]
+
+
+def test_chunks_of_two_pages(spark):
+    (made,) = native_chunks(spark, [[(1, "A" * 900), (2, "B" * 900)]])
+    assert [(n, a, b) for _, a, b, n in made] == [(900, 1, 1), (1101, 1, 2)]
+
+
+def test_sections_end_pieces_and_cutting_ends(spark):
+    texts = ["intro " * 30 + "\nSECTION 2 next\n" + "word " * 600, "\nSECTION 1\n" + "x" * 3000, "x" * 2500, "", " \n\u2003"]
+    got = [r["c"] for r in spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", chunking.cut(F.col("t")).alias("c")).orderBy("id").collect()]
+    assert got[0][0] == ("intro " * 30).strip() and got[0][1].startswith("SECTION 2")
+    assert got[2] == ["x" * 1200, "x" * 1200, "x" * 100] and got[3:] == [[], []]
+    assert got == [plain_cut(t.strip(), 1200) for t in texts]
 
 
-def test_sections_end_chunks_and_cutting_ends():
-    text = "intro " * 30 + "\nSECTION 2 next\n" + "word " * 600
-    parts = chunking.cut(text, 1200)
-    assert parts[0] == ("intro " * 30).strip() and parts[1].startswith("SECTION 2")
-    assert chunking.cut("\nSECTION 1\n" + "x" * 3000, 1200)  # a break at the very beginning used to stand still
-    assert chunking.cut("x" * 2500, 1200) == ["x" * 1200, "x" * 1200, "x" * 100]
+@pytest.mark.parametrize("options", [{}, {"shortest": 20, "longest": 50, "overlap": 10}, {"shortest": 0, "longest": 40, "overlap": 0}, {"shortest": 30, "longest": 45, "overlap": 60, "sections": False}])
+def test_chunks_against_plain(spark, options):
+    r = random.Random(8)
+    marks = ["\nSECTION 2 of", "\n  Clause 4", "\nPART A", "\n1.2.3 Title", "\nB2.1", "\n", " ", "  ", "\u00a0", "😀é", "word", "longerword ", "x" * 30, "\t\r\n", "\nAPPENDIX", " 4"]
+    text = lambda n: "".join(r.choice(marks) for _ in range(n))
+    docs = [[(n, r.choice((None, "", text(r.randint(1, 40)), text(r.randint(100, 900))))) for n in range(1, r.randint(1, 6))] for _ in range(60)]
+    docs += [[(2, "late"), (1, "early page"), (3, "x" * 5000)], [], [(1, text(20_000))]]
+    assert native_chunks(spark, docs, **options) == [plain_chunks(d, **options) for d in docs]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab \nSECTION12.", max_size=4000), max_size=6))
-def test_chunk_invariants(texts):
-    made = chunking.fold(list(enumerate(texts, 1)))
-    assert all(0 < c["length"] == len(c["text"]) <= 2000 for c in made)
-    assert all(1 <= c["page_start"] <= c["page_end"] <= len(texts) for c in made)
-    squeezed = "".join("".join(c["text"] for c in made).split())
-    assert all("".join(p.split()) in squeezed for t in texts for p in chunking.cut(t.strip(), 1200))
+def test_chunks_are_native(spark):
+    df = spark.createDataFrame([("d", 1, "text")], "doc string, page_number int, text string")
+    plan = chunking.chunk_documents(df, ["doc"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_chunk_records(spark):
