@@ -126,24 +126,25 @@ def needs(pattern: str) -> list[Clause]:
 
 
 def guarded(text: Column, patterns: list[str], build: Callable[[Column, list[Column]], Column]) -> Column:
-    """build(text, may): a Column of a text and of, for each pattern, whether the text can have a match. The text is bound once, put
-    in lower case once, and each atom is looked for once; what is built should test `may` before it looks for a pattern."""
+    """build(text, may): a Column of a text and of, for each pattern, whether the text can have a match. The text is bound and put in
+    lower case once, and the atoms of the patterns' first clauses are looked for once, the others only where those are found. What is
+    built should test `may` before it looks for a pattern."""
     wanted = [needs(p) for p in patterns]
-    atoms = sorted({a for clauses in wanted for c in clauses for a in c})
+    atoms = sorted({a for clauses in wanted for i, c in enumerate(clauses) for a in c if i == 0 or a.startswith(DIGITS)})
     number = {a: i for i, a in enumerate(atoms)}
 
     def holds(low: Column, atom: str) -> Column:
         return low.rlike(f"[0-9]{{{atom[1:]}}}") if atom.startswith(DIGITS) else F.contains(low, F.lit(atom))
 
-    def may(has: Column, clauses: list[Clause]) -> Column:
+    def may(b: Column, clauses: list[Clause]) -> Column:
         out = F.lit(True)
         for c in clauses:
             some = F.lit(False)
             for a in sorted(c):
-                some = some | F.get(has, F.lit(number[a]))
+                some = some | (F.get(b["has"], F.lit(number[a])) if a in number else holds(b["low"], a))
             out = out & some
         return out
 
-    bound = F.array(F.struct(text.alias("text"), F.lower(text).alias("low")))
-    found = F.transform(bound, lambda b: F.struct(b["text"].alias("text"), F.array(*(holds(b["low"], a) for a in atoms)).cast("array<boolean>").alias("has")))
-    return F.transform(found, lambda b: build(b["text"], [may(b["has"], c) for c in wanted]))[0]
+    start = F.array(F.struct(text.alias("text"), F.lower(text).alias("low")))
+    found = F.transform(start, lambda b: F.struct(b["text"].alias("text"), b["low"].alias("low"), F.array(*(holds(b["low"], a) for a in atoms)).cast("array<boolean>").alias("has")))
+    return F.transform(found, lambda b: build(b["text"], [may(b, c) for c in wanted]))[0]

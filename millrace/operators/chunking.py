@@ -28,8 +28,7 @@ def cut_at(head: Column, sections: bool = True) -> Column:
     """Where to cut a text that is too long, from its first `longest` characters: before the first section line, else at the last
     space of the last two fifths, else at the end."""
     n = F.length(head)
-    space = n - F.instr(F.reverse(head), " ")  # n itself where no space is
-    at = F.when(space > n * 0.6, space).otherwise(n)
+    at = bound(n - F.length(F.substring_index(head, " ", -1)) - 1, lambda space: F.when(space > n * 0.6, space).otherwise(n))
     if not sections:
         return at
     rest = F.substring(head, 2, n)  # a break at the very beginning would cut nothing off
@@ -49,8 +48,9 @@ def cut(text: Column, longest: int = LONGEST, sections: bool = True) -> Column:
 
         def step(s: Column) -> Column:
             block = F.floor(s["at"] / size).cast("int")
-            near = F.concat(F.get(page["blocks"], block), F.coalesce(F.get(page["blocks"], block + 1), F.lit("")))
-            head = F.substring(near, s["at"] - block * size + 1, F.lit(longest))
+            after, here = s["at"] - block * size, F.get(page["blocks"], block)
+            near = F.when(after + longest <= size, here).otherwise(F.concat(here, F.coalesce(F.get(page["blocks"], block + 1), F.lit(""))))
+            head = F.substring(near, after + 1, F.lit(longest))
             whole = page["n"] - s["at"] <= longest
             ends = lambda h: F.struct(h.alias("head"), F.when(whole, F.length(h)).otherwise(cut_at(h, sections)).cast("int").alias("end"))
             piece = lambda e: F.struct((s["at"] + e["end"]).alias("at"), F.concat(s["out"], F.array(_strip(F.left(e["head"], e["end"])))).alias("out"))
