@@ -35,6 +35,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df has not, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column as text, modulo n; a null id counts as the text 'null'."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")), F.lit(n)).cast("int")

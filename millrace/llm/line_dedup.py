@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 3
+from millrace.llm.common import unused
 
+WINDOW = 3
 
 LINES = "transform(split(text, '\\n'), x -> if(endswith(x, '\\r'), left(x, length(x) - 1), x))"
 COUNTED = f"filter(transform({LINES}, (x, i) -> struct(i AS i, x AS x)), s -> s.x rlike '\\\\S')"
@@ -34,22 +35,25 @@ def windows(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row", F.explode(hashed).alias("w")).select("doc_id", "row", "w.*")
 
 
-def dedup_lines(docs: DataFrame, *, drop_columns: bool = False) -> DataFrame:
-    """docs with text replaced by what is left, n_lines (counted lines before) and n_removed; other columns stay unless dropped.
+def dedup_lines(docs: DataFrame, *, drop_columns: bool = False, counts: bool = True) -> DataFrame:
+    """docs with text replaced by what is left, and on request n_lines (counted lines before) and n_removed; other columns stay unless
+    dropped.
 
-    Columns of the input that are called n_lines or n_removed are replaced.
+    With counts, columns of the input that are called n_lines or n_removed are replaced.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop("n_lines", "n_removed") if counts else docs
     kept = docs.select("doc_id", "text") if drop_columns else docs
     kept = kept.withColumn("text", F.coalesce("text", F.lit("")))
     row = F.xxhash64("doc_id", "text")
     every = windows(kept.select("doc_id", "text", row.alias("row")))
     first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = every.join(first, ["h1", "h2"]).where(f"NOT (doc_id <=> first.doc_id AND row = first.row) OR pos >= first.pos + {WINDOW}")
-    gone = later.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("_gone"))
-    out = kept.join(gone, kept["doc_id"].eqNullSafe(gone["_doc"]) & (row == gone["_row"]), "left")
+    at = unused(kept, "found")
+    gone = later.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone")).select(F.struct("doc_id", "row", "gone").alias(at))
+    out = kept.join(gone, kept["doc_id"].eqNullSafe(gone[at]["doc_id"]) & (row == gone[at]["row"]), "left")
     # the array of one element binds the lines once, so that the work stays linear in the text
-    left = "transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _gone), i -> l[i]), '\\n'))[0]"
-    n_lines = F.expr(f"cast(size({COUNTED}) AS bigint)")
-    out = out.withColumns({"n_lines": n_lines, "n_removed": F.expr("cast(if(_gone IS NULL, 0, size(_gone)) AS bigint)"), "_left": F.expr(f"if(_gone IS NULL, text, {left})")})
-    return out.withColumn("text", F.col("_left")).drop("_doc", "_row", "_gone", "_left")
+    left = f"transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), `{at}`.gone), i -> l[i]), '\\n'))[0]"
+    made = {"text": F.expr(f"if(`{at}` IS NULL, text, {left})")}
+    if counts:
+        made |= {"n_lines": F.expr(f"cast(size({COUNTED}) AS bigint)"), "n_removed": F.expr(f"cast(if(`{at}` IS NULL, 0, size(`{at}`.gone)) AS bigint)")}
+    return out.withColumns(made).drop(at)

@@ -3,23 +3,22 @@
 A text's features are its distinct words and their beginnings of four and five letters. The classifier is a logistic regression
 whose loss has, besides the log loss, a penalty on score changes between a labelled text and its counterfactuals: the text with
 an identity term swapped for another one of the same kind, and, since neutral mentions may be rare among the labelled rows,
-labelled texts with a neutral mention put in. Swaps and mentions are two means of equal weight, over all pairs of the sample, so that many of one kind do not
-outweigh the other. So the mention of a group alone does not move a score. Features enter if their share of label 1 is further from
-the whole sample's than chance explains, at most `most` of them (the model's size); the identity terms always enter, so that the
-penalty can hold them down.
-
-The model is fitted on the driver from at most `rows` labelled texts of each label; that is the only sample taken. Scores look
-at every word of every text. Null texts are empty; an empty text gets the score that no word moves. Of texts that share a
-labelled id one is learned.
+labelled texts with a neutral mention put in. A pair changes what the rewritten text's features change: a beginning that another word
+of the text still has does not go. Swaps and mentions are two means of equal weight, over all pairs of the sample, so that many of one
+kind do not outweigh the other. So the mention of a group alone does not move a score. Every feature enters whose share of label 1 is
+further from the whole sample's than chance explains; the identity terms always enter, so that the penalty can hold them down.
+
+The model is fitted on the driver from at most `rows` labelled texts of each label (ROWS); that is the only sample taken. Texts of the
+same words are one row of weight 1, labelled by their mean, so copies count as one text, and no row is left out. Scores look at every
+word of every text. Null texts are empty; an empty text gets the score that no word moves. Of texts that share a labelled id one is
+learned.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-import zlib
-from collections.abc import Iterator
-from itertools import batched
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,97 +70,132 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _minimise(x: np.ndarray, y: np.ndarray, moved: np.ndarray, square: float, swap: float, rounds: int = 25) -> np.ndarray:
-    """Newton's method on the mean log loss, plus square * |w|^2, plus swap * the mean square of the score changes of
-    counterfactual pairs (w @ moved @ w). The last weight is the bias, which no penalty holds."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    fixed = 2 * square * np.eye(x.shape[1])
-    fixed[-1, -1] = 1e-9
-    fixed[:-1, :-1] += 2 * swap * moved
-    w = np.zeros(x.shape[1])
-    loss = lambda w: float((np.logaddexp(0, x @ w) - y * (x @ w)).mean() + w @ fixed @ w / 2)
+class Rows:
+    """Sparse rows of features and bias: what is not 0 of each."""
+
+    def __init__(self, rows: list[dict[int, float]], width: int):
+        self.n, self.width = len(rows), width
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.col = np.array([c for r in rows for c in r], np.int64)
+        self.value = np.array([v for r in rows for v in r.values()], float)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.n)
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * v[self.row], self.width)
+
+    def squares(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value**2 * v[self.row], self.width)
+
+
+def _minimise(x: Rows, y: np.ndarray, moved: list[Rows], square: float, swap: float, rounds: int = 100) -> np.ndarray:
+    """Newton's method, its steps by conjugate gradients, on the mean log loss, plus square * |w|^2, plus swap * the mean square of the
+    score changes of each list of counterfactual pairs. The last weight is the bias, which no penalty holds."""
+    hold = np.append(np.full(x.width - 1, 2 * square), 1e-9)
+    one = [np.full(m.n, 2 * swap / m.n) for m in moved]
+
+    def fixed(w: np.ndarray) -> np.ndarray:
+        return hold * w + sum((m.back(k * m.dot(w)) for m, k in zip(moved, one, strict=True)), np.zeros(x.width))
+
+    def loss(w: np.ndarray) -> float:
+        z = x.dot(w)
+        return float((np.logaddexp(0, z) - y * z).mean() + w @ fixed(w) / 2)
+
+    w = np.zeros(x.width)
+    held = hold + sum((m.squares(k) for m, k in zip(moved, one, strict=True)), np.zeros(x.width))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ w))
-        g = x.T @ (p - y) / len(y) + fixed @ w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + fixed, g)
-        size, now = 1.0, loss(w)
-        while loss(w - size * step) > now - 1e-4 * size * (g @ step) and size > 1e-4:
-            size /= 2
-        w = w - size * step
-        if g @ step < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(x.dot(w), -500, 500)))
+        g = x.back((p - y) / len(y)) + fixed(w)
+        curve = p * (1 - p) / len(y)
+        scale = 1 / (held + x.squares(curve))
+        step, left = np.zeros(x.width), g.copy()
+        way = scale * left
+        size = left @ way
+        if size < 1e-10:
             break
+        goal = size * 1e-6
+        for _ in range(500):
+            along = x.back(curve * x.dot(way)) + fixed(way)
+            a = size / (way @ along)
+            step += a * way
+            left -= a * along
+            was, size = size, left @ (scale * left)
+            if size < goal:
+                break
+            way = scale * left + size / was * way
+        length, now = 1.0, loss(w)
+        while loss(w - length * step) > now - 1e-4 * length * (g @ step) and length > 1e-4:
+            length /= 2
+        w = w - length * step
     return w
 
 
 def swaps(sets: list[set[str]]) -> Iterator[tuple[set[str], set[str]]]:
-    """Words that go and words that come, of pairs that should score alike: each identity term of each text for another of its
-    kind; and each term, alone, for the next."""
+    """Pairs of word sets that should score alike: each text, and it with an identity term turned into another of its kind, for each
+    of its terms; and each term, alone, and the next."""
     kinds = {k: v.split() for k, v in IDENTITIES.items()}
     kind_of = {t: k for k, terms in kinds.items() for t in terms}
     for i, s in enumerate(sets):
         for term in sorted(s & kind_of.keys()):
             terms = kinds[kind_of[term]]
-            yield {term}, {terms[(terms.index(term) + 1 + i % (len(terms) - 1)) % len(terms)]} - s
+            other = terms[(terms.index(term) + 1 + i % (len(terms) - 1)) % len(terms)]
+            yield s, s - {term} | {other}
     every = sorted(kind_of)
     for i, term in enumerate(every):
         yield {term}, {every[(i + 1) % len(every)]}
 
 
 def mentions(sets: list[set[str]]) -> Iterator[tuple[set[str], set[str]]]:
-    """The same for a term put into each text, and for each term's neutral mention alone."""
+    """The same for each text and it with a term put in, and for each term's neutral mention and nothing."""
     every = sorted(t for v in IDENTITIES.values() for t in v.split())
     for i, s in enumerate(sorted((s for s in sets if s), key=lambda s: (len(s), sorted(s)))):
-        yield set(), {every[i % len(every)]} - s
+        yield s, s | {every[i % len(every)]}
     for term in every:
         yield set(), {w.format(term) for w in MENTION}
 
 
-def distinct(sets: list[set[str]]) -> list[int]:
-    """One of each group of like sets, known by their eight words of least hash: copies would count as evidence many times."""
-    seen: dict[tuple, int] = {}
-    for i, s in enumerate(sets):
-        seen.setdefault(tuple(sorted(zlib.crc32(w.encode()) for w in s)[:8]), i)
-    return sorted(seen.values())
+def one_each(sets: list[set[str]], y: np.ndarray) -> tuple[list[set[str]], np.ndarray]:
+    """Different sets, with the mean of their labels: copies would count as evidence many times."""
+    found: dict[frozenset[str], list[float]] = {}
+    for s, label in zip(sets, y, strict=True):
+        found.setdefault(frozenset(s), []).append(float(label))
+    return [set(s) for s in found], np.array([sum(v) / len(v) for v in found.values()])
 
 
-def fit(sets: list[set[str]], y: np.ndarray, least_texts: int = 4, chance: float = 4.5, most: int = 400, swap: float = SWAP, square: float = SQUARE) -> Toxicity:
+def fit(sets: list[set[str]], y: np.ndarray, least_texts: int = 4, chance: float = 4.5, swap: float = SWAP, square: float = SQUARE) -> Toxicity:
     """A classifier for word sets with labels 0 or 1. chance: how many standard deviations a feature's count of label 1 has to
-    be from what the sample's share of it leads one to expect; most: how many such features enter; swap: the penalty's weight."""
-    one = distinct(sets)
-    if len(set(y[one].tolist())) == 2:
-        sets, y = [sets[i] for i in one], y[one]
+    be from what the sample's share of it leads one to expect, in least_texts texts or more; swap: the penalty's weight."""
+    sets, y = one_each(sets, y)
     known: dict[str, list[str]] = {}  # each word's features are made and held once
-    seen: dict[str, list[float]] = {}
 
-    def expand(s: set[str]) -> set[str]:
+    def expand(s: Iterable[str]) -> set[str]:
         return {f for w in s for f in (known.get(w) or known.setdefault(w, features(w)))}
 
+    seen: dict[str, list[float]] = {}
     for s, label in zip(sets, y, strict=True):
         for f in expand(s):
             e = seen.setdefault(f, [0, 0.0])
             e[0] += 1
             e[1] += label
     share = float(y.mean())
-    distance = {f: abs(ones - n * share) / (share * (1 - share) * n) ** 0.5 for f, (n, ones) in seen.items() if n >= least_texts}
-    standing = sorted((f for f, d in distance.items() if d >= chance), key=lambda f: (-distance[f], f))[:most]
-    at = {f: i for i, f in enumerate(sorted({*standing, *(t for v in IDENTITIES.values() for t in v.split())}))}
-
-    def matrix(rows: list[set[str]]) -> np.ndarray:
-        m = np.zeros((len(rows), len(at)))
-        for i, s in enumerate(rows):
-            m[i, [at[f] for f in expand(s) if f in at]] = 1
-        return m
-
-    def moved(pairs: Iterator[tuple[set[str], set[str]]]) -> np.ndarray:
-        """The mean of change' change over all pairs that change anything, a block of pairs at a time."""
-        total, n = np.zeros((len(at), len(at))), 0
-        for block in batched(pairs, 1000):
-            change = matrix([a for a, _ in block]) - matrix([b for _, b in block])
-            total += change.T @ change
-            n += int(change.any(1).sum())
-        return total / max(n, 1)
-
-    w = _minimise(matrix(sets), y, moved(swaps(sets)) + moved(mentions(sets)), square, swap)
+    standing = {f for f, (n, ones) in seen.items() if n >= least_texts and 0 < share < 1 and abs(ones - n * share) >= chance * (share * (1 - share) * n) ** 0.5}
+    at = {f: i for i, f in enumerate(sorted(standing.union(*(v.split() for v in IDENTITIES.values()))))}
+    width = len(at) + 1
+
+    def changes(pairs: Iterator[tuple[set[str], set[str]]]) -> Rows:
+        """Features that the first of a pair has and the second one has not, as 1, and the other way round, as -1."""
+        rows = []
+        for a, b in pairs:
+            gone, come = expand(a - b), expand(b - a)  # all other features are those of words of both
+            both = expand(w for w in a & b if any(f in gone or f in come for f in features(w)))
+            row = {at[f]: 1.0 for f in gone - both - come if f in at} | {at[f]: -1.0 for f in come - both - gone if f in at}
+            if row:
+                rows.append(row)
+        return Rows(rows, width)
+
+    x = Rows([{at[f]: 1.0 for f in expand(s) if f in at} | {width - 1: 1.0} for s in sets], width)
+    w = _minimise(x, y, [m for m in (changes(swaps(sets)), changes(mentions(sets))) if m.n], square, swap)
     return Toxicity({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, float(w[-1]))
 
 

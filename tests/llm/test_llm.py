@@ -640,14 +640,34 @@ def test_labelled_rows_are_learned_whole_and_bounded(spark, monkeypatch):
     assert got == want and len(seen[0][0]) == len(free)
 
 
-def plain_logistic(sets, y, names, swap, square):
-    """Weights by many small steps down the definition's slope, all pairs as single rows."""
-    from millrace.llm import toxicity as X
-
-    row = lambda s: np.array([1.0 if n in {f for w in s for f in X.features(w)} else 0.0 for n in names])
-    x = np.array([[*row(s), 1.0] for s in sets])
+def rewritten(texts):
+    """Pairs of texts that should score alike, by rewriting them: an identity term into another one of its kind, a term put in."""
+    from millrace.llm.toxicity import IDENTITIES, MENTION
+
+    kinds = [v.split() for v in IDENTITIES.values()]
+    every = sorted(t for terms in kinds for t in terms)
+    words = lambda t: t.split()
+    swapped, mentioned = [], []
+    for i, t in enumerate(texts):
+        for term in sorted(set(words(t)) & set(every)):
+            (terms,) = (k for k in kinds if term in k)
+            other = terms[(terms.index(term) + 1 + i % (len(terms) - 1)) % len(terms)]
+            swapped.append((t, " ".join(other if w == term else w for w in words(t))))
+    swapped += [(t, every[(i + 1) % len(every)]) for i, t in enumerate(every)]
+    for i, t in enumerate(sorted((t for t in texts if t), key=lambda t: (len(set(words(t))), sorted(set(words(t)))))):
+        mentioned.append((t, f"{t} {every[i % len(every)]}"))
+    mentioned += [("", " ".join(MENTION).format(t)) for t in every]
+    return swapped, mentioned
+
+
+def plain_logistic(texts, y, names, swap, square):
+    """Weights by many small steps down the definition's slope, all pairs as single rows of rewritten texts."""
+    from millrace.llm.toxicity import features
+
+    row = lambda t: np.array([1.0 if n in {f for w in t.split() for f in features(w)} else 0.0 for n in names])
+    x = np.array([[*row(t), 1.0] for t in texts])
     kinds = []
-    for pairs in (X.swaps(sets), X.mentions(sets)):
+    for pairs in rewritten(texts):
         d = np.array([[*(row(a) - row(b)), 0.0] for a, b in pairs])
         kinds.append(d[(d != 0).any(1)])
     w = np.zeros(x.shape[1])
@@ -661,26 +681,27 @@ def plain_logistic(sets, y, names, swap, square):
 
 
 def test_toxicity_against_plain():
-    """The fit against plain descent, the penalty at its default; scores against plain sums of weights."""
+    """The fit against plain descent over rewritten texts, the penalty at its default; scores against plain sums of weights. Words
+    that share a term's beginning and copies with both labels are among the texts."""
     from millrace.llm import toxicity as X
 
     r = random.Random(12)
     word = lambda: "".join(r.choice("abcd") for _ in range(3))
-    sets, y = [], []
+    texts, y = [], []
     for i in range(300):
         bad = i % 2
         s = {word() for _ in range(8)}
-        if r.random() < (0.7 if bad else 0.1):
-            s.add("blorgon")
-        if r.random() < (0.5 if bad else 0.2):
-            s.add("muslim")
-        sets.append(s)
+        for w, often, else_ in (("blorgon", 0.7, 0.1), ("muslim", 0.5, 0.2), ("womanly", 0.6, 0.1), ("woman", 0.4, 0.2), ("whiteboard", 0.1, 0.4)):
+            if r.random() < (often if bad else else_):
+                s.add(w)
+        texts.append(" ".join(sorted(s)))
         y.append(float(bad))
     y = np.array(y)
-    model = X.fit(sets, y, square=0.01)
-    one = X.distinct(sets)
+    model = X.fit([set(t.split()) for t in texts + texts[:40] * 2], np.append(y, [*y[:40], *(1 - y[:40])]), square=0.01)
+    y[:40] = (2 * y[:40] + 1 - y[:40]) / 3
     names = sorted({*model.weights, *(t for v in X.IDENTITIES.values() for t in v.split())})
-    w = plain_logistic([sets[i] for i in one], y[one], names, X.SWAP, 0.01)
+    assert {"woma*", "woman*", "womanly", "white*"} & set(names)
+    w = plain_logistic(texts, y, names, X.SWAP, 0.01)
     got = np.array([model.weights.get(n, 0.0) for n in names] + [model.bias])
     assert np.abs(got - w).max() < 0.02
     for text in ("You BLORGON, muslim!", "", "nothing known"):
@@ -688,6 +709,29 @@ def test_toxicity_against_plain():
         assert model.scores([text])[0] == pytest.approx(1 / (1 + math.exp(-model.bias - sum(model.weights.get(f, 0) for f in known))), rel=1e-9)
 
 
+def test_every_feature_that_stands_out_is_learned():
+    """A thousand of them, and rows that share all but a few words, of opposite labels."""
+    from millrace.llm import toxicity as X
+
+    r = random.Random(5)
+    bad, good = ([f"{p}{i:03d}" for i in range(500)] for p in ("x", "y"))
+    common = [f"w{i}" for i in range(50)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    sets, y = [], []
+    for i in range(600):
+        own = r.sample(bad if i % 2 else good, 200)
+        sets.append({w.translate(letters) for w in [*common, *own]})
+        y.append(float(i % 2))
+    model = X.fit(sets, np.array(y))
+    assert sum(w.translate(letters) in model.weights for w in bad + good) == 1000
+    assert all(model.weights[w.translate(letters)] > 0 for w in bad) and all(model.weights[w.translate(letters)] < 0 for w in good)
+    base = {f"same{i}" for i in range(50)}
+    pairs = [(base | {"vile"}, 1.0), (base | {"kind"}, 0.0)]
+    sets, y = zip(*([(s | {f"n{k}" for k in range(j)}, label) for j in range(40) for s, label in pairs]), strict=True)
+    model = X.fit([{w.translate(letters) for w in s} for s in sets], np.array(y))
+    assert model.weights["vile"] > 0.5 > -0.5 > model.weights["kind"]
+
+
 def test_neutral_mentions_are_fewer_false_positives():
     """The penalty as it is in use: neutral texts that mention a group are called toxic less often than without it."""
     from millrace.llm.toxicity import IDENTITIES, fit
@@ -851,6 +895,18 @@ def test_lines_odd(odd, none):
     assert dedup_lines(none).count() == 0
 
 
+def test_lines_with_clashing_names(spark):
+    from millrace.llm.line_dedup import dedup_lines
+
+    rows = [(1, "a\nb\nc"), (2, "x\na\nb\nc\ny"), (None, "a\nb\nc\nz"), (2, "a\nb\nc"), (5, None)]
+    names = ("_gone", "_doc", "_row", "_left", "found", "FOUND_", "row", "gone", "h1", "first", "at", "n_lines")
+    wide = frame(spark, rows).withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    plain = sorted(map(str, dedup_lines(frame(spark, rows)).select("doc_id", "text").collect()))
+    assert sorted(map(str, dedup_lines(wide).select("doc_id", "text").collect())) == plain
+    left = dedup_lines(wide, counts=False)
+    assert left.columns == wide.columns and {tuple(r)[2:] for r in left.collect()} == {tuple(range(len(names)))}
+
+
 # --- 10: Ogg ---
 
 
@@ -1003,3 +1059,34 @@ def test_pipeline(spark, tmp_path):
     empty = at.limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_odd_rows_and_names(spark, tmp_path):
+    """Null ids, one id with two texts, and columns with names that stages use themselves: rows stay apart, columns as they are."""
+    import corpus_pipeline as C
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 7)))
+    text = lambda: "\n".join(" ".join(word() for _ in range(12)) for _ in range(4))
+    docs = [(i, text()) for i in range(60)]
+    docs += [(None, text()), (None, text()), (7, text()), (7, text()), (None, docs[3][1]), (8, docs[8][1])]
+    labels = [(i, int(i % 2 == 0), int(i % 3 == 0)) for i in range(0, 4)]
+    names = ("_gone", "node", "score", "y", "row", "found", "n_lines", "n_removed", "class_id", "hash", "piece", "offset", "at", "_part")
+    spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(i) for i, c in enumerate(names)} | {"n_chars": F.length("text").cast("long")}).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in C.STAGES[2:4]:
+        before, at = at.columns, C.common.written(stage(spark, at, str(tmp_path)))
+        rows = at.collect()
+        assert at.columns == before and {tuple(x[n] for n in names) for x in rows} == {tuple(range(len(names)))}, name
+        assert all(x["n_chars"] == len(x["text"]) for x in rows)
+        if name == "line_dedup":
+            assert len(rows) == len(docs)
+    texts = Counter((x["doc_id"], x["text"]) for x in rows)
+    # emptied copies are one class; every other text is a class of its own
+    assert sum(not t for _, t in texts) == 1 and Counter(t for _, t in texts if t) == Counter({t for _, t in docs})
+    for name, stage in C.STAGES[:2]:  # few labels: these keep or reject, but neither lose columns nor crash
+        got = stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+        assert got.columns == before and set(map(str, got.collect())) <= set(map(str, spark.read.parquet(str(tmp_path / "documents.parquet")).collect())), name
+    packed = C.run(spark, str(tmp_path))
+    assert packed.count() == packed.select("sequence_id", "offset").distinct().count() > 0
