@@ -31,7 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later occurrences of three-line windows; a document keeps its row, even if nothing of its text is left."""
     from millrace.llm.line_dedup import dedup_lines
 
-    return dedup_lines(docs).select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+    left = dedup_lines(docs, counts=False)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
