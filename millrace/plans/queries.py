@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.functions import construction as C
 from millrace.functions import lexicon as L
 from millrace.functions import text as X
-from millrace.operators import catalog, chunking, duplicates, pages, quality, retrieval, vectors
+from millrace.operators import catalog, chunking, duplicates, pages, quality, retrieval, search, vector_index, vectors
 from millrace.session import shared_dir, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -543,6 +543,28 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).withColumn("embedding", vectors.checked(vectors.embed("text"), 1024)).select("doc_id", "chunk_index", "embedding")
 
 
+#: CRC-32 by its table of 256 words.
+_CRC = "crc AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def s_crc(x: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+def s_votes(texts: str, keys: str, size: int) -> str:
+    """CTEs up to votes (keys, place, vote): the stand-in model's vectors before they are brought to length 1."""
+    return f"""{_CRC}, word AS (SELECT {keys}, unnest(regexp_extract_all(lower(text), '\\S+')) AS word FROM {texts}), hash AS (SELECT word, {s_crc("word")} AS h FROM (SELECT DISTINCT word FROM word), crc),
+votes AS (SELECT {keys}, h % {size} AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS vote FROM word JOIN hash USING (word) GROUP BY ALL)"""
+
+
+@query("embedded_components", f"""WITH {_CHUNKS}, {s_votes("ch", "doc_id, chunk_index", 1024)}, length AS (SELECT doc_id, chunk_index, sqrt(sum(vote * vote))::FLOAT AS n FROM votes GROUP BY 1, 2)
+SELECT doc_id, chunk_index, place::INTEGER AS place, round((vote::FLOAT / n)::FLOAT::DOUBLE, 6) AS value FROM votes JOIN length USING (doc_id, chunk_index) WHERE vote <> 0""")
+def embedded_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of embedded_chunks that are not 0, a row each."""
+    parts = embedded_chunks(spark, sf_dir).select("doc_id", "chunk_index", F.posexplode("embedding").alias("place", "value")).where("value <> 0")
+    return parts.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 # --- retrieval ---
 
 
@@ -597,6 +619,58 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.shaped(hits).select("citation.chunk_id", "text", F.round("score", 6).alias("score"))
 
 
+_ASKED_IN = f"c AS ({_CHUNKED}), d AS (SELECT DISTINCT tenant_id, dataset_id FROM c), q AS (SELECT vec_id || '/' || tenant_id || '/' || dataset_id AS question_id, tenant_id, dataset_id, embedding AS v, vec_id % 23 AS k FROM embeddings, d WHERE vec_id % 50 = 0)"
+_OF_ALL = f"""WITH {_ASKED_IN}, s AS (SELECT question_id, k, chunk_id, list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]) AS score FROM q JOIN c USING (tenant_id, dataset_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS n FROM s) SELECT question_id, chunk_id, round(score, 6) AS score, n::INTEGER AS n FROM r WHERE n <= greatest(1, least(20, k))"""
+
+
+def _question_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector as a question to each dataset, with a number of results of its own."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select("vec_id", F.col("embedding").alias("vector"), (F.col("vec_id") % 23).cast("int").alias("k"))
+    places = _chunk_table(spark, sf_dir).select("tenant_id", "dataset_id").distinct()
+    every = F.explode(F.array(*(F.struct(F.lit(f"t{t}").alias("tenant_id"), F.lit(f"d{d}").alias("dataset_id")) for t in range(2) for d in range(3)))).alias("at")
+    return asked.select("*", every).select("vec_id", "vector", "k", "at.*").join(places, ["tenant_id", "dataset_id"]).withColumn("question_id", F.concat_ws("/", "vec_id", "tenant_id", "dataset_id"))
+
+
+@query("questions_topk", _OF_ALL)
+def questions_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many questions to many datasets at once."""
+    return search.nearest(_question_table(spark, sf_dir), _chunk_table(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query("indexed_topk", _OF_ALL)
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an index, exactly."""
+    import uuid
+
+    at = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    index = vector_index.build(_chunk_table(spark, sf_dir), at, rows_a_list=100)
+    return vector_index.find(index, _question_table(spark, sf_dir), probes=2).withColumn("score", F.round("score", 6))
+
+
+_LAST_SAID = "SELECT conv_id, count(*) AS turns, arg_max(text, turn) AS text, 't' || conv_id % 2 AS tenant_id, 'd' || conv_id % 4 AS dataset_id FROM conversations GROUP BY conv_id"
+
+
+@query("question_turns", f"""WITH q AS ({_LAST_SAID}), c AS ({_CHUNKED}), {s_votes("q", "conv_id", 64)}, e AS (SELECT chunk_id, tenant_id, dataset_id, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS place FROM c),
+len AS (SELECT conv_id, sqrt(sum(vote * vote)) AS n FROM votes GROUP BY 1 HAVING sum(vote * vote) > 0), el AS (SELECT chunk_id, sqrt(sum(x * x)) AS n FROM e GROUP BY 1),
+s AS (SELECT q.conv_id, chunk_id, vec_id, sum(vote * x) / any_value(len.n) / any_value(el.n) AS score FROM q JOIN len USING (conv_id) JOIN votes USING (conv_id) JOIN e USING (tenant_id, dataset_id, place) JOIN el USING (chunk_id) GROUP BY ALL),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, chunk_id) AS n FROM s QUALIFY n <= 3),
+b AS (SELECT conv_id, string_agg('[S' || n || '] source' || chr(10) || 'text ' || vec_id, chr(10) || chr(10) ORDER BY n) AS sources FROM h GROUP BY 1)
+SELECT conv_id, CASE WHEN sources IS NOT NULL THEN {lit('Question:' + chr(10))} || text || {lit(chr(10) * 2 + 'Sources:' + chr(10))} || sources || {lit(chr(10) * 2 + 'Answer:')} WHEN turns > 1 THEN {lit(retrieval.FOLLOW_UP[0])} || text || {lit(retrieval.FOLLOW_UP[1])} END AS prompt,
+ CASE WHEN sources IS NULL AND turns = 1 THEN {lit(retrieval.NO_ANSWER)} END AS answer FROM q LEFT JOIN b USING (conv_id)""")
+def question_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's last message as a question of its own to its dataset, one in four of which has no chunks."""
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("text", "turn").alias("text"))
+    asked = said.select(
+        F.col("conv_id").alias("question_id"), F.concat(F.lit("t"), F.col("conv_id") % 2).alias("tenant_id"), F.concat(F.lit("d"), F.col("conv_id") % 4).alias("dataset_id"),
+        vectors.embed("text", lambda texts: vectors.hashed_embedding(texts, 64)).alias("vector"), F.lit(3).alias("k"),
+    )
+    chunks = _chunk_table(spark, sf_dir)
+    sources = retrieval.citations(search.hits(search.nearest(asked, chunks), chunks), ["question_id"]).select(F.col("question_id").alias("conv_id"), F.size("citations").alias("n"), "sources")
+    some = said.join(sources, "conv_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return some.select("conv_id", retrieval.turn(F.col("text"), F.col("sources"), F.col("n"), F.col("turns") - 1).alias("t")).select("conv_id", "t.*")
+
+
 @query("chat_turns", f"""WITH c AS ({_CHUNKED}), h AS (SELECT *, row_number() OVER (ORDER BY {_SIM} DESC, chunk_id) AS n FROM c WHERE tenant_id = 't0' AND dataset_id = 'd1' QUALIFY n <= 3),
 s AS (SELECT string_agg('[S' || n || '] source' || chr(10) || 'text ' || vec_id, chr(10) || chr(10) ORDER BY n) AS sources FROM h),
 q AS (SELECT conv_id, count(*) AS turns, arg_max(text, turn) AS message FROM conversations GROUP BY conv_id)
