@@ -77,16 +77,17 @@ def clamp_k(k: object, default: int = 8) -> int:
     return int(max(1, min(20, k)))
 
 
-def last_of(new: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
+def last_of(new: DataFrame, key: str | list[str], by: tuple[str, ...]) -> DataFrame:
     """The greatest row of each key, by columns; found by partial aggregation, so copies of a key are not brought together."""
     row = F.struct(*new.columns)
-    return new.groupBy(key).agg(F.max_by(row, F.struct(*by)).alias("_row")).select("_row.*")
+    return new.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max_by(row, F.struct(*by)).alias("_row")).select("_row.*")
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str = "chunk_id", refreshed: tuple[str, ...] = ("text", "embedding", "content_hash", "created_at"), latest: tuple[str, ...] = ("created_at", "text")) -> DataFrame:
     """The table after new rows: known keys take only the refreshed columns, other columns stay; unknown keys are added whole. Of
-    new rows that repeat a key the greatest by `latest` counts."""
-    new = last_of(new, key, latest)
+    new rows that repeat a key the greatest by `latest` counts. A new row without a key is an error; rows of the table without one
+    stay as they are."""
+    new = last_of(new.withColumn(key, F.coalesce(key, F.raise_error(F.lit(f"a new row without {key}")))), key, latest)
     a, b = table.alias("a"), new.alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     known, fresh = F.col(f"a.{key}").isNotNull(), F.col(f"b.{key}").isNotNull()

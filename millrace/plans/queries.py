@@ -933,6 +933,24 @@ def stream_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tenant_id", "file_id", "revision", "other_file_id", "other_revision")
 
 
+@query("keyed_orders", """SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 100 = 1 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 100 = 2 THEN -1.0::DOUBLE ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL SELECT o_custkey, -o_orderkey, 'new', 0.0::DOUBLE FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey <> 0""")
+def keyed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a keyed table that is put, updated, added to and deleted from, and read at its last version."""
+    import uuid
+
+    from millrace.operators.keyed import KeyedTable
+
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    at = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/keyed-{uuid.uuid4().hex}"
+    held = KeyedTable.create(spark, at, rows.schema, ["o_custkey", "o_orderkey"], ["o_custkey"], buckets=16).put(rows)
+    held = held.put(rows.where("o_orderkey % 100 = 1").withColumn("status", F.lit("X")))
+    held = held.update(rows.where("o_orderkey % 100 = 2").select("o_custkey", "o_orderkey", F.lit(-1.0).alias("price")))
+    new = rows.where("o_orderkey % 50 = 0")
+    held = held.insert_absent(new.unionByName(new.withColumns({"o_orderkey": -F.col("o_orderkey"), "status": F.lit("new"), "price": F.lit(0.0)})))
+    return held.delete(rows.where("o_orderkey % 7 = 0")).read()
+
+
 # --- extraction, payloads and failures ---
 
 _FED = "'one' || chr(12) || coalesce(text, '') || chr(12) || CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE ' end' END"

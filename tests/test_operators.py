@@ -243,6 +243,14 @@ def chunk_table(spark, rows):
     return spark.createDataFrame(rows, "chunk_id string, text string, embedding array<float>, content_hash string, created_at long, doc_type string")
 
 
+def test_new_rows_without_a_key_are_refused(spark):
+    kept = chunk_table(spark, [("x", "old", [1.0], "h", 1, "rfi"), (None, "lost", [1.0], "h", 1, "rfi")])
+    new = chunk_table(spark, [("x", "new", [2.0], "i", 2, "itp")])
+    assert sorted(str(r["chunk_id"]) + r["text"] for r in vectors.upsert(kept, new).collect()) == ["Nonelost", "xnew"]
+    with pytest.raises(Exception, match="without chunk_id"):
+        vectors.upsert(kept, kept).collect()
+
+
 def test_keyed_changes(spark):
     a = chunk_table(spark, [("x", "old", [1.0], "h", 1, "rfi"), ("y", "old", [1.0], "h", 1, "rfi")])
     b = chunk_table(spark, [("x", "new", [2.0], "i", 2, "itp"), ("z", "new", None, "i", 2, "itp")])
