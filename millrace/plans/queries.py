@@ -8,14 +8,15 @@ dataset), conversations are messages, events are the audit log, orders and custo
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import construction as C
 from millrace.functions import lexicon as L
 from millrace.functions import text as X
-from millrace.operators import catalog, chunking, duplicates, pages, quality, retrieval, search, vector_index, vectors
+from millrace.operators import catalog, chunking, duplicates, pages, quality, retrieval, search, status, vector_index, vectors
 from millrace.session import shared_dir, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,6 +495,56 @@ def assessed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("tenant_id", "file_id", F.array_join(types, ",").alias("types"), F.array_join(evidence, "|").alias("evidence"), *(F.col(f"summary.{s}").alias(s.lower()) for s in L.DEDUCTIONS), "readiness", "chunk_count")
 
 
+def _assessed_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    raw = _filed(spark, sf_dir).withColumnsRenamed({"source": "tenant_id", "doc_id": "file_id"}).select("tenant_id", "file_id", "page_number", "text")
+    files = _files(spark, sf_dir).withColumn("tenant_id", F.col("source")).select("tenant_id", "file_id", "filename", "created_at", "raw_sha256")
+    return raw, files
+
+
+def s_said(kind: str, place: int, value: str) -> str:
+    return "replace(CASE " + kind + " " + " ".join(f"WHEN {lit(k)} THEN {lit(t[place])}" for k, t in L.FINDING_TEXTS.items()) + f" END, '{{}}', coalesce({value}, ''))"
+
+
+_OWN = "CASE k WHEN 'SUPERSEDED_VERSION' THEN e ->> '$.otherRevision' WHEN 'MISSING_REVISION' THEN e ->> '$.docType' END"
+_SEVERITY = "CASE k " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (s, _, _) in _EVERY_RULE.items()) + " END"
+
+
+@query("quality_payloads", f"""WITH {_ASSESSED},
+own AS (SELECT doc_id, unnest(types) AS k, unnest(evidence) AS e, unnest(range(len(types))) AS i FROM found),
+said AS (SELECT doc_id, string_agg('{{"type":"' || k || '","severity":"' || {_SEVERITY} || '","description":' || to_json({s_said('k', 0, _OWN)}) || ',"evidence":' || e || ',"recommendation":' || to_json({s_said('k', 1, _OWN)}) || '}}', ',' ORDER BY i) AS said FROM own GROUP BY 1),
+odd AS (SELECT doc_id, chunk_index, length, CASE WHEN length < 500 THEN 'CHUNK_TOO_SMALL' ELSE 'CHUNK_TOO_LARGE' END AS k FROM ch WHERE length < 500 OR length > 1500),
+warn AS (SELECT doc_id, string_agg('{{"type":"' || k || '","severity":"WARN","description":' || to_json({s_said('k', 0, 'length::VARCHAR')}) || ',"recommendation":' || to_json({s_said('k', 1, 'length::VARCHAR')}) || '}}', ',' ORDER BY chunk_index) AS said FROM odd GROUP BY 1)
+SELECT lang AS tenant_id, 'd' AS dataset_id, doc_id AS file_id, 'processed/' || lang || '/d/' || doc_id || '/quality_report.json' AS key,
+ '{{"schemaVersion":"1.0","tenantId":"' || lang || '","datasetId":"d","fileId":"' || doc_id || '","readinessScore":' || greatest(0, greatest(0, 100 - ({' + '.join(f"{c} * {s.lower()}" for s, c in L.DEDUCTIONS.items())})) - 3 * len(warnings))
+ || ',"summary":{{"CRITICAL":' || critical || ',"WARN":' || (warn + len(warnings)) || ',"INFO":' || info || '}},"findings":[' || concat_ws(',', said.said, w.said) || ']}}' AS payload
+FROM found LEFT JOIN said USING (doc_id) LEFT JOIN warn AS w USING (doc_id)""")
+def quality_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality reports of assessed_files as JSON."""
+    from millrace.plans import payloads
+    from millrace.plans.readiness import reports
+
+    return payloads.quality_reports(reports(*_assessed_reports(spark, sf_dir)).withColumn("dataset_id", F.lit("d")))
+
+
+@query("document_json", f"""WITH cl AS ({_CLEANED}), d AS (SELECT doc_id, source, any_value(filename) AS filename, any_value(headers) AS headers, any_value(footers) AS footers, count(*) AS pages, sum(length(text))::BIGINT AS n,
+ '[' || string_agg('{{"pageNumber":' || page_number || ',"text":' || to_json(text) || '}}', ',' ORDER BY page_number) || ']' AS texts FROM cl GROUP BY 1, 2)
+SELECT doc_id AS file_id, 'processed/' || source || '/d/' || doc_id || '/document.json' AS key, filename, pages, n AS text_length, to_json(headers)::VARCHAR AS headers, to_json(footers)::VARCHAR AS footers, round(least(1.0, (len(headers) + len(footers))::DOUBLE / pages), 3) AS confidence, sha256(texts) AS pages_sha256 FROM d""")
+def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as JSON, read again: what they say of the file, and a digest of the array of their pages."""
+    from millrace.plans import payloads
+    from millrace.plans.readiness import prepare
+
+    made = payloads.documents(prepare(*_assessed_reports(spark, sf_dir)).withColumn("dataset_id", F.lit("d")), F.lit("2024-01-01T00:00:00Z"))
+    field = lambda path: F.get_json_object("payload", f"$.{path}")
+    # the pages' own text of JSON, between the name of their field and that of the next
+    start = F.locate('},"pages":[', F.col("payload")) + F.lit(len('},"pages":'))
+    pages = F.substring(F.col("payload"), start, F.length("payload") - start - F.lit(len(',"createdAt":"2024-01-01T00:00:00Z"}') - 1))
+    return made.select(
+        "file_id", "key", field("sourceFilename").alias("filename"), field("pageCount").cast("long").alias("pages"), field("textLength").cast("long").alias("text_length"), field("normalization.removedHeaderLines").alias("headers"),
+        field("normalization.removedFooterLines").alias("footers"), field("normalization.headerFooterConfidence").cast("double").alias("confidence"), F.sha2(pages, 256).alias("pages_sha256"),
+    )
+
+
 # --- vectors ---
 
 _V = "[" + ", ".join(f"{((i * 37) % 19 - 9) / 10}" for i in range(64)) + "]"
@@ -751,6 +802,35 @@ def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", catalog.allowed("file", was, F.lit("PROCESSING")).alias("restarts"), catalog.allowed("file", was, F.lit("COMPLETE")).alias("ends"))
 
 
+_MOVES = "(VALUES " + ", ".join(f"({lit(k)}, {'NULL' if a is None else lit(a)}, {lit(b)})" for k, table_ in catalog.STATES.items() for a, to in table_.items() for b in sorted(to)) + ") AS t(kind, a, b)"
+_ASKS = {"file": "CASE event_type WHEN 'view' THEN 'PROCESSING' WHEN 'click' THEN 'COMPLETE' WHEN 'signup' THEN 'FAILED' WHEN 'purchase' THEN 'UPLOADED_PENDING' END", "dataset": "CASE event_type WHEN 'view' THEN 'CHUNKED' WHEN 'click' THEN 'INDEXING' WHEN 'signup' THEN 'READY' WHEN 'purchase' THEN 'UPLOADED' ELSE 'LOST' END"}
+
+
+def _fold(kind: str, key: str) -> str:
+    """A machine's verdicts on events, by a recursion along each key's events."""
+    return f"""WITH RECURSIVE e AS (SELECT {key} AS k, event_id, {_ASKS[kind]} AS status, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events), moves AS (SELECT a, b FROM {_MOVES} WHERE kind = '{kind}'),
+f AS (SELECT DISTINCT k, NULL::BIGINT AS event_id, NULL::VARCHAR AS status, 0::BIGINT AS i, NULL::VARCHAR AS was, false AS accepted, NULL::VARCHAR AS now FROM e
+ UNION ALL SELECT e.k, e.event_id, e.status, e.i, f.now, m.b IS NOT NULL, coalesce(m.b, f.now) FROM f JOIN e ON e.k = f.k AND e.i = f.i + 1 LEFT JOIN moves m ON m.b = e.status AND m.a IS NOT DISTINCT FROM f.now)
+SELECT k, event_id, status, was, accepted, now FROM f WHERE i > 0"""
+
+
+def _replayed(spark: SparkSession, sf_dir: str, kind: str, key: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").selectExpr(f"{key} AS k", "ts", "event_id", f"{_ASKS[kind]} AS status")
+    return status.replay(events, kind, ["k"], ["ts", "event_id"]).drop("ts")
+
+
+@query("file_history", _fold("file", "user_id"))
+def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as requests to each user's file: which are taken, and what follows."""
+    return _replayed(spark, sf_dir, "file", "user_id")
+
+
+@query("dataset_history", _fold("dataset", "user_id % 3"))
+def dataset_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for three datasets, each with a third of all events, which an upload sets back."""
+    return _replayed(spark, sf_dir, "dataset", "user_id % 3")
+
+
 @query("files_to_process", f"SELECT doc_id AS file_id FROM documents WHERE NOT ({_STATUS} IN ('PROCESSING', 'COMPLETE') AND doc_id % 2 = 0)")
 def files_to_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _catalog_files(spark, sf_dir).withColumn("latest_job_id", F.expr("if(file_id % 2 = 0, 'j', null)"))
@@ -836,7 +916,18 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("newest_datasets", "SELECT c_custkey, c_name AS name FROM customer ORDER BY c_custkey DESC LIMIT 50")
 def newest_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_custkey").alias("created_at"))
-    return catalog.sorted_datasets(rows, "newest").limit(50).select("c_custkey", "name")
+    return catalog.sorted_datasets(rows, "newest", "c_custkey").limit(50).select("c_custkey", "name")
+
+
+_HOW = {"newest": "c_acctbal DESC", "oldest": "c_acctbal", "name-asc": "lower(c_mktsegment)", "name-desc": "lower(c_mktsegment) DESC"}
+
+
+@query("dataset_orders", " UNION ALL ".join(f"SELECT '{how}' AS how, c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY {by}, c_custkey)::INTEGER AS n FROM customer" for how, by in _HOW.items()))
+def dataset_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customers as datasets in all four orders, within each nation; many share a name."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("name"), F.col("c_acctbal").alias("created_at"))
+    made = [rows.select(F.lit(how).alias("how"), "c_nationkey", "c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*catalog.dataset_order(how, "c_custkey"))).alias("n")) for how in _HOW]
+    return reduce(DataFrame.unionByName, made)
 
 
 _KEY = "(CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'raw/t%20' || user_id || '/d/' || event_id || '/a+b.pdf' WHEN 1 THEN 'raw/t/d/' || event_id ELSE 'tmp/t/d/' || event_id || '/x.pdf' END)"
