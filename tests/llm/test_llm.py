@@ -200,6 +200,28 @@ def test_top_k_repeated_ids_large_and_odd_vectors(spark, monkeypatch, small):
         assert Counter(con.sql(OP2_SQL).fetchall()) == best_by_hand(whole[: len(rows)], 20)
 
 
+def test_blocks_of_clustered_vectors_are_skipped(spark, monkeypatch):
+    """Most visits and whole shards are spared where vectors lie in groups; the results are those of all products."""
+    from millrace.llm import block_topk as B
+
+    monkeypatch.setattr(B, "SHARD", 16 * 2048)
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 1, (60, 16))
+    x = np.floor(64 * (centres[r.integers(0, 60, 20_000)] + r.normal(0, 0.05, (20_000, 16)))).astype(int)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, x array<long>").withColumn("row", F.lit(1))
+    tally = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
+    got = defaultdict(list)
+    for row in B.top_k(df, F.col("vec_id") % 100 == 0, 10, tally).orderBy("query_id", "rank").collect():
+        got[row["query_id"]].append((row["vec_id"], row["score"]))
+    for q in range(0, 20_000, 100):
+        s = x @ x[q]
+        s[q] = -(10**9)
+        assert got[q] == [(int(i), int(s[i])) for i in np.lexsort((np.arange(len(s)), -s))[:10]]
+    visits, met = (t.value for t in tally)
+    print("visits", visits, "of", met, "of", 200 * -(-20_000 // B.BLOCK))
+    assert visits < 0.5 * met
+
+
 def test_top_k_odd(spark):
     from millrace.llm.block_topk import top_k, whole
 
