@@ -2,8 +2,8 @@
 
 Documents become pieces of at most `capacity` tokens (only longer documents are cut). The histogram of piece lengths has at
 most `capacity` bars, whatever the input's size; the driver fits how often each pattern of one, two or three lengths that fill
-a sequence is used (non-negative least squares, an accelerated projected gradient over sparse patterns), rounds the counts to
-what the histogram holds, and packs the residual lengths best-fit, longest first, over counts of lengths and never over single
+a sequence is used (non-negative least squares, an accelerated projected gradient over sparse patterns; of all patterns of three lengths
+those are enumerated that the fit lacks most, round by round, until it stands still), rounds the counts to what the histogram holds, and packs the residual lengths best-fit, longest first, over counts of lengths and never over single
 pieces. The plan maps the n-th piece of a length to a sequence and an offset; pieces get their number from a count for each
 task and length, so no piece passes through the driver and no group through one task.
 
@@ -26,6 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from millrace.llm.common import arrow_rows, columns, slices, texts, written
 from millrace.llm.word_tokens import word_ids
 
+#: Shares of the fitted repeat counts that are tried.
+SHARES = (1.0, 0.95, 0.8, 0.5)
 PIECES = columns("doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
@@ -56,20 +58,28 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return texts(docs).mapInArrow(run, PIECES)
 
 
-def patterns(capacity: int, step: int = 0) -> list[np.ndarray]:
-    """Patterns that fill a sequence: [a, b] with a + b = capacity, and [a, b, c] with b a multiple of step (0: capacity / 64)."""
-    step = step or max(1, capacity // 64)
+def pairs(capacity: int) -> np.ndarray:
+    """All patterns [a, b] that fill a sequence."""
     a = np.arange(1, capacity // 2 + 1)
-    out = [np.stack([a, capacity - a], 1)]
-    b, x = np.meshgrid(np.arange(step, capacity, step), np.arange(1, capacity))
-    c = capacity - b - x
-    ok = (c > 0) & (x <= c)
-    three = np.sort(np.stack([x[ok], b[ok], c[ok]], 1), 1)
-    return [*out, np.unique(three, axis=0)]
+    return np.stack([a, capacity - a], 1)
 
 
-def fit(counts: np.ndarray, forms: list[np.ndarray], rounds: int = 200) -> list[np.ndarray]:
-    """Repeat counts x >= 0 of each pattern that bring the patterns' lengths near the histogram: min |A x - counts|^2."""
+def priced(miss: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each length the pattern [a, b, c] with it that fills a sequence and of which the histogram lacks most, and how much that
+    is: of all patterns, those that bring the fit nearer."""
+    best, worth = [], []
+    for a in range(1, capacity - 1):
+        rest = capacity - a
+        both = miss[1 : rest // 2 + 1] + miss[rest - rest // 2 : rest][::-1]
+        b = int(both.argmax()) + 1
+        best.append(sorted((a, b, rest - b)))
+        worth.append(miss[a] + both[b - 1])
+    return np.array(best, np.int64).reshape(-1, 3), np.array(worth)
+
+
+def fit(counts: np.ndarray, forms: list[np.ndarray], rounds: int = 2000, still: float = 1e-4) -> list[np.ndarray]:
+    """Repeat counts x >= 0 of each pattern that bring the patterns' lengths near the histogram: min |A x - counts|^2. Ends when 20
+    rounds have not made the miss smaller by a share of `still`, or after `rounds`."""
     n = len(counts)
     times = lambda xs: sum((np.bincount(f.ravel(), np.repeat(x, f.shape[1]), n) for f, x in zip(forms, xs, strict=True)), np.zeros(n))
     back = lambda r: [r[f].sum(1) for f in forms]
@@ -80,9 +90,15 @@ def fit(counts: np.ndarray, forms: list[np.ndarray], rounds: int = 200) -> list[
         scale = max(float(np.sqrt(sum((v * v).sum() for v in y))), 1e-9)
         probe = [v / scale for v in y]
     x = [np.zeros(len(f)) for f in forms]
-    z, t = x, 1.0
-    for _ in range(rounds):
-        g = back(times(z) - counts)
+    z, t, least = x, 1.0, np.inf
+    for turn in range(rounds):
+        miss = times(z) - counts
+        if turn % 20 == 0:
+            now = float(miss @ miss)
+            if now >= least * (1 - still):
+                break
+            least = now
+        g = back(miss)
         new = [np.maximum(0, v - d / scale) for v, d in zip(z, g, strict=True)]
         u = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z = [v + (t - 1) / u * (v - w) for v, w in zip(new, x, strict=True)]
@@ -90,17 +106,48 @@ def fit(counts: np.ndarray, forms: list[np.ndarray], rounds: int = 200) -> list[
     return x
 
 
+def fit_by_need(counts: np.ndarray, capacity: int, rounds: int = 40, still: float = 0.01) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Patterns of two and three lengths with their repeat counts. Of the patterns of three, those enter that the fit lacks most, one
+    for each length in a round, and those that the fit does not use leave again; so few are held, and each gets many repeats. Ends when
+    no pattern is lacking or five rounds have not made the miss smaller by a share of `still`."""
+    forms, least, since = [pairs(capacity), np.empty((0, 3), np.int64)], np.inf, 0
+    best: tuple[list[np.ndarray], list[np.ndarray]] = (forms, [np.zeros(len(f)) for f in forms])
+    for _ in range(rounds):
+        xs = fit(counts, forms)
+        miss = counts - sum(np.bincount(f.ravel(), np.repeat(x, f.shape[1]), capacity + 1) for f, x in zip(forms, xs, strict=True))
+        now = float(miss @ miss)
+        since = 0 if now < least * (1 - still) else since + 1
+        if since == 5:
+            break
+        if now < least:
+            least, best = now, (forms, xs)
+        found, worth = priced(miss, capacity)
+        new = found[worth > 1e-6 * max(counts.max(), 1.0)]
+        if not len(new):
+            break
+        used = forms[1][xs[1] > 1e-9]
+        forms = [forms[0], np.unique(np.concatenate([used, new]), axis=0)]
+    return best
+
+
 def pack_counts(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, longest first) and how many sequences use each; every counted length is placed."""
-    left, plan = counts.astype(np.int64).copy(), []
+    """Patterns (lengths, longest first) and how many sequences use each; every counted length is placed. Some shares of the fitted
+    counts are tried, as what is left to the residual must be able to fill up, too; the plan of fewest sequences counts."""
+    left, whole = counts.astype(np.int64).copy(), []
     if left[capacity]:
-        plan.append(((capacity,), int(left[capacity])))
+        whole.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    forms = patterns(capacity)
-    xs = fit(left.astype(float), forms)
+    forms, xs = fit_by_need(left.astype(float), capacity)
+    plans = (_rounded(left, forms, [x * share for x in xs], capacity) for share in SHARES)
+    return whole + min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _rounded(counts: np.ndarray, forms: list[np.ndarray], xs: list[np.ndarray], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns by their counts, rounded down and held to what there is; the rest best-fit."""
+    left, plan = counts.copy(), []
     for form, x in zip(forms, xs, strict=True):
         for i in np.argsort(-x, kind="stable"):
-            want = int(x[i])  # rounded down: what a fit leaves goes to the residual
+            want = int(x[i])  # what a fit leaves goes to the residual
             if not want:
                 break
             need = np.bincount(form[i])
