@@ -4,8 +4,8 @@
 
 Training texts fall into two parts by a hash of their id. Expectation-maximisation fits the weights l of each bucket to the
 counts of each part under the maximum-likelihood estimates of the other one, from which it is deleted; the model then uses the
-counts of both. For the fit, held-out counts are summed over cells of half an octave of the two estimates, which bounds what
-reaches the driver (some thousand cells) whatever the corpus's size.
+counts of both. For the fit, held-out counts are summed over cells of a sixteenth of an octave of the two estimates, which bounds what
+reaches the driver (a row a cell) whatever the corpus's size, and moves no weight by more than some ten-thousandths.
 
 How it runs. Texts are packed into chunks of some million tokens where they are read; a chunk keeps its words' 64-bit hashes
 and its texts as numbers of those words. Each chunk asks once for each distinct unigram and bigram that it has: sorted keys,
@@ -40,7 +40,9 @@ from xxhash import xxh3_64_intdigest
 from millrace.llm.common import arrow_rows, columns, texts, written
 
 #: Tokens of a chunk, keys of a bucket (powers of two only bound memory), chunks of a group, cells an octave, and rounds of the fit.
-CHUNK, BUCKET, GROUP, CELLS, ROUNDS = 2_500_000, 4_000_000, 1000, 2, 60
+CHUNK, BUCKET, GROUP, CELLS, ROUNDS = 2_500_000, 4_000_000, 1000, 16, 60
+#: The cell of an estimate that is the uniform one's; NONE: of an estimate of 0.
+ZERO, NONE = 1 << 18, -1
 CHUNKS = columns("chunk long,n_tokens long,ids binary,known binary,part binary,lengths binary,words binary,tokens binary")
 ASKS = columns("bucket long,chunk long,kind int,n long,keys binary,a binary,b binary")
 ANSWERS = columns("chunk long,bucket long,kind int,n long,a binary,b binary")
@@ -235,14 +237,14 @@ def ratio(a: np.ndarray, b) -> np.ndarray:
 
 
 def cells(chunk: Chunk, counts: dict, size: tuple[int, int], types: int) -> pd.DataFrame:
-    """Held-out counts of a chunk by context bucket and half octaves of both estimates; -1: an estimate of 0."""
+    """Held-out counts of a chunk by context bucket and the cells of both estimates."""
     out = []
     for kept, held in ((0, 1), (1, 0)):
         mine = chunk.own(2, held)
         at = np.flatnonzero(mine)
         context = counts[1][kept][chunk.v[at]]
         two, one = ratio(counts[2][kept][at], context), ratio(counts[1][kept][chunk.w[at]], size[kept])
-        cell = lambda p: np.where(p > 0, np.round(CELLS * np.log2(np.maximum(p, 1e-300) * (types + 1))) + 64, -1).astype(np.int64)
+        cell = lambda p: np.where(p > 0, np.round(CELLS * np.log2(np.maximum(p, 1e-300) * (types + 1))) + ZERO, NONE).astype(np.int64)
         key = (octave(context) << 40) + ((cell(two) + 1) << 20) + cell(one) + 1
         u, where = np.unique(key, return_inverse=True)
         out.append(pd.DataFrame({"key": u, "n": np.bincount(where, mine[at])}))
@@ -253,7 +255,7 @@ def maximise(key: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> dict[int,
     """Weights (l0, l1, l2) of each context bucket that has held-out counts. Estimates are relative to the uniform one."""
     bucket = key >> 40
     two, one = ((key >> 20) & 0xFFFFF) - 1, (key & 0xFFFFF) - 1
-    p = np.stack([np.ones(len(key)), *(np.where(x >= 0, 2.0 ** ((x - 64) / CELLS), 0.0) for x in (one, two))], 1)
+    p = np.stack([np.ones(len(key)), *(np.where(x != NONE, 2.0 ** ((x - ZERO) / CELLS), 0.0) for x in (one, two))], 1)
     names, at = np.unique(bucket, return_inverse=True)
     weights = np.full((len(names), 3), 1 / 3)
     for _ in range(rounds):
@@ -294,8 +296,8 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
         chunk = Chunk(mine.iloc[0].to_dict())
         return cells(chunk, chunk.answered(rows), size, types)
 
-    held_out = chunks.groupBy("chunk").cogroup(answered).applyInPandas(gather, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    weights = maximise(np.array([r["key"] for r in held_out], np.int64), np.array([r["n"] for r in held_out], float))
+    held_out = chunks.groupBy("chunk").cogroup(answered).applyInPandas(gather, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")
+    weights = maximise(held_out["key"].to_numpy(), held_out["n"].to_numpy())
     table = np.full((66, 3), 1 / 3)
     for b in range(66):  # a bucket without held-out counts takes the nearest one's weights
         if weights:

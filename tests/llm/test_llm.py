@@ -40,9 +40,11 @@ def frame(spark, rows):
 # --- 1: language model ---
 
 
-def plain_lm(rows, folds=5, held=1):
-    """Scores by the definition, with EM over single held-out events (of cells as wide as the operator's)."""
-    from millrace.llm.deleted_interpolation import CELLS, ROUNDS
+def plain_lm(rows, folds=5, held=1, cells=None):
+    """Scores by the definition, with EM over single held-out events (of cells as wide as the operator's, or not rounded for 0)."""
+    from millrace.llm import deleted_interpolation as D
+
+    CELLS, ROUNDS = D.CELLS if cells is None else cells, D.ROUNDS  # noqa: N806
 
     name = lambda i: str(i).encode()
     part = {i: 2 if zlib.crc32(name(i)) % folds == held else zlib.crc32(b"part of " + name(i)) >> 8 & 1 for i, _ in rows}
@@ -54,7 +56,7 @@ def plain_lm(rows, folds=5, held=1):
             two[part[i]].update(zip([b"", *w], w, strict=False))
     v, size = len(one[0] | one[1]), [sum(c.values()) for c in one]
     bucket = lambda c: c.bit_length()
-    near = lambda p: 2.0 ** (np.round(CELLS * np.log2(p * (v + 1))) / CELLS) if p else 0.0
+    near = lambda p: p * (v + 1) if not CELLS else 2.0 ** (np.round(CELLS * np.log2(p * (v + 1))) / CELLS) if p else 0.0
     events = defaultdict(list)
     for kept, out in ((0, 1), (1, 0)):
         for (a, b), n in two[out].items():
@@ -97,12 +99,25 @@ def test_lm_against_plain(spark, monkeypatch, sizes):
         assert got[i][:4] == w[:4] and got[i][4:] == pytest.approx(w[4:], rel=1e-9)
 
 
+def test_lm_rounding_is_small(spark):
+    """Scores of held-out texts, in sum, against EM over estimates that are not rounded."""
+    from millrace.llm.deleted_interpolation import score
+
+    rows = corpus(400, 5)
+    got = {r["doc_id"]: r["score"] for r in score(frame(spark, rows)).collect() if r["held_out"]}
+    exact = {i: x[5] for i, x in plain_lm(rows, cells=0).items() if x[0]}
+    coarse = {i: x[5] for i, x in plain_lm(rows, cells=2).items() if x[0]}
+    off = lambda a: abs(sum(a.values()) / sum(exact.values()) - 1)
+    print("held-out sums:", sum(exact.values()), sum(got.values()), sum(coarse.values()))
+    assert got.keys() == exact.keys() and off(got) < 1e-4 and 10 * off(got) < off(coarse)
+
+
 def test_lm_weights():
-    from millrace.llm.deleted_interpolation import CELLS, maximise, pack, unpack
+    from millrace.llm.deleted_interpolation import CELLS, ZERO, maximise, pack, unpack
 
     key = lambda b, two, one: (b << 40) + ((two + 1) << 20) + one + 1
-    good, bad = 64 + 10 * CELLS, -1
-    w = maximise(np.array([key(3, good, 64), key(1, bad, good)]), np.array([1000.0, 1000.0]))
+    good, bad = ZERO + 10 * CELLS, -1
+    w = maximise(np.array([key(3, good, ZERO), key(1, bad, good)]), np.array([1000.0, 1000.0]))
     assert w[3][2] > 0.95 and w[1][1] > 0.95 and all(x.min() > 0 and x.sum() == pytest.approx(1) for x in w.values())
     for a in ([], [0, 0], [1, 2**63, 5]):
         assert unpack(pack(np.array(a, np.uint64)), len(a)).tolist() == a
