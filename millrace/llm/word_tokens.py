@@ -15,10 +15,22 @@ import numpy as np
 
 #: Words, and units of words, that a worker remembers; beyond this it starts anew. Words are cheap to make again of their units.
 #: Only speed depends on these.
-WORDS, UNITS = 500_000, 900_000
+WORDS, UNITS = 600_000, 300_000
 _ODD = re.compile("[\x1c-\x1f]")
 #: A word of Latin letters, which is one unit of the splitting pattern, and marks that are another.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?&*$%#|]*)")
+#: Marks that end a word of Latin letters.
+_MARKS = re.compile("(?<=[a-zß-öø-ÿ])([.,;:!?&*$%#|]+)(?=[ \n])")
+
+
+def parted(text: str) -> list[str]:
+    """A text's white-space parts. Where all its characters are of Latin-1, in which every case has one form, it is put in lower case,
+    as the tokenizer does, and marks that end a word stand alone, as its splitting pattern has them: so fewer parts differ."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return _MARKS.sub(r" \1", text.lower()).split()
 
 
 class WordIds:
@@ -37,24 +49,25 @@ class WordIds:
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn_units(self, units: list[str]) -> None:
+    def _learn_units(self, units: list[str], into: dict[str, bytes]) -> None:
         """Each unit ends with the only id of it that ends a word; so many are encoded in one call and told apart after it."""
         for i in range(0, len(units), 1000):
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(units[i : i + 1000])], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             packed, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
-            self.units.update((u, packed[a:b]) for u, a, b in zip(units[i : i + 1000], at[:-1], at[1:], strict=True))
+            into.update((u, packed[a:b]) for u, a, b in zip(units[i : i + 1000], at[:-1], at[1:], strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        plain = [(w, m[1].lower(), m[2]) for w in words if (m := _PLAIN.fullmatch(w))]
         units, known = self.units, self.known
-        self._learn_units(list({u for _, a, b in plain for u in (a, b) if u not in units}))
+        self._learn_units([w for w in words if w.isascii() and w.isalpha()], known)
+        plain = [(w, m[1].lower(), m[2]) for w in words if w not in known and (m := _PLAIN.fullmatch(w))]
+        self._learn_units(list({u for _, a, b in plain for u in (a, b) if u not in units}), units)
         known.update((w, units[a] + units[b]) for w, a, b in plain)
         odd = [w for w in words if w not in known]
         known.update(zip(odd, self._encode(odd), strict=True))
 
     def pack(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split() for t in texts]
+        split = [None if _ODD.search(t) else parted(t) for t in texts]
         if len(self.known) > WORDS:
             self.known.clear()
         if len(self.units) > UNITS:

@@ -504,6 +504,8 @@ def test_word_ids_like_the_library():
 
     w = WordIds(P.path("word_bpe_49k.json"))
     texts = ["the THE. É́ it's <|endoftext|>", "a\x1fb c", "", "ſ µ ª x&&& 12ab ''s", "naïve!!! ÿŸß"]
+    r = random.Random(3)
+    texts += ["".join(r.choice(["Foo", "bar", "ÉTÉ", "ª", "µ", "'s", "12", ".", "!!", "?,", " ", "  ", "\n", "\t", "日", "İ", "é"]) for _ in range(r.randint(0, 40))) for _ in range(2000)]
     assert w.pack(texts) == [np.array(e.ids, "<u4").tobytes() for e in w.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
