@@ -158,11 +158,13 @@ class Transducer:
 
 
 class Encoder:
-    """Whole texts, split by the pattern; equal parts of texts are encoded once."""
+    """Whole texts, split by the pattern; equal parts of texts are encoded once. spaced: a space between two other characters begins
+    a match of the pattern, whatever stands around them."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False):
         import regex
 
+        self.spaced = spaced
         self.transducer, self.split = Transducer(ranks), regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -177,7 +179,9 @@ class Encoder:
         return packed
 
     def encode(self, text: str) -> bytes:
-        """Packed ids. A space between two other characters begins a match, so the parts from one to the next stand alone."""
+        """Packed ids. With `spaced` the parts of the text from one space to the next stand alone, and are remembered."""
+        if not self.spaced:
+            return self._pieces(text)
         first, *rest = text.split(" ")
         known = self.parts
         try:
@@ -303,8 +307,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> tuple[Encoder, Decoder]:
+    import public_tokenizers
+
     ranks = read_ranks(path)
-    return Encoder(ranks, pattern), Decoder(ranks)
+    return Encoder(ranks, pattern, pattern == public_tokenizers.PATTERN), Decoder(ranks)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -835,6 +835,17 @@ def test_bpe_like_the_library(bpe):
         assert "".join(decoder.stream(packed, 2)) == t
 
 
+def test_bpe_of_a_pattern_in_which_spaces_end_matches():
+    import tiktoken
+
+    from millrace.llm.byte_bpe import coder, read_ranks
+
+    path, pattern = P.path("byte_bpe_multi_50k.tiktoken"), r"\w+ ?|\s+|[^\w\s]+ ?"
+    encoder, library = coder(path, pattern)[0], tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    for t in ("one two three", "a  b c", " lead and end ", "x, y; z", ""):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode_ordinary(t), repr(t)
+
+
 def test_transducer_forgets_and_waits_little(bpe, monkeypatch):
     from millrace.llm import byte_bpe as B
 
