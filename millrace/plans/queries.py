@@ -545,6 +545,32 @@ def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- SQL ---
+
+
+@query("sql_chunks", SQL["chunks"])
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over the pages of chunks."""
+    from millrace.functions import sql
+
+    sql.register(spark, "millrace_")
+    return spark.sql("SELECT * FROM millrace_chunked(TABLE({pages}))", pages=_filed(spark, sf_dir).select("doc_id", "page_number", "text"))
+
+
+@query("sql_functions", f"""WITH d AS ({ORACLE_DECOR}) SELECT doc_id, {s_clean('text')} AS clean, {s_base('filename')} AS base, {s_snippet('text', 260)} AS start, doc_id::VARCHAR || '#p2#c' || doc_id % 7 AS chunk,
+ CASE WHEN text = '' THEN 1.0 ELSE round(length(regexp_replace(text, '[A-Za-z0-9\\s]', '', 'g'))::DOUBLE / length(text), 4) END AS ratio, bit_count(xor(doc_id, 12345))::INTEGER AS distance FROM d""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some of the SQL functions over documents."""
+    from millrace.functions import sql
+
+    sql.register(spark, "millrace_")
+    return spark.sql(
+        """SELECT doc_id, millrace_clean_text(text) AS clean, millrace_base_name(filename) AS base, millrace_snippet(text) AS start, millrace_chunk_id(doc_id, 2, CAST(doc_id % 7 AS INT)) AS chunk,
+         round(millrace_non_alpha_ratio(text), 4) AS ratio, millrace_hamming(doc_id, 12345L) AS distance FROM {docs}""",
+        docs=decorated(spark, sf_dir),
+    )
+
+
 # --- vectors ---
 
 _V = "[" + ", ".join(f"{((i * 37) % 19 - 9) / 10}" for i in range(64)) + "]"
