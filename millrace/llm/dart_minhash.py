@@ -46,7 +46,7 @@ from millrace.llm.common import hot_join, slices, texts, written
 WORDS, BANDS, ROWS, SIMILAR = 5, 32, 7, 0.8
 #: Nodes, and elements of nodes, that are compared as one group.
 BLOCK, WEIGHT = 1000, 2_000_000
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Marks that are cut off the sides of words.
 MARKS = string.punctuation + "«»“”„‘’…–—·¿¡"
 _U = np.uint64

@@ -57,7 +57,7 @@ class Toxicity:
 
     def scores(self, values: list[str]) -> np.ndarray:
         z, known = np.full(len(values), self.bias), self.known
-        if len(known) > 500_000:  # what is remembered only saves time
+        if len(known) > 100_000:  # what is remembered only saves time
             known.clear()
         for i, t in enumerate(values):
             found: set[str] = set()
