@@ -945,6 +945,31 @@ def newest_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.sorted_datasets(rows, "newest", "c_custkey").limit(50).select("c_custkey", "name")
 
 
+#: Of each kind of request the fields that it must have, in their order.
+_REQUESTS = {"dataset": ("name",), "file": ("dataset_id", "filename", "content_type"), "query": ("dataset_id", "query")}
+_GIVEN = [
+    "event_id", "CASE WHEN event_id % 2 = 0 THEN '' WHEN event_id % 3 > 0 THEN 'd' END AS dataset_id", "CASE WHEN event_id % 5 > 1 THEN event_type END AS name", "CASE WHEN event_id % 7 > 2 THEN 'a.pdf' ELSE '' END AS filename",
+    "CASE WHEN event_id % 3 > 0 THEN 'application/pdf' END AS content_type", "CASE event_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN event_type END AS query",
+]
+
+
+def _lacks(kind: str) -> str:
+    given = {f: f"coalesce({f}, '')" for f in _REQUESTS[kind]}
+    return ", ".join(f"CASE WHEN {s_strip(x) if f == 'query' else x} = '' THEN '{f}' END" for f, x in given.items())
+
+
+@query("missing_of_requests", f"WITH r AS (SELECT {', '.join(_GIVEN)} FROM events) SELECT event_id, " + ", ".join(f"concat_ws(',', {_lacks(k)}) AS {k}" for k in _REQUESTS) + " FROM r")
+def missing_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for datasets, files and queries, and what each kind lacks."""
+    given = table(spark, sf_dir, "events").selectExpr(*_GIVEN)
+    return given.select("event_id", *(F.array_join(catalog.missing_fields(k), ",").alias(k) for k in _REQUESTS))
+
+
+@query("iso_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS seconds, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS milliseconds FROM events")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", catalog.iso(F.col("ts")).alias("seconds"), catalog.iso(F.col("ts"), True).alias("milliseconds"))
+
+
 _HOW = {"newest": "c_acctbal DESC", "oldest": "c_acctbal", "name-asc": "lower(c_mktsegment)", "name-desc": "lower(c_mktsegment) DESC"}
 
 
@@ -983,17 +1008,17 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").drop("batch")
 
 
-def _by_batches(spark: SparkSession, rows: DataFrame, order: str, made: Callable[[DataFrame], DataFrame], n: int = 3) -> DataFrame:
-    """made(stream) of rows that come in n batches along an order, each in a run of its own that goes on from the last one's
-    checkpoint."""
+def _by_batches(spark: SparkSession, rows: DataFrame, order: str, made: Callable[[DataFrame], DataFrame], n: int = 3, cuts: list[float] | None = None) -> DataFrame:
+    """made(stream) of rows that come in n batches along an order (cut at its quantiles, or as told), each in a run of its own that
+    goes on from the last one's checkpoint."""
     import uuid
 
     from millrace.streaming.ingest import ingest
 
     at = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     rows = stored(rows)
-    cuts = [None, *rows.select(F.col(order).cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.01), None]
-    for low, high in zip(cuts, cuts[1:], strict=False):
+    inner = cuts or rows.select(F.col(order).cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.01)
+    for low, high in zip([None, *inner], [*inner, None], strict=True):
         above, below = (F.lit(True) if x is None else F.col(order).cast("double") >= x for x in (low, high))
         part = rows.where(above & (~below if high is not None else F.lit(True)))
         part.write.mode("append").parquet(f"{at}/in")
@@ -1097,6 +1122,14 @@ def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", C.error_message(F.expr(_ERROR)).alias("message"))
 
 
+@query("nested_hits", f"""SELECT doc_id::VARCHAR AS id, 1.0::DOUBLE / (doc_id + 1) AS score, CASE WHEN doc_id % 4 = 0 THEN '' ELSE filename END AS filename, CASE WHEN doc_id % 2 = 0 THEN 'Clause 4' END AS section,
+ array_to_string(({s_standards('text')})[1:3], ';') AS standards FROM ({ORACLE_DECOR})""")
+def nested_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in the form of search engines, and the standards that their citations show."""
+    rows = retrieval.nested(_hits(spark, sf_dir).withColumn("standards_referenced", C.standards("text")))
+    return rows.select(F.col("_id").alias("id"), F.col("_score").alias("score"), "_source.filename", F.col("_source.section_reference").alias("section"), F.array_join(retrieval.shown_standards(F.col("_source")), ";").alias("standards"))
+
+
 @query("shaped_hits", f"SELECT doc_id::VARCHAR AS doc_id, text, 1.0::DOUBLE / (doc_id + 1) AS score, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 9)::INTEGER END AS page FROM ({ORACLE_DECOR})")
 def shaped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.shaped(_hits(spark, sf_dir)).select("citation.doc_id", "text", "score", "citation.page")
@@ -1117,3 +1150,21 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.streaming.ingest import event_counts
 
     return event_counts(table(spark, sf_dir, "events"))
+
+
+#: Batches of thirds of the ids; one in 20 comes with the last batch, whatever its time.
+_ARRIVES = "(CASE WHEN event_id % 20 = 7 THEN 2 ELSE least(2, event_id * 3 // (SELECT max(event_id) + 1 FROM events)) END)"
+
+
+@query("event_windows_stream", f"""WITH e AS (SELECT ts, event_type, time_bucket(INTERVAL '1 hour', ts) AS start, {_ARRIVES} AS b FROM events),
+mark AS (SELECT k, (SELECT max(ts) FROM e WHERE b < k) - INTERVAL '10 minutes' AS mark FROM range(4) AS t(k))
+SELECT start, event_type, count(*) AS n FROM e JOIN mark ON mark.k = e.b WHERE (mark IS NULL OR start + INTERVAL '1 hour' > mark) AND start + INTERVAL '1 hour' <= (SELECT mark FROM mark WHERE k = 3) GROUP BY 1, 2""")
+def event_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type and hour as a stream of three batches: late ones are left out, and windows come once the watermark has passed."""
+    from millrace.streaming.ingest import event_counts
+
+    events = table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    arrives = F.when(F.col("event_id") % 20 == 7, 2).otherwise(F.least(F.lit(2), F.floor(F.col("event_id") * 3 / (last + 1))))
+    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", arrives.cast("int").alias("arrives"))
+    return _by_batches(spark, rows, "arrives", event_counts, cuts=[0.5, 1.5]).withColumn("start", F.col("start").cast("timestamp_ntz"))

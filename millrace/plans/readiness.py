@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import extraction_stats
 from millrace.operators import chunking, duplicates, pages, quality
+from millrace.options import Options
 from millrace.session import stored
 
 KEYS = ["tenant_id", "file_id"]
@@ -29,13 +30,14 @@ def prepare(raw: DataFrame, files: DataFrame) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, x) for c, x in bare.items()})
 
 
-def reports(raw: DataFrame, files: DataFrame, visibility: str = "snapshot") -> DataFrame:
+def reports(raw: DataFrame, files: DataFrame, visibility: str | None = None, options: Options | None = None) -> DataFrame:
     """tenant_id, file_id, findings (with the chunks' warnings), summary, readiness, chunk_count, lengths (of the chunks). Files
     without tenant or id have none."""
+    options = options or Options()
     ready = stored(prepare(raw, files))  # the rules on other files read it again
-    made = chunking.chunks(F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number"), p["text"].alias("text"))))
+    made = chunking.chunks(F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number"), p["text"].alias("text"))), **options.chunking)
     lengths = ready.select(*KEYS, F.transform(made, lambda c: c["length"]).alias("lengths"))
-    out = quality.assess(ready, visibility).join(lengths, KEYS)
+    out = quality.assess(ready, visibility or options.visibility).join(lengths, KEYS)
     warnings = quality.chunk_warnings(F.col("lengths"))
     every = F.concat("findings", warnings)
     return out.select(*KEYS, every.alias("findings"), quality.summary(every).alias("summary"), quality.adjusted(F.col("readiness"), warnings).alias("readiness"), F.size("lengths").alias("chunk_count"), "lengths")

@@ -405,3 +405,20 @@ def test_all_near_fingerprints(spark):
     want = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3}
     got = [(x["a"], x["b"]) for x in duplicates.simhash_pairs(df).collect()]
     assert len(want) > 100 and set(got) == want and len(got) == len(want)
+
+
+def test_options(spark):
+    from millrace import options
+
+    assert options.of(spark) == options.Options() and options.of(spark, longest=900).chunking["longest"] == 900
+    spark.conf.set("spark.millrace.top_k", "5")
+    spark.conf.set("spark.millrace.sections", "false")
+    try:
+        got = options.of(spark, top_k=6)
+        assert got.top_k == 6 and got.sections is False and options.of(spark).top_k == 5
+    finally:
+        spark.conf.unset("spark.millrace.top_k")
+        spark.conf.unset("spark.millrace.sections")
+    for wrong in ({"shortest": 2000}, {"top_k": 21}, {"visibility": "none"}, {"overlap": -1}):
+        with pytest.raises(ValueError):
+            options.Options(**wrong)
