@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions import construction as C
 from millrace.functions import lexicon as L
 from millrace.functions import text as X
-from millrace.operators import catalog, chunking, duplicates, pages, quality, retrieval, search, status, vector_index, vectors
+from millrace.operators import catalog, chunking, duplicates, pages, quality, requests, retrieval, search, status, vector_index, vectors
 from millrace.session import shared_dir, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -945,6 +945,52 @@ def newest_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.sorted_datasets(rows, "newest", "c_custkey").limit(50).select("c_custkey", "name")
 
 
+_UPLOADS = "event_id AS request_id, 't' || user_id % 3 AS tenant_id, CASE WHEN event_id % 11 > 0 THEN 'd' || user_id % 7 END AS dataset_id, CASE WHEN event_id % 5 > 0 THEN event_type || '.pdf' ELSE '' END AS filename, 'application/pdf' AS content_type"
+_THERE = "(dataset_id IN ('d0', 'd1', 'd2', 'd3') OR tenant_id = 't0' AND dataset_id = 'd4')"
+_FILE_ID = "sha256('file|' || tenant_id || '|' || request_id)[1:32]"
+
+
+@query("presigned_uploads", f"""WITH r AS (SELECT {_UPLOADS} FROM events), c AS (SELECT *, CASE WHEN dataset_id IS NULL OR filename = '' THEN 400 WHEN {_THERE} THEN 200 ELSE 404 END AS code FROM r)
+SELECT request_id, code, CASE WHEN code = 200 THEN 'raw/' || tenant_id || '/' || dataset_id || '/' || {_FILE_ID} || '/' || filename END AS raw_key,
+ concat_ws(',', CASE WHEN dataset_id IS NULL THEN 'dataset_id' END, CASE WHEN filename = '' THEN 'filename' END) AS missing FROM c""")
+def presigned_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as requests for uploads, and what each is answered."""
+    return requests.presign(*_uploads(spark, sf_dir), F.lit(1)).answers.select("request_id", "code", "raw_key", F.array_join("missing", ",").alias("missing"))
+
+
+@query("datasets_set_back", f"""WITH r AS (SELECT {_UPLOADS} FROM events), s AS (SELECT DISTINCT tenant_id, dataset_id FROM r WHERE filename <> '' AND {_THERE}),
+d AS (SELECT 't' || t AS tenant_id, 'd' || d AS dataset_id FROM range(3) AS a(t), range(5) AS b(d) WHERE d < 4 OR t = 0)
+SELECT d.*, CASE WHEN s.dataset_id IS NULL THEN 'READY' ELSE 'UPLOADED' END AS status FROM d LEFT JOIN s USING (tenant_id, dataset_id)""")
+def datasets_set_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The datasets after those uploads."""
+    asked, datasets = _uploads(spark, sf_dir)
+    changes = requests.presign(asked, datasets, F.lit(1)).datasets.drop("updated_at")
+    return catalog.update(datasets, changes, ["tenant_id", "dataset_id"])
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    asked = table(spark, sf_dir, "events").selectExpr(*_split(_UPLOADS))
+    datasets = spark.range(15).selectExpr("'t' || id % 3 AS tenant_id", "'d' || CAST(id / 3 AS INT) AS dataset_id", "'READY' AS status").where("dataset_id <> 'd4' OR tenant_id = 't0'")
+    return asked, datasets
+
+
+def _split(columns: str) -> list[str]:
+    """A list of SQL columns without commas in them."""
+    return columns.split(", ")
+
+
+@query("compared_orders", """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'left' ELSE 'differs' END AS kind FROM orders WHERE o_orderkey < 400 AND o_orderkey % 10 IN (3, 5)
+UNION ALL SELECT -1 - o_orderkey, 'right' FROM orders WHERE o_orderkey < 20""")
+def compared_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders against a copy with lost, changed and added rows."""
+    from millrace.operators.compare import compare
+
+    left = stored(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    right = left.where("o_orderkey >= 400 OR o_orderkey % 10 <> 3").withColumn("o_orderstatus", F.expr("if(o_orderkey < 400 AND o_orderkey % 10 = 5, 'changed', o_orderstatus)"))
+    added = left.where("o_orderkey < 20").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
+    return compare(left, stored(right.unionByName(added)), "o_orderkey").differences
+
+
 #: Of each kind of request the fields that it must have, in their order.
 _REQUESTS = {"dataset": ("name",), "file": ("dataset_id", "filename", "content_type"), "query": ("dataset_id", "query")}
 _GIVEN = [

@@ -422,3 +422,19 @@ def test_options(spark):
     for wrong in ({"shortest": 2000}, {"top_k": 21}, {"visibility": "none"}, {"overlap": -1}):
         with pytest.raises(ValueError):
             options.Options(**wrong)
+
+
+def test_requests_give_rows_once(spark):
+    from millrace.operators import requests
+
+    asked = spark.createDataFrame([(1, "t", " Works "), (2, "t", ""), (3, "u", None)], "request_id long, tenant_id string, name string")
+    made = requests.create_datasets(asked, F.lit(5))
+    assert {r["request_id"]: (r["code"], r["missing"], r["dataset_id"] is not None) for r in made.answers.collect()} == {1: (201, [], True), 2: (400, ["name"], False), 3: (400, ["name"], False)}
+    (row,) = made.rows.collect()
+    assert (row["name"], row["status"], row["created_at"]) == ("Works", "UPLOADED", 5) and made.rows.collect() == requests.create_datasets(asked, F.lit(5)).rows.collect()
+    assert [r["metadata"] for r in made.events.collect()] == [{"datasetId": row["dataset_id"], "name": "Works"}]
+    files = spark.createDataFrame([(1, "t", row["dataset_id"], "a.pdf", "x"), (2, "t", row["dataset_id"], "b.pdf", "x"), (3, "u", row["dataset_id"], "c.pdf", "x"), (4, "t", None, "d.pdf", "x")], "request_id long, tenant_id string, dataset_id string, filename string, content_type string")
+    got = requests.presign(files, made.rows, F.lit(6))
+    assert {r["request_id"]: r["code"] for r in got.answers.collect()} == {1: 200, 2: 200, 3: 404, 4: 400}
+    assert got.rows.count() == got.events.count() == 2 and [tuple(r) for r in got.datasets.collect()] == [("t", row["dataset_id"], "UPLOADED", 6)]
+    assert all(r["raw_key"] == f"raw/t/{r['dataset_id']}/{r['file_id']}/{r['filename']}" for r in got.rows.collect())
