@@ -132,7 +132,8 @@ def opened(spark: SparkSession, path: str, like: DataFrame) -> Index:
 
 
 def _near_lists(index: Index, questions: DataFrame) -> DataFrame:
-    """question_id, by, vector, k, list, n, angle (to the list's centre), bound (the best score that a row of it can have)."""
+    """question_id, by, k, list, n, angle (to the list's centre), bound (the best score that a row of it can have); without the
+    vectors, which would be as many as lists."""
     shared = index.rows.sparkSession.sparkContext.broadcast(index.tree.centre)
 
     @F.pandas_udf("array<double>")
@@ -141,7 +142,7 @@ def _near_lists(index: Index, questions: DataFrame) -> DataFrame:
             x = np.stack(vectors.to_numpy()).astype(float)
             yield pd.Series(list(_angle(x @ shared.value.T / np.linalg.norm(x, axis=1, keepdims=True))))
 
-    asked = search.usable(questions.select("question_id", *KEYS, "vector", "k"), "vector").withColumn("angles", angles("vector"))
+    asked = search.usable(questions.select("question_id", *KEYS, "vector", "k"), "vector").withColumn("angles", angles("vector")).drop("vector")
     pairs = asked.join(index.lists, KEYS).withColumn("angle", F.get("angles", F.expr("shiftleft(1, levels) - 1 + list"))).drop("angles")
     return pairs.withColumn("bound", F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius"))) + 1e-9)
 
@@ -151,14 +152,15 @@ def find(index: Index, questions: DataFrame, *, probes: int = PROBES, exact: boo
     can hold one, or, not exact, of the `probes` nearest lists alone: how many of the best these hold depends on the vectors."""
     by = (*KEYS, "list")
     pairs = stored(_near_lists(index, questions).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("angle", "list"))))
-    found = search.nearest(pairs.where(F.col("rank") <= probes), index.rows, by)
+    vectors = questions.select("question_id", "vector")
+    found = search.nearest(pairs.where(F.col("rank") <= probes).join(vectors, "question_id"), index.rows, by)
     if not exact:
         return found
     first = stored(found)
     known = first.join(questions.select("question_id", search.clamped(F.col("k")).alias("k")), "question_id")
     worst = known.where("n = k").select("question_id", F.col("score").alias("worst"))
     left = pairs.where(F.col("rank") > probes).join(worst, "question_id", "left").where("worst IS NULL OR bound >= worst").drop("worst")
-    more = search.nearest(left, index.rows, by).join(questions.select("question_id", search.clamped(F.col("k")).alias("k")), "question_id")
+    more = search.nearest(left.join(vectors, "question_id"), index.rows, by).join(questions.select("question_id", search.clamped(F.col("k")).alias("k")), "question_id")
     return search.merged(known.unionByName(more).drop("n"), "chunk_id")
 
 
