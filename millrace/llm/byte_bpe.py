@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import columns, map_texts, texts
 
 #: Steps, pieces and parts that a worker remembers; only speed depends on them.
-STEPS, PIECES, PARTS = 400_000, 400_000, 400_000
+STEPS, PIECES, PARTS = 500_000, 600_000, 600_000
 
 
 class Transducer:
@@ -184,20 +184,19 @@ class Encoder:
             return self._pieces(text)
         first, *rest = text.split(" ")
         known = self.parts
-        try:
-            out = [known[part] for part in rest]
-        except KeyError:
+        out = list(map(known.get, rest))
+        if None in out:
             if len(known) > PARTS:
                 known.clear()
-            out = []
-            for part in rest:
+            for i in [i for i, packed in enumerate(out) if packed is None]:
+                part = rest[i]
+                if not part or part[0].isspace() or part[-1].isspace():  # the pattern looks past such a space
+                    return self._pieces(text)
                 if (packed := known.get(part)) is None:
-                    if not part or part[0].isspace() or part[-1].isspace():  # the pattern looks past such a space
-                        return self._pieces(text)
                     packed = self._pieces(" " + part)
                     if len(part) <= 64:
                         known[part] = packed
-                out.append(packed)
+                out[i] = packed
         if first and first[-1].isspace():
             return self._pieces(text)
         return self._pieces(first) + b"".join(out)
