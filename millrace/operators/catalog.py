@@ -142,15 +142,16 @@ def counts(chunks: DataFrame, by: tuple[str, ...] = ("tenant_id", "dataset_id"))
     return chunks.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def dataset_order(how: str = "newest", tie: str = "dataset_id") -> list[Column]:
-    """The columns of one of the four orders of datasets: by time, or by name whatever its case; equal ones by `tie`."""
+def dataset_order(how: str = "newest", tie: str | None = "dataset_id") -> list[Column]:
+    """The columns of one of the four orders of datasets: by time, or by name whatever its case; equal ones by `tie`, or as they fall."""
     name = F.collate(F.coalesce("name", F.lit("")), "UNICODE_CI")
     orders = {"newest": F.desc("created_at"), "oldest": F.asc("created_at"), "name-asc": name.asc(), "name-desc": name.desc()}
-    return [orders[how], F.asc(tie)]
+    return [orders[how], *([F.asc(tie)] if tie else [])]
 
 
 def sorted_datasets(datasets: DataFrame, how: str = "newest", tie: str = "dataset_id") -> DataFrame:
-    return datasets.orderBy(*dataset_order(how, tie))
+    """datasets in one of the orders; equal ones by `tie`, if they have that column."""
+    return datasets.orderBy(*dataset_order(how, tie if tie in datasets.columns else None))
 
 
 def named_like(datasets: DataFrame, part: str) -> DataFrame:
