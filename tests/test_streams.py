@@ -97,3 +97,13 @@ def test_duplicates_as_files_arrive(spark, tmp_path, cuts):
     assert sorted(found.where("matches > 0").select(*near.columns).collect(), key=key) == sorted(near.collect(), key=key) and near.count()
     other = duplicates.superseded(table, "text", limit=20, visibility="as_of")
     assert sorted(found.where("other_file_id IS NOT NULL").select(*other.columns).collect(), key=key) == sorted(other.collect(), key=key) and other.count()
+
+
+def test_near_fingerprints_that_differ_in_the_highest_bit(spark, tmp_path):
+    top = -(2**63)  # as a long; its distances to the others are 1 and 2
+    rows = [("t", 1, 1, None, 0, "", ""), ("t", 2, 2, None, top, "", ""), ("t", 3, 3, None, 1, "", "")]
+    got = streamed(spark, tmp_path, rows, [2], stream_duplicates.recent_duplicates)
+    near = sorted((r["file_id"], [tuple(x) for x in r["near"]]) for r in got.collect())
+    assert near == [(2, [(1, 1)]), (3, [(2, 2), (1, 1)])]
+    table = duplicates.near_duplicates(spark.createDataFrame(rows, KIND), visibility="as_of")
+    assert near == sorted((r["file_id"], [tuple(x) for x in r["near"]]) for r in table.collect())
