@@ -107,3 +107,23 @@ def test_near_fingerprints_that_differ_in_the_highest_bit(spark, tmp_path):
     assert near == [(2, [(1, 1)]), (3, [(2, 2), (1, 1)])]
     table = duplicates.near_duplicates(spark.createDataFrame(rows, KIND), visibility="as_of")
     assert near == sorted((r["file_id"], [tuple(x) for x in r["near"]]) for r in table.collect())
+
+
+def test_states_are_tables_that_are_read_again_when_a_batch_is_repeated(spark, tmp_path):
+    from millrace.streaming.held import WHOLE, Held
+
+    kind = "tenant_id string, raw_sha256 string, created_at long, file_id long"
+    made = stream_duplicates.exact_duplicates(spark.createDataFrame([], kind))
+    assert isinstance(made, Held) and isinstance(jobs(notices(spark.createDataFrame([], "key string, at long"), F.col("at"))), Held)
+    at, n = str(tmp_path / "held"), 2 * WHOLE + 3
+    for i in range(n):
+        batch = spark.createDataFrame([("t", "a", i, i), ("t", f"b{i % 4}", i, 100 + i), (None, "a", i, 200 + i)], kind).coalesce(1)
+        for _ in range(2 if i % 5 == 1 else 1):  # some are repeated
+            got = {(r["tenant_id"], r["file_id"]): (r["group_id"], r["matches"], list(r["match_ids"])) for r in made.step(batch, i, at).collect()}
+        want = {("t", i): (0, i, list(range(min(i, 5)))), (None, 200 + i): (200, i, [200 + x for x in range(min(i, 5))])} if i else {}
+        if i > 3:
+            want["t", 100 + i] = (100 + i % 4, i // 4, [100 + i % 4 + 4 * x for x in range(min(i // 4, 5))])
+        assert got == want
+    import os
+
+    assert len([v for v in os.listdir(at) if v[0].isdigit()]) < 2 * WHOLE + 2
