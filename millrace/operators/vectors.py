@@ -13,6 +13,7 @@ from millrace.functions.text import chunk_id, col, content_hash
 
 HIT_KINDS = {**dict.fromkeys(("chunk_id", "doc_id", "filename"), "string"), "page": "int", "chunk_index": "int", **dict.fromkeys(("text", "source_uri", "content_hash", "doc_type", "discipline", "section_reference"), "string"), "standards_referenced": "array<string>"}
 HIT = list(HIT_KINDS)
+AT_ONCE = 256
 
 
 def hashed_embedding(texts: pd.Series, size: int = 1024) -> list[np.ndarray]:
@@ -30,12 +31,14 @@ def hashed_embedding(texts: pd.Series, size: int = 1024) -> list[np.ndarray]:
 
 
 def embed(text: Column | str, model: Callable[[pd.Series], list[np.ndarray]] = hashed_embedding) -> Column:
-    """array<float> by any model that maps a series of texts to vectors; it gets Arrow batches, one after the other."""
+    """array<float> by any model that maps a series of texts to vectors; it gets at most AT_ONCE texts of an Arrow batch at once, so that
+    a worker holds so many vectors and no more."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.asarray(v, np.float32) for v in model(texts)])
+            for i in range(0, len(texts), AT_ONCE):
+                yield pd.Series([np.asarray(v, np.float32) for v in model(texts.iloc[i : i + AT_ONCE])])
 
     return run(col(text))
 

@@ -438,3 +438,12 @@ def test_requests_give_rows_once(spark):
     assert {r["request_id"]: r["code"] for r in got.answers.collect()} == {1: 200, 2: 200, 3: 404, 4: 400}
     assert got.rows.count() == got.events.count() == 2 and [tuple(r) for r in got.datasets.collect()] == [("t", row["dataset_id"], "UPLOADED", 6)]
     assert all(r["raw_key"] == f"raw/t/{r['dataset_id']}/{r['file_id']}/{r['filename']}" for r in got.rows.collect())
+
+
+def test_models_get_bounded_numbers_of_texts(spark):
+    def size_of(texts):  # each vector says how many texts the model got at once
+        return [[float(len(texts))]] * len(texts)
+
+    df = spark.range(0, 1000, 1, 1).select(vectors.embed(F.col("id").cast("string"), size_of).alias("v"))
+    sizes = [r["v"][0] for r in df.collect()]
+    assert len(sizes) == 1000 and max(sizes) <= 256
