@@ -447,3 +447,13 @@ def test_models_get_bounded_numbers_of_texts(spark):
     df = spark.range(0, 1000, 1, 1).select(vectors.embed(F.col("id").cast("string"), size_of).alias("v"))
     sizes = [r["v"][0] for r in df.collect()]
     assert len(sizes) == 1000 and max(sizes) <= 256
+
+
+def test_pages_are_prepared_once(spark, tmp_path):
+    from millrace.plans.readiness import prepare
+
+    spark.createDataFrame([("t", "a", 1, "one two"), ("t", "a", 2, "three")], "tenant_id string, file_id string, page_number int, text string").write.parquet(str(tmp_path / "rawpages"))
+    files = spark.createDataFrame([("t", "a", "a.pdf", 1, "x"), ("t", "b", "b.pdf", 2, "y")], "tenant_id string, file_id string, filename string, created_at int, raw_sha256 string")
+    made = prepare(spark.read.parquet(str(tmp_path / "rawpages")), files)
+    assert not any("rawpages" in f for f in made.inputFiles())  # they are read before, for the fingerprints and the texts together
+    assert {r["file_id"]: r["text"] for r in made.collect()} == {"a": "one two\n\nthree", "b": ""}
