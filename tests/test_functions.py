@@ -111,3 +111,41 @@ def test_errors(one):
 
 def test_hyphen_pattern_is_plain_text():
     assert re.search(X.HYPHENS, "S-\nW")
+
+
+def test_atoms_are_found_in_one_pass(spark):
+    """Atoms that overlap, begin or end alike, or need a word's edge, each against a plain search; the records' text is read by one pass."""
+    import random
+
+    from millrace.functions import patterns as P
+
+    own = [r"works", r"steelwork", r"earthworks", r"ductwork", r"\bDB\b", r"BCA", r"claim\s+#", r"meeting", r"AS/?NZS", r"NZS", r"3600", r"36", r"\bVO\d+", r"road\s*works", r"[|]{3,}", r"v\d{2}", r"\d{4}-\d{2}", r"Z"]
+    r = random.Random(5)
+    bits = ["works", "steelworks", "EarthWorks", "ductwork", "db", "BcA", "claim #", "meeting", "as/nzs", "ASNZS", "3600", "36", "vo7", "road", "|||", "V12", "2021-07", " ", " ", "\n", "é", "z", "K"]
+    texts = ["", "roadworks", "adb dba", "adb dba db", "1steelworks"] + ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    may = P.guarded(F.col("t"), own, lambda t, may: F.array(*may))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", may.alias("may"), F.array(*(F.rlike("t", F.lit(f"(?i){p}")) for p in own)).alias("has")).collect()
+    flagged = {p: {row["t"] for row in rows if row["may"][i]} for i, p in enumerate(own)}
+    for i, p in enumerate(own):
+        assert {row["t"] for row in rows if row["has"][i]} <= flagged[p], p
+    assert "1steelworks" in flagged["works"] and "adb dba" not in flagged[r"\bDB\b"] and "roadworks" not in flagged["steelwork"]
+    plan = spark.createDataFrame([("t",)], "t string").select(C.metadata("t").alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(?i)(?=[") == 1
+
+
+def test_metadata_is_that_of_each_part(spark):
+    import random
+
+    r = random.Random(6)
+    bits = ["SWMS ", "technical specification ", "site meeting minutes ", "AS/NZS 3000:2018 ", "AS 3600 ", "ncc 2022", " DB ", "roadworks ", "\n4.1 Scope ", "APPENDIX C ", "clause 7.2 ", " A-101 ", "x" * 90, "é " * 40, "word "]
+    texts = [None, ""] + ["".join(r.choice(bits) for _ in range(r.choice((3, 30, 600)))) for _ in range(60)]
+    parts = F.struct(C.document_type("t").alias("k"), C.discipline("t").alias("d"), C.standards("t").alias("s"), C.section_reference("t").alias("r"))
+    for row in spark.createDataFrame([(t,) for t in texts], "t string").select(C.metadata("t").alias("m"), parts.alias("p")).collect():
+        m, p = row["m"], row["p"]
+        assert (m["doc_type"], m["doc_type_confidence"], m["discipline"], m["standards_referenced"], m["section_reference"]) == (*p["k"], p["d"], p["s"], p["r"])
+
+
+def test_collapsed_white_space(spark):
+    texts = ["", " ", "a b", "a  b", "a\tb", "a \t b", "\n a\x0b\x0cb \r", "a  b", "a\n\nb c\td  "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.collapse("t").alias("c")).collect()
+    assert all(row["c"] == re.sub(r"[ \t-\r]+", " ", row["t"]).strip(" ") for row in got)
