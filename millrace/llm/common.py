@@ -53,10 +53,10 @@ def written_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost no rework."""
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost no rework. options: the writer's."""
     path = f"{written_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,8 @@
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z in lower case. The index is written once, by shards:
 a shard holds some MB of documents, their places, and for each of its words the list of positions at which it stands, counted
-through the shard. Building it needs no shuffle, and a lost task makes its shards again.
+through the shard. Building it needs no shuffle, and a lost task makes its shards again. A shard is one row of some MB and a row group
+of its own: Spark's reader holds a row group's rows at once, and arrays with three numbers an entry, so the positions are bytes.
 
 Test items are cut into phrases (windows of consecutive words; a shorter item is one phrase). In each shard, a phrase's candidate
 places are the list of its rarest word (by the whole index's counts), moved by that word's offset; the other words' lists, moved
@@ -34,8 +35,8 @@ WINDOW, SHARD, BLOCK, STEP = 10, 8 << 20, 4 << 20, 1 << 20
 _BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _L, _S = T.LongType(), T.StringType()
 #: ids, starts: of the shard's documents; there is one start more, the end. terms are sorted by their bytes; ends[i] is where the
-#: list of terms[i] ends in positions.
-INDEX = T.StructType([T.StructField("shard", _L), T.StructField("ids", T.ArrayType(_L)), *(T.StructField(n, T.ArrayType(k)) for n, k in (("starts", _L), ("terms", T.BinaryType()), ("ends", _L), ("positions", T.IntegerType())))])
+#: list of terms[i] ends in positions, which are 32-bit integers, little-endian.
+INDEX = T.StructType([T.StructField("shard", _L), T.StructField("ids", T.ArrayType(_L)), *(T.StructField(n, T.ArrayType(k)) for n, k in (("starts", _L), ("terms", T.BinaryType()), ("ends", _L))), T.StructField("positions", T.BinaryType())])
 #: A document's matches with one item: from_word and to_word are the ends of its merged spans, in words of the document.
 SPANS = T.StructType([T.StructField("shard", _L), T.StructField("place", _L), T.StructField("item_id", _S), T.StructField("from_word", T.ArrayType(_L)), T.StructField("to_word", T.ArrayType(_L))])
 
@@ -61,7 +62,7 @@ def _postings(pieces: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     codes = rank[coded.indices.to_numpy()]
-    return coded.dictionary.take(pa.array(order)), np.cumsum(np.bincount(codes, minlength=len(order))), np.argsort(codes, kind="stable").astype(np.int32)
+    return coded.dictionary.take(pa.array(order)), np.cumsum(np.bincount(codes, minlength=len(order))), np.argsort(codes, kind="stable").astype("<i4")
 
 
 def build(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
@@ -74,7 +75,7 @@ def build(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             terms, ends, positions = _postings(pieces)
-            fields = ([first + made], [ids], [starts], [terms], [ends], [positions])
+            fields = ([first + made], [ids], [starts], [terms], [ends], [positions.tobytes()])
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(fields, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
@@ -92,7 +93,7 @@ def build(docs: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
         if ids:
             yield row()
 
-    return written(texts(docs).mapInArrow(run, INDEX))
+    return written(texts(docs).mapInArrow(run, INDEX), **{"parquet.block.row.count.limit": "1"})
 
 
 def places(index: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ class Shard:
     def __init__(self, row: dict, terms: pa.Array):
         self.starts = row["starts"].values.to_numpy()
         self.span = int(self.starts[-1]) + 1
-        ends, positions = row["ends"].values.to_numpy(), row["positions"].values.to_numpy()
+        ends, positions = row["ends"].values.to_numpy(), np.frombuffer(row["positions"].as_buffer(), "<i4")
         at = pc.index_in(terms, value_set=row["terms"].values).fill_null(-1).to_numpy()
         there = np.flatnonzero(at >= 0)
         stop = ends[at[there]]

@@ -119,3 +119,14 @@ def test_empty_tables(spark):
     none = sorted(tuple(r) for r in X.contamination(docs, items.limit(0)).collect())
     assert none == [(1, 2, 0, 0, []), (2, 0, 0, 0, [])]
     assert X.contamination(docs.limit(0), items).collect() == []
+
+
+def test_shards_are_read_one_by_one(spark):
+    """Each shard is a row group, and its positions are bytes: a reader holds one of them, however many a task has."""
+    import pyarrow.parquet as pq
+
+    rows = [(i, " ".join(f"w{i % 7} x{k}" for k in range(40))) for i in range(60)]
+    index = X.build(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 1000)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert index.count() > 10 and sum(g.num_row_groups for g in groups) == index.count()
+    assert index.schema["positions"].dataType.typeName() == "binary"
