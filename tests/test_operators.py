@@ -96,6 +96,51 @@ def test_visibility_by_arrival(spark):
         duplicates.near_duplicates(df, visibility="later")
 
 
+@pytest.mark.parametrize("visibility", ["snapshot", "as_of"])
+def test_near_duplicates_among_all(spark, visibility):
+    """A file's partners are all files within the distance, however many newer ones there are, in groups of any size."""
+    import random
+
+    rng = random.Random(8)
+    centres = [rng.getrandbits(63) for _ in range(12)] + [-1, -(1 << 63)]
+    flipped = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(62), k))
+    rows = [(rng.choice("ttttu"), i, "n.pdf", rng.choice([None, *range(90)]), "h", flipped(rng.choice(centres), rng.choice((0, 0, 1, 2, 3, 4)))) for i in range(400)]
+    rows += [("t", 1000 + i, "n.pdf", -1, "h", 0) for i in range(150)] + [("t", 2000, "n.pdf", 5, "h", None), (None, 2001, "n.pdf", 5, "h", 0), ("t", None, "n.pdf", 5, "h", 0)]
+    want = {}
+    for tenant in "tu":
+        came = sorted((r for r in rows if r[0] == tenant and r[1] is not None), key=lambda r: (-2 if r[3] is None else r[3], r[1]))
+        for i, r in enumerate(came):
+            others = (came[:i] if visibility == "as_of" else came[:i] + came[i + 1 :])[::-1]
+            apart = [(o[1], ((r[5] ^ o[5]) & (1 << 64) - 1).bit_count()) for o in others if None not in (r[5], o[5])]
+            if found := [x for x in apart if x[1] <= 3]:
+                want[tenant, r[1]] = (len(found), found[:5])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["tenant_id"], r["file_id"]): (r["matches"], [tuple(x) for x in r["near"]]) for r in duplicates.near_duplicates(files(spark, rows), limit=None, visibility=visibility).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want and max(n for n, _ in got.values()) > 50
+    assert duplicates.near_duplicates(files(spark, rows).limit(0), limit=None, visibility=visibility).count() == 0
+
+
+def old_copies(spark):
+    """Pages and files of a tenant: two near copies, and 60 others that came later."""
+    body = " ".join(f"word{i % 97} clause{i}" for i in range(150))
+    texts = [body, body + " only2", *(" ".join(f"other{(i * 37 + k * k) % 1009}" for k in range(60)) for i in range(60))]
+    raw = spark.createDataFrame([("t", i, 1, x) for i, x in enumerate(texts, 1)], "tenant_id string, file_id long, page_number int, text string")
+    return raw, files(spark, [("t", i, "q.pdf", i, f"h{i}", 0) for i in range(1, len(texts) + 1)]).drop("simhash")
+
+
+def test_old_near_duplicates_are_found(spark):
+    """Near copies with more than 50 newer files, which a look at the newest ones alone would miss."""
+    import json
+
+    from millrace.plans.readiness import reports
+
+    got = {r["file_id"]: [json.loads(x["evidence"]) for x in r["findings"] if x["type"] == "NEAR_DUPLICATE"] for r in reports(*old_copies(spark)).collect()}
+    assert [x["matches"][0]["file_id"] for i in (1, 2) for x in got[i]] == [2, 1] and got[1][0]["links"] == got[2][0]["links"] == 1
+
+
 def test_readiness(one):
     f = F.array(*(F.struct(F.lit(s).alias("severity")) for s in ("CRITICAL", "WARN", "INFO", None, "OTHER")))
     assert one(quality.readiness(f)) == 100 - 40 - 15 - 5 - 5
