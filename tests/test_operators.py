@@ -141,6 +141,17 @@ def test_old_near_duplicates_are_found(spark):
     assert [x["matches"][0]["file_id"] for i in (1, 2) for x in got[i]] == [2, 1] and got[1][0]["links"] == got[2][0]["links"] == 1
 
 
+def test_payloads_have_old_near_duplicates(spark):
+    import json
+
+    from millrace.plans import payloads
+    from millrace.plans.readiness import reports
+
+    made = payloads.quality_reports(reports(*old_copies(spark)).withColumn("dataset_id", F.lit("d")))
+    got = {r["file_id"]: {x["type"]: x for x in json.loads(r["payload"])["findings"]} for r in made.collect()}
+    assert got[1]["NEAR_DUPLICATE"]["evidence"] == {"matches": [{"file_id": 2, "distance": got[2]["NEAR_DUPLICATE"]["evidence"]["matches"][0]["distance"]}], "links": 1}
+
+
 def test_readiness(one):
     f = F.array(*(F.struct(F.lit(s).alias("severity")) for s in ("CRITICAL", "WARN", "INFO", None, "OTHER")))
     assert one(quality.readiness(f)) == 100 - 40 - 15 - 5 - 5
